@@ -116,7 +116,7 @@ def placed(pieces: Iterable[tuple[int, object]], size: int, most: int, cut=None,
         yield True, own.held[number]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, open_windows: int = 64, least: int = 64, merge_windows: int = 4096, keep_ids: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, open_windows: int = 64, least: int = 16, merge_windows: int = 4096, keep_ids: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
     """Packs every row's token ids, then `end_id`, into sequences of at most `size` tokens. One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with keep_ids the ids.
 
     Online in each partition: `open_windows` windows are open at most, a piece goes where it fits best, and when none fits the fullest is emitted, its room filled by the head of that piece unless a part would be under `least` tokens. The windows still open at a partition's end are merged in groups of about `merge_windows`, best fit decreasing, without cutting: one small shuffle, and no task sees more than its group, whatever the input.
