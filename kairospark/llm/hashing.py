@@ -36,12 +36,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (one entry more than rows). No word crosses rows."""
+#: Bytes of letters and digits, and all above ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row the index of its first word (one entry more than rows). solid: which bytes words are made of. No word crosses rows."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~SPACES[data]
+    solid = solid[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = False, solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]

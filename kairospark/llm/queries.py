@@ -56,6 +56,41 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id"""
 
 
+@registered
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.toxicity import fit_toxicity, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@registered
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@registered
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+ORACLES["op6_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
+
+
 @registered
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.packing import pack
