@@ -30,6 +30,13 @@ def registered(f: Query) -> Query:
     return f
 
 
+@registered
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @registered
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.chat_format import chat_digest, chat_examples
