@@ -98,6 +98,13 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY rank <= 10"""
 
 
+@registered
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.packing import pack
