@@ -79,6 +79,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@registered
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.topk import top_k
