@@ -11,7 +11,13 @@ from kairospark.llm.columns import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", stages.drop_toxic),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_contaminated),
+    ("secrets", stages.mask_secrets),
+    ("packing", stages.pack_documents),
+]
 
 #: SQL can't express the learned stages; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None

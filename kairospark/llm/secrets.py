@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -292,34 +293,58 @@ def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return weights, move, certain_outside(weights, move)
 
 
-def secret_spans(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, bool], *, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """Per row: its id, n_assign, n_access, n_hex, base_sha256, spans (all, the field's as kind crf), and with `redact` also `redacted`: the text with every span, overlapping ones as one, replaced by that string.
+def found_spans(text: str, model: tuple[np.ndarray, np.ndarray, bool]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The patterns' spans, and those that the field adds: not within one of the patterns'."""
+    base = base_spans(text)
+    return base, [(a, 3, b) for a, b in crf_spans(text, model) if not any(s <= a and b <= e for s, _, e in base)]
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with each run of overlapping spans replaced by the mark."""
+    out, at = [], 0
+    for start, _, end in sorted(spans):
+        if end > at:
+            if start >= at:
+                out += [text[at:start], mark]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def secret_spans(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, bool], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: its id, n_assign, n_access, n_hex, base_sha256, and spans (all, the field's as kind crf).
 
     Spans of the field that lie within a pattern's match add nothing and are left out; the patterns' own always stay. Null text: as empty, so no spans. Null id: kept as null. Repeated rows: one result each. Empty table: no rows. Other columns aren't read. One narrow pass over whole texts, no shuffle.
     """
-    import hashlib
-
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 22):
             rows = []
             for text in strings(batch.column("text")):
-                base = base_spans(text)
-                found = [(a, 3, b) for a, b in crf_spans(text, model) if not any(s <= a and b <= e for s, _, e in base)]
+                base, more = found_spans(text, model)
                 counts = [sum(k == n for _, k, _ in base) for n in range(3)]
-                clean = None
-                if redact is not None:
-                    out, at = [], 0
-                    for s, _, e in sorted(base + found):
-                        if e > at:
-                            if s >= at:
-                                out += [text[at:s], redact]
-                            at = e
-                    clean = "".join([*out, text[at:]])
-                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + found), clean))
-            yield pa.record_batch([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 3, strict=True))], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + more)))
+            yield pa.record_batch([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True))], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = own.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
-    return (out if redact is not None else out.drop("redacted")).withColumnRenamed("id", id_col)
+    return own.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+
+
+def without_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, bool], *, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret in `text` replaced by the mark and n_chars, if there is one, counted anew; texts without secrets, null ones among them, and all other columns are as they were. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 22):
+            texts, changed = batch.column("text").to_pylist(), {}
+            for k, text in enumerate(texts):
+                if text and (spans := [x for part in found_spans(text, model) for x in part]):
+                    changed[k] = redacted(text, spans, mark)
+            if changed:
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+                columns["text"] = pa.array([changed.get(k, x) for k, x in enumerate(texts)], batch.schema.field("text").type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(changed[k]) if k in changed else x for k, x in enumerate(columns["n_chars"].to_pylist())], batch.schema.field("n_chars").type)
+                batch = pa.record_batch(list(columns.values()), list(columns))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

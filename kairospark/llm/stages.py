@@ -1 +1,42 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline. Each works on all that the one before it kept and, but for the last, returns the columns of its input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kairospark.llm.decontaminate import decontaminated
+from kairospark.llm.near_dup import near_duplicates
+from kairospark.llm.packing import pack
+from kairospark.llm.queries import table, vocabulary
+from kairospark.llm.secrets import fit_secret_model, without_secrets
+from kairospark.llm.toxicity import fit_toxicity, without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go."""
+    return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays. Rows are told apart by id and text, so clashing or null ids lose nothing; of rows equal in both one stays."""
+    keyed = docs.withColumn("key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    classes = near_duplicates(keyed.select("key", "text"), id_col="key")
+    gone = classes.where("key != class_id").select("key").distinct()
+    kept = keyed.join(gone, "key", "left_anti")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("n = 1").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item within its error budget go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; all documents stay."""
+    return without_secrets(docs, fit_secret_model(docs))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of 2048."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
