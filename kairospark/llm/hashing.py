@@ -22,6 +22,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
+#: For an independent second hash.
+OTHER_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1001)) * _ODD)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -60,15 +62,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = ~SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each word, from prefix sums over about a megabyte at a time."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit polynomial hash of each word, from prefix sums over about a megabyte at a time. values: a random number for each byte; others give an independent hash."""
     out, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + _SLICE, "right")))
         low, high = starts[k], ends[stop - 1]
         up, down = _powers(int(high - low) + 1)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         a, b = starts[k:stop] - low, ends[k:stop] - low
         out[k:stop] = (sums[b] - sums[a]) * down[a]
         k = stop

@@ -10,54 +10,142 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairospark.llm.columns import slices, stored, strings
+from kairospark.llm.columns import slices, stored, utf8
+from kairospark.llm.hashing import ALNUM, OTHER_BYTES, word_hashes
 
 _FIELDS = {"doc": None, "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "open": pa.bool_(), "ids": pa.list_(pa.int32())}
 _LOADED: dict[str, WordEncoder] = {}
 
 
+# Bytes at which a text is cut into units that never share a token, whatever stands around them: at space and line feed, which the tokenizer drops, and between an ASCII letter or digit, or a letter of U+00C0 to U+00FF, and a full stop or comma.
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+_PLAIN = ALNUM.copy()
+_PLAIN[0x80:] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each unit, and for each row the index of its first unit (one entry more than rows)."""
+    solid, stop, word = ~_GAP[data], _STOP[data], _PLAIN[data]
+    ends_word = word.copy()
+    if len(data) > 1:
+        ends_word[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data) + 1, bool)  # before this byte
+    cut[1:-1] = solid[1:] != solid[:-1]
+    cut[1:-1] |= stop[1:] & ends_word[:-1] | word[1:] & stop[:-1]
+    cut[offsets] = True
+    edges = np.flatnonzero(cut)
+    starts, ends = edges[:-1], edges[1:]
+    keep = solid[starts]
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 class WordEncoder:
-    """Token ids by a tokenizer that drops white space: a text's ids are those of its space-separated chunks, one after the other, so a chunk is encoded once and looked up afterwards.
+    """Token ids by a tokenizer that drops white space and lower-cases: a text's ids are those of its units, one after the other, so a unit is encoded once and looked up afterwards, many at a time.
 
-    Only U+0020 and line feed cut chunks; other white space stays inside and is left to the tokenizer. Two tables of at most `most` chunks bound the memory: when the younger is full it becomes the older, and what is met again moves back. That changes no result.
+    Units are known by two 64-bit hashes of their bytes, ASCII capitals as small letters. The table is emptied at `most` units, which bounds the memory and changes no result. Texts with marks of special strings, which are looked for before lower-casing, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.clear()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes unseen chunks, many in one call; offsets tell which ids are whose."""
+    def clear(self, slots: int = 1 << 16) -> None:
+        self.n, self.filled = 0, 0
+        self.pool = np.zeros(1 << 18, self.kind)
+        self.keys = np.zeros((2, slots), np.uint64)
+        self.place, self.length = np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        out, mask = np.full(keys.shape[1], -1, np.int64), np.uint64(len(self.place) - 1)
+        left, slot = np.arange(keys.shape[1]), (keys[0] & mask).astype(np.int64)
+        while len(left):
+            same = (self.keys[0][slot] == keys[0][left]) & (self.keys[1][slot] == keys[1][left]) & (self.length[slot] >= 0)
+            out[left[same]] = slot[same]
+            go = ~same & (self.length[slot] >= 0)
+            left, slot = left[go], (slot[go] + 1) & int(mask)
+        return out
+
+    def put(self, keys: np.ndarray, place: np.ndarray, length: np.ndarray) -> None:
+        """New keys, each once."""
+        if 2 * (self.n + len(length)) > len(self.place):
+            held = np.flatnonzero(self.length >= 0)
+            old = self.keys[:, held], self.place[held], self.length[held]
+            slots = len(self.place)
+            while 2 * (self.n + len(length)) > slots:
+                slots *= 2
+            self.keys, self.place, self.length = np.zeros((2, slots), np.uint64), np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+            self.n = 0
+            self.put(*old)
+        mask, left = len(self.place) - 1, np.arange(len(length))
+        slot = (keys[0] & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.length[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            at, which = slot[own], left[own]
+            self.keys[:, at], self.place[at], self.length[at] = keys[:, which], place[which], length[which]
+            rest = np.ones(len(left), bool)
+            rest[own] = False
+            left, slot = left[rest], (slot[rest] + 1) & mask
+        self.n += len(length)
+
+    def learn(self, words: list[str], keys: np.ndarray) -> None:
+        """Encodes unseen units, many in one call; offsets tell which ids are whose."""
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
             code = self.tokenizer.encode_batch([" ".join(part)], add_special_tokens=False)[0]
-            ids, at = np.array(code.ids, self.kind), np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            bounds = np.searchsorted(at, starts)
-            for w, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for w in {w for words in cut for w in words if w not in known}:
-            if (code := older.get(w)) is None:
-                new.append(w)
-            else:
-                known[w] = code
-        self.learn(new)
-        return [np.frombuffer(b"".join([known[w] for w in words]), self.kind) for words in cut]
+            n = len(code.ids)
+            while self.filled + n > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.filled : self.filled + n] = code.ids
+            at = np.fromiter((a for a, _ in code.offsets), np.int64, n)
+            bounds = np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))
+            self.put(keys[:, k : k + 2000], self.filled + bounds[:-1], np.diff(bounds).astype(np.int32))
+            self.filled += n
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each row; null as empty."""
+        special = np.flatnonzero(pc.match_substring(column, "<|").fill_null(False).to_numpy(zero_copy_only=False))
+        data, offsets = utf8(column)
+        starts, ends, first = units(data, offsets)
+        data = _LOWER[data]
+        keys = np.stack([word_hashes(data, starts, ends), word_hashes(data, starts, ends, OTHER_BYTES)])
+        if self.n > self.most:
+            self.clear()
+        slot = self.find(keys)
+        if len(new := np.flatnonzero(slot < 0)):
+            _, once = np.unique(keys[0][new], return_index=True)
+            once, raw, slots = new[once], data.tobytes(), len(self.place)
+            self.learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[once].tolist(), ends[once].tolist(), strict=True)], keys[:, once])
+            if len(self.place) == slots:
+                slot[new] = self.find(keys[:, new])
+            else:  # a larger table
+                slot = self.find(keys)
+        length = self.length[slot].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = self.pool[np.repeat(self.place[slot] - upto[:-1], length) + np.arange(upto[-1])]
+        out = np.split(ids, upto[first[1:-1]])
+        for row in special.tolist():
+            out[row] = np.array(self.tokenizer.encode(column[row].as_py(), add_special_tokens=False).ids, self.kind)
+        return out
 
 
 class Windows:
@@ -136,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             nonlocal own_type
             for batch in slices(batches, "text", batch_bytes):
                 own_type = batch.column("doc").type
-                for doc, ids in zip(batch.column("doc").to_pylist(), encode(strings(batch.column("text"))), strict=True):
+                for doc, ids in zip(batch.column("doc").to_pylist(), encode(batch.column("text")), strict=True):
                     ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                     for at in range(0, len(ids), size):
                         yield min(size, len(ids) - at), (doc, at, ids[at : at + size], len(ids))
