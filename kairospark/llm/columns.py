@@ -23,10 +23,18 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: the lineage is cut, and any executor can read it again."""
     path = scratch(df.sparkSession)
+    thin_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def thin_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 64 MB, unless the session already asks for another size: with long texts, a worker holds a batch and what is made of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "16m")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Values of a string column, null as empty."""
     return column.fill_null("").to_pylist()
@@ -53,6 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

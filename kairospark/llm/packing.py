@@ -56,7 +56,7 @@ class WordEncoder:
     Units are known by two 64-bit hashes of their bytes, ASCII capitals as small letters. The table is emptied at `most` units, which bounds the memory and changes no result. Texts with marks of special strings, which are looked for before lower-casing, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,7 +70,7 @@ class WordEncoder:
         self.n, self.filled = 0, 0
         self.pool = np.zeros(1 << 18, self.kind)
         self.keys = np.zeros((2, slots), np.uint64)
-        self.place, self.length = np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+        self.place, self.length = np.zeros(slots, np.int32), np.full(slots, -1, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or -1."""
@@ -91,7 +91,7 @@ class WordEncoder:
             slots = len(self.place)
             while 2 * (self.n + len(length)) > slots:
                 slots *= 2
-            self.keys, self.place, self.length = np.zeros((2, slots), np.uint64), np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+            self.keys, self.place, self.length = np.zeros((2, slots), np.uint64), np.zeros(slots, np.int32), np.full(slots, -1, np.int32)
             self.n = 0
             self.put(*old)
         mask, left = len(self.place) - 1, np.arange(len(length))
@@ -118,7 +118,7 @@ class WordEncoder:
             self.pool[self.filled : self.filled + n] = code.ids
             at = np.fromiter((a for a, _ in code.offsets), np.int64, n)
             bounds = np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))
-            self.put(keys[:, k : k + 2000], self.filled + bounds[:-1], np.diff(bounds).astype(np.int32))
+            self.put(keys[:, k : k + 2000], self.filled + bounds[:-1], np.diff(bounds))
             self.filled += n
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
