@@ -73,7 +73,8 @@ def _interpolation(full: DataFrame, names: Sequence[str]) -> tuple[DataFrame, di
         x = F.col(f"`{f}`").cast("double")
         point = F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), x.alias("x")))
         before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # Seen from the end, as frames that only shrink are computed anew for each row.
+        after = F.last(point, ignorenulls=True).over(Window.partitionBy("entity_id").orderBy(F.desc("ts_utc")).rowsBetween(Window.unboundedPreceding, 0))
         share = (F.col("__i") - before["i"]) / F.nullif(after["i"] - before["i"], F.lit(0))
         out[f] = F.coalesce(x, before["x"] + (after["x"] - before["x"]) * share, before["x"], after["x"])
     return full, out

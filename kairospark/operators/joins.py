@@ -41,16 +41,15 @@ def first_catalog(catalogs: Sequence[DataFrame]) -> DataFrame:
 
 
 def next_in_grid(rows: DataFrame, grid: DataFrame, time: str = "ts_utc") -> DataFrame:
-    """Each row with target_end: the first grid time after its own, NULL after the last. Rows are dealt by the grid's year and month, and those after a month's last grid time take the next month's first; no window spans everything."""
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    steps = grid.select(F.col("ts_utc").alias("__g")).distinct().withColumn("__m", month(F.col("__g")))
-    firsts = steps.groupBy("__m").agg(F.min("__g").alias("__first"))
-    own = rows.withColumn("__m", month(F.col(time)))
-    both = own.select("*", F.lit(None).cast("timestamp_ntz").alias("__g"), F.col(time).alias("__t"), F.lit(1).alias("__side")).unionByName(
-        steps.select("__m", "__g", F.col("__g").alias("__t"), F.lit(0).alias("__side")), allowMissingColumns=True
-    )
-    w = Window.partitionBy("__m").orderBy("__t", "__side").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("__next", F.first("__g", ignorenulls=True).over(w)).where("__side = 1")
-    months = firsts.select(F.col("__m").alias("__fm"), "__first")
-    fallback = own.select("__m").distinct().join(F.broadcast(months), F.col("__fm") > F.col("__m"), "left").groupBy("__m").agg(F.min("__first").alias("__later"))
-    return found.join(fallback, "__m", "left").withColumn("target_end", F.coalesce("__next", "__later")).drop("__m", "__g", "__t", "__side", "__next", "__later")
+    """Each row with target_end: the first grid time after its own, NULL after the last or without a time.
+
+    Grid times are gathered by day into short arrays, and each row looks into its day's array, else takes the first time of a later day. The tables of days are small, so rows are joined by day without a sort over all of them.
+    """
+    day = F.col(time).cast("date")
+    ticks = grid.select(F.col("ts_utc").alias("__g")).distinct().groupBy(F.col("__g").cast("date").alias("__d")).agg(F.sort_array(F.collect_list("__g")).alias("__ticks"))
+    days = rows.select(day.alias("__day")).where("__day IS NOT NULL").distinct()
+    later = days.join(ticks.select("__d", F.get("__ticks", F.lit(0)).alias("__first")), F.col("__d") > F.col("__day"), "left").groupBy("__day").agg(F.min("__first").alias("__later"))
+    table = later.join(ticks.withColumnRenamed("__d", "__day"), "__day", "left")
+    found = F.get(F.filter("__ticks", lambda x: x > F.col("__t")), F.lit(0))
+    own = rows.withColumns({"__day": day, "__t": F.col(time)})
+    return own.join(table, "__day", "left").withColumn("target_end", F.coalesce(found, "__later")).drop("__day", "__t", "__ticks", "__later")
