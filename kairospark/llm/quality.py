@@ -154,7 +154,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, target: str = "quality",
             yield pa.record_batch([batch.column("id"), batch.column("label"), lists(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["id", "label", "x"])
 
     own = labelled(docs, labels, target, sample).select("id", F.col("label").cast("int").alias("label"), "text")
-    got = own.mapInArrow(run, "id long, label int, x array<float>").toArrow().sort_by("id")
+    got = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()},  label int, x array<float>").toArrow().sort_by("id")
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * WIDTH) if got.num_rows else np.zeros((0, 2 * WIDTH))
     return fit_network(x.astype(np.float64), got["label"].to_numpy().astype(float), vectors)
 

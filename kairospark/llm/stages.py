@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays. Rows are told apart by id and text, so clashing or null ids lose nothing; of rows equal in both one stays."""
-    keyed = docs.withColumn("key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
-    classes = near_duplicates(keyed.select("key", "text"), id_col="key")
-    gone = classes.where("key != class_id").select("key").distinct()
-    kept = keyed.join(gone, "key", "left_anti")
-    return kept.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("n = 1").select(docs.columns)
+    """Of each class of near duplicates the document with the least id stays. Rows are told apart by id and text, so clashing or null ids lose nothing, and a null id counts as the largest; of rows equal in both one stays."""
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    classes = near_duplicates(keyed.select("__key", "text"), id_col="__key")
+    gone = classes.where("__key != class_id").select("__key").distinct()
+    kept = keyed.join(gone, "__key", "left_anti")
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__n = 1").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

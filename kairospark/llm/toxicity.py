@@ -34,7 +34,7 @@ class FactorizationMachine:
         """Probabilities, from (document, hashed term) entries, each given once."""
         row = self.row_of[term]
         doc, row = doc[row >= 0], row[row >= 0]
-        total = np.bincount(doc, self.w[row], docs)
+        total = np.bincount(doc, self.w[row], docs).astype(np.float64)  # whole numbers if there are no entries
         for v in self.v.T:
             total += 0.5 * (np.bincount(doc, v[row], docs) ** 2 - np.bincount(doc, v[row] ** 2, docs))
         return sigmoid(self.bias + total)
@@ -59,9 +59,9 @@ def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048, rank: int = 8, least_docs: int = 3, steps: int = 400, rate: float = 0.03, decay: float = 2e-3, positive: float = 3.0, seed: int = 3) -> FactorizationMachine:
-    """Fits by logistic loss, from the hashed terms of each labelled text. Of terms in at least `least_docs` texts, the `most_terms` with the largest z-score of their log-odds take part. A positive row counts `positive` times, as there are few."""
+    """Fits by logistic loss, from the hashed terms of each labelled text. Of terms in at least `least_docs` texts, the `most_terms` with the largest z-score of their log-odds take part. A positive row counts `positive` times, as there are few. Without labels nothing is called toxic."""
     row_of = np.full(1 << BITS, -1, np.int64)
-    share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
+    share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
     bias = np.array([np.log(share / (1 - share))])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     lengths = np.array([len(r) for r in rows], np.int64)
@@ -103,7 +103,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", s
             yield pa.record_batch([batch.column("id"), batch.column("label"), lists(term.astype(np.int32), np.searchsorted(row, np.arange(batch.num_rows + 1)))], ["id", "label", "terms"])
 
     own = labelled(docs, labels, target, sample).select("id", F.col("label").cast("int").alias("label"), "text")
-    got = own.mapInArrow(run, "id long, label int, terms array<int>").toArrow().sort_by("id")
+    got = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()},  label int, terms array<int>").toArrow().sort_by("id")
     return fit_machine([np.array(x, np.int64) for x in (r.values.to_numpy() for r in got["terms"])], got["label"].to_numpy().astype(float))
 
 
