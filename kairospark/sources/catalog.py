@@ -83,7 +83,12 @@ class FrameSource:
             if bound is not None:
                 df = df.where(keep(at(bound)))
         if q.entities is not None:
-            df = df.where(F.col(schema.entity_column).cast("string").isin([str(e) for e in q.entities]))
+            entity, names = F.col(schema.entity_column), [str(e) for e in q.entities]
+            if dict(df.dtypes)[schema.entity_column] in ("bigint", "int", "smallint", "tinyint"):
+                # Whole numbers are compared as such, so that the filter reaches the scan; a name that is none matches nothing.
+                df = df.where(entity.isin([int(e) for e in names if str(e).lstrip("-").isdigit() and str(int(e)) == e]))
+            else:
+                df = df.where(entity.cast("string").isin(names))
         keys = [schema.time_column, schema.entity_column]
         return df.select(*keys, *(c for c in q.columns if c not in keys)) if q.columns else df
 
