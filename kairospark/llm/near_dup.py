@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kairospark.llm.columns import lists, slices, stored, utf8
 from kairospark.llm.components import components
 from kairospark.llm.hashing import mix, windows, word_hashes, word_spans
+from kairospark.llm.skew import joined
 
 _STEP, _RING, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -181,18 +182,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row of docs: its id, class_id, the least id of its class, and copies, the number of rows with the same words. A class holds equal texts, texts that share at least `least` of their word shingles (multisets of `size` whitespace-separated words, unchanged), and what such links join.
 
     Copies fall together by a fingerprint of their words before anything else, so a text that occurs a million times is signed, compared and linked once. With 24 bands of 5 a pair at 0.8 shares no band, and is missed, with probability 7e-5, and less above.
-    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original. Then, where a band still holds members of several components, all pairs across these, in blocks of `block` texts, so a large family costs one comparison a member and no link is given up. Components come from star contractions.
+    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original. Then, where a band still holds members of several components, all pairs across these, in blocks of `block` texts, so a large family costs one comparison a member and no link is given up. Components come from star contractions. Band keys and fingerprints that hold over a thousandth of all rows are joined by broadcast, under a thousand of them; see skew.joined().
     Null or empty text: all texts without words are copies of each other. Texts of fewer words than a shingle match only their equals. Null ids: the class takes the least other id, null if there is none. Repeated rows: one result each. Empty table: no rows. Other columns aren't read.
     """
     known = stored(prints(docs, id_col, text_col, size, bands, per_band))
     nodes = known.groupBy("print").agg(F.first("bands").alias("bands"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    total = known.count()
     each = nodes.select("print", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(each.join(shared, "key"))
+    shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = stored(joined(each, shared, "key", "n", total * bands))
     mates = members.groupBy("print").agg(F.sum("n").alias("mates"))
     texts = stored(printed_texts(docs, text_col).join(mates.select("print"), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text")))
-    leaders = members.join(mates, "print").groupBy("key").agg(F.max(F.struct("mates", "print"))["print"].alias("leader"))
-    led = stored(members.join(leaders, "key"))
+    leaders = stored(members.join(mates, "print").groupBy("key").agg(F.max(F.struct("mates", "print"))["print"].alias("leader"), F.count("*").alias("held")))
+    led = stored(joined(members, leaders, "key", "held", total * bands).drop("held"))
     pairs = led.where("print != leader").select(F.col("leader").alias("a"), F.col("print").alias("b")).distinct()
     faced = pairs.join(texts.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a")
     links = stored(_verified(faced, size, least))
@@ -215,5 +217,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = nodes.select("print", "least", "copies")
     linked = roots.withColumnRenamed("node", "print").join(firsts, "print")
     classes = linked.join(linked.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("print", "class_id")
-    named = firsts.join(classes, "print", "left").select("print", F.coalesce("class_id", "least").alias("class_id"), "copies")
-    return known.select("id", "print").join(named, "print").select(F.col("id").alias(id_col), "class_id", "copies")
+    named = stored(firsts.join(classes, "print", "left").select("print", F.coalesce("class_id", "least").alias("class_id"), "copies"))
+    return joined(known.select("id", "print"), named, "print", "copies", total).select(F.col("id").alias(id_col), "class_id", "copies")
