@@ -115,6 +115,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_substring_dedup"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM t),
+s AS (SELECT r, unnest(range(1, len(words) - 33)) AS k, words FROM t WHERE len(words) >= 35),
+h AS (SELECT r, k, array_to_string(words[k:k + 34], ' ') AS run FROM s),
+again AS (SELECT r, k, count(*) OVER (PARTITION BY run) > 1 AS repeated FROM h),
+m AS (SELECT w.r, w.k, w.word, coalesce(bool_or(again.repeated) OVER (PARTITION BY w.r ORDER BY w.k ROWS 34 PRECEDING), false) AS gone FROM w LEFT JOIN again ON again.r = w.r AND again.k = w.k),
+o AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY r)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN o ON o.r = t.r"""
+
+
 @registered
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.packing import pack
