@@ -21,10 +21,12 @@ def entities_on(universe: DataFrame, date) -> DataFrame:
 
 
 def spells(universe: DataFrame) -> DataFrame:
-    """(entity_id, since, until) of each stretch of matrix rows with membership; until is excluded, NULL is open. A matrix row holds for all entities until the next one: an entity without an entry in it is no member from then on."""
-    rows = universe.select("date").distinct()
-    until = rows.withColumn("until", F.lead("date").over(Window.orderBy("date")))
-    return universe.where("is_member").select("date", "entity_id").distinct().join(until, "date").select("entity_id", F.col("date").alias("since"), "until")
+    """(entity_id, since, until) of each longest stretch of matrix rows with membership; until is excluded, NULL is open. A matrix row holds for all entities until the next one: an entity without an entry in it is no member from then on. There are as many rows as membership changes, however many dates the matrix has."""
+    w = Window.orderBy("date")
+    rows = universe.select("date").distinct().select("date", F.row_number().over(w).alias("i"), F.lead("date").over(w).alias("until"))
+    members = universe.where("is_member").select("date", "entity_id").distinct().join(rows, "date")
+    run = F.col("i") - F.row_number().over(Window.partitionBy("entity_id").orderBy("i"))
+    return members.withColumn("run", run).groupBy("entity_id", "run").agg(F.min("date").alias("since"), F.max_by("until", "i").alias("until")).drop("run")
 
 
 def restricted(panel: DataFrame, universe: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import warnings
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,14 @@ class _Files:
     def text(self, path: str) -> str:
         return self.spark.read.parquet(path).first()[0]
 
+    def _indexed(self, name: str, kind: str, path: str, rows: int | None, cols: int | None) -> None:
+        row = self.spark.createDataFrame([(name, kind, path, rows, cols)], "name string, kind string, path string, n_rows long, n_cols long").withColumn("created", F.current_timestamp())
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/index")
+
+    def index(self) -> DataFrame:
+        """The latest row of each name."""
+        return self.spark.read.parquet(f"{self.root}/index").groupBy("name", "kind").agg(F.max_by(F.struct("path", "n_rows", "n_cols", "created"), "created").alias("r")).select("name", "kind", "r.*")
+
 
 class ParquetStore(_Files):
     """Frames by id: features, catalog and meta each in a directory; a frame is there once both features and meta are complete. An index row for each frame and state has its path, time and size."""
@@ -67,14 +77,6 @@ class ParquetStore(_Files):
         self._indexed(rid, "frame", path, self.spark.read.parquet(path).count(), len(frame.x.columns))
         return Artifact(rid, "frame", path)
 
-    def _indexed(self, name: str, kind: str, path: str, rows: int | None, cols: int | None) -> None:
-        row = self.spark.createDataFrame([(name, kind, path, rows, cols)], "name string, kind string, path string, n_rows long, n_cols long").withColumn("created", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/index")
-
-    def index(self) -> DataFrame:
-        """The latest row of each name."""
-        return self.spark.read.parquet(f"{self.root}/index").groupBy("name", "kind").agg(F.max_by(F.struct("path", "n_rows", "n_cols", "created"), "created").alias("r")).select("name", "kind", "r.*")
-
     def put_state(self, state: FitState, payload: bytes) -> Artifact:
         path = self.path("states", state.state_id)
         self.put_text(path, json.dumps({"meta": state.meta, "payload": base64.b64encode(payload).decode()}, default=str))
@@ -89,16 +91,22 @@ class ParquetStore(_Files):
 
 
 class RawCache(_Files):
-    """Fetched tables by key; a missing or unreadable one is None."""
+    """Fetched tables by key, with an index row for each; a missing or unreadable one is None."""
 
     def _at(self, key: str) -> str:
         return self.path(hashlib.sha1(key.encode()).hexdigest())
 
     def get(self, key: str) -> DataFrame | None:
-        return self.spark.read.parquet(self._at(key)) if self.there(self._at(key)) else None
+        if not self.there(self._at(key)):
+            return None
+        try:
+            return self.spark.read.parquet(self._at(key))
+        except (PySparkException, Py4JJavaError):
+            return None
 
     def set(self, key: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self._at(key))
+        self._indexed(key, "raw", self._at(key), self.spark.read.parquet(self._at(key)).count(), len(df.columns))
 
 
 class FetchCache(_Files):

@@ -18,14 +18,16 @@ from kairospark.operators.joins import first_catalog, join_frames
 from kairospark.operators.panel import from_long, sliced
 from kairospark.operators.returns import lagged, log_returns, next_squared_return
 from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_splits
-from kairospark.operators.universe import restricted
+from kairospark.operators.universe import entities_on, restricted
 from kairospark.plans.dataset import build_dataset, leaked, target_ends
-from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, SliceSpec, TargetRequest, TimeSpec, UniverseSpec
+from kairospark.plans.ids import feature_id, group_path
+from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, FitState, MissingnessPolicy, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import FetchCache, LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
-from kairospark.plans.templates import CalendarFlags, LagReturns, NextSquaredReturn
+from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
 from kairospark.scratch import scratch
-from kairospark.sources.catalog import FrameSource, Query, TableSchema
+from kairospark.sources.catalog import FrameSource, Query, SeriesSource, TableSchema
 from kairospark.sources.context import DataContext
+from kairospark.streaming.pit_ingest import stream_into
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -85,14 +87,32 @@ def daily_labels_to_closes(spark, sf_dir):
     return context(spark, sf_dir).fetch_panel("bars", Query("daily", ["value"], "2024-01-05", "2024-01-19"))
 
 
+@query("SELECT TIMESTAMP '2024-01-01' + to_days(k::INT) AS date, (k * s)::DOUBLE AS value, 's' || s AS series_id, TIMESTAMP '2024-01-15' AS asof_utc FROM range(31) a(k), range(1, 6) b(s)")
+def series_source(spark, sf_dir):
+    def reader(series, start, end, day):
+        return [(start + timedelta(days=k), float(k * int(series[1:]))) for k in range((end - start).days + 1)]
+
+    source = SeriesSource(spark, "rates", "rates", reader)
+    return source.fetch(Query("rates", start="2024-01-01", end="2024-01-31", entities=[f"s{k}" for k in range(1, 6)], asof="2024-01-15 08:00:00"))
+
+
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix row for each quarter from 1995 on, in which every third customer is no member."""
+    quarters = spark.range(28).select(F.col("id").alias("q"), F.add_months(F.lit("1995-01-01").cast("date"), (3 * F.col("id")).cast("int")).cast("timestamp_ntz").alias("date"))
+    members = table(spark, sf_dir, "orders").select("o_custkey").distinct().crossJoin(F.broadcast(quarters))
+    return members.select("date", F.col("o_custkey").cast("string").alias("entity_id"), ((F.col("o_custkey") + F.col("q")) % 3 != 0).alias("is_member"))
+
+
 @query("""SELECT o_orderkey, o_orderdate AS ts_utc, o_custkey::VARCHAR AS entity_id FROM orders
 WHERE (o_custkey + (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1) % 3 <> 0""")
 def universe_restrict(spark, sf_dir):
     panel = from_long(table(spark, sf_dir, "orders").select("o_orderdate", "o_custkey", "o_orderkey"), "o_orderdate", "o_custkey")
-    quarters = spark.range(28).select(F.col("id").alias("q"), F.add_months(F.lit("1995-01-01").cast("date"), (3 * F.col("id")).cast("int")).cast("timestamp_ntz").alias("date"))
-    members = table(spark, sf_dir, "orders").select("o_custkey").distinct().crossJoin(F.broadcast(quarters))
-    universe = members.select("date", F.col("o_custkey").cast("string").alias("entity_id"), ((F.col("o_custkey") + F.col("q")) % 3 != 0).alias("is_member"))
-    return restricted(panel, universe).select("o_orderkey", "ts_utc", "entity_id")
+    return restricted(panel, membership(spark, sf_dir)).select("o_orderkey", "ts_utc", "entity_id")
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS entity_id FROM orders WHERE (o_custkey + 9) % 3 <> 0")
+def universe_entities_on(spark, sf_dir):
+    return entities_on(membership(spark, sf_dir), "1997-05-20")
 
 
 # ---- calendars -----------------------------------------------------------------------------------------------------
@@ -210,6 +230,25 @@ def align_availability_lowfreq(spark, sf_dir):
     return one.join(two, ["ts_utc", "entity_id"])
 
 
+@query(f"WITH {GRID} SELECT ts_utc, entity_id, CASE WHEN value > 50 THEN value END AS high, CASE WHEN value <= 50 THEN value END AS low, value IS NOT NULL AS high_observed, value IS NOT NULL AS low_observed FROM a")
+def align_observed(spark, sf_dir):
+    sides = daily(spark, sf_dir).select("date", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("high"), F.when(F.col("value") <= 50, F.col("value")).alias("low"))
+    grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
+    own = align_panel(from_long(sides, "date", "user_id"), grid, TableSchema("daily", native_freq="B"), AlignSpec("none"), check=False)
+    return own.select("ts_utc", "entity_id", "high", "low", F.col("high__observed").alias("high_observed"), F.col("low__observed").alias("low_observed"))
+
+
+@query(f"""WITH m AS (SELECT last_day(o_orderdate)::TIMESTAMP AS date, o_orderpriority AS entity_id, max(o_totalprice) AS value FROM orders WHERE last_day(o_orderdate) BETWEEN '1997-01-01' AND '1998-12-31' GROUP BY 1, 2),
+g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('1997-01-01', '1998-12-31')}, (SELECT DISTINCT entity_id FROM m) WHERE isodow(d) < 6)
+SELECT ts_utc, g.entity_id, last_value(value IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY ts_utc ROWS UNBOUNDED PRECEDING) AS carry, (value IS NULL)::INT::DOUBLE AS structural_missing
+FROM g LEFT JOIN m ON m.date = g.ts_utc AND m.entity_id = g.entity_id""")
+def macro_carry(spark, sf_dir):
+    months = table(spark, sf_dir, "orders").groupBy(F.last_day("o_orderdate").cast("timestamp_ntz").alias("date"), F.col("o_orderpriority").alias("series")).agg(F.max("o_totalprice").alias("value"))
+    ctx = DataContext(spark, {"macro": FrameSource("macro", {"macro.series": months}, {"macro.series": TableSchema("macro.series", entity_column="series", native_freq="M")})})
+    frame = MacroCarry().transform(ctx, {"source": "macro"}, SliceSpec("1997-01-01", "1998-12-31"))
+    return frame.x.select("ts_utc", "entity_id", *(F.col(f"`{row['feature_id']}`").alias(row["transform"]) for row in frame.catalog))
+
+
 # ---- calendar flags ------------------------------------------------------------------------------------------------
 def _flags(spark, params: dict) -> DataFrame:
     frame = CalendarFlags().transform(DataContext(spark), params, SliceSpec("2023-12-01", "2024-12-31", ["A", "B", "C"]))
@@ -251,6 +290,14 @@ def pit_upsert(spark, sf_dir):
     return t.read().select("series_key", "obs_date", "asof_utc", "value")
 
 
+@query(f"WITH {ALL} SELECT series_key, obs_date, asof_utc, value FROM v")
+def pit_stream_ingest(spark, sf_dir):
+    spool, t = scratch(spark), pit.PitTable(spark, scratch(spark))
+    vintages(spark, sf_dir).repartition(2, "series_key").write.parquet(spool)
+    stream_into(spark.readStream.schema(pit.SCHEMA).option("maxFilesPerTrigger", 1).parquet(spool), t, scratch(spark)).awaitTermination()
+    return t.read().select("series_key", "obs_date", "asof_utc", "value")
+
+
 @query(f"WITH {ALL} {LATEST.format(chr(39).join(('asof_utc <= ', '1998-06-15', '')))}")
 def pit_snapshot(spark, sf_dir):
     return pit.snapshot(vintages(spark, sf_dir), "1998-06-15")
@@ -376,6 +423,32 @@ def dataset_intraday(spark, sf_dir):
     return _dataset(spark, sf_dir, "bars", "30min", "2024-01-08", "2024-01-19", "drop_if_any_nan")
 
 
+class DailyPeak:
+    """Target: the largest value of each day, for all entities."""
+
+    def transform(self, ctx, params, slice, state=None) -> TargetFrame:
+        return TargetFrame(ctx.sources["bars"].tables["daily"].groupBy(F.col("date").alias("ts_utc")).agg(F.max("value").alias("y")))
+
+
+@query(f"""WITH y AS (SELECT ts::DATE::TIMESTAMP AS d, max(value) AS y FROM events GROUP BY ALL)
+SELECT {closes('s.d')} AS ts_utc, entity_id, (isodow(s.d) - 1)::DOUBLE AS dow, y AS target FROM {DAYS.format('2024-01-01', '2024-01-31')} s CROSS JOIN (VALUES ('A'), ('B')) e(entity_id) LEFT JOIN y ON y.d = s.d WHERE isodow(s.d) < 6""")
+def dataset_target_broadcast(spark, sf_dir):
+    spec = DatasetSpec(UniverseSpec(["A", "B"]), TimeSpec("2024-01-01", "2024-01-31", "XNYS", "B"), TargetRequest(DailyPeak(), {}), [FeatureRequest(CalendarFlags(), {"flags": ("dow",)})], missingness=MissingnessPolicy("keep"))
+    made = build_dataset(context(spark, sf_dir), spec, check_keys=False)
+    return made.data.select("ts_utc", "entity_id", F.col(f"`{made.features[0]}`").alias("dow"), "target")
+
+
+@query("""SELECT k::INT AS k, 'lag.logret.' || left(sha256('{"coord":null,"family":"lag","params":{"k":' || k || '},"source_key":"*","source_table":"market.ohlcv","transform":"logret"}'), 12) AS feature_id, 'lag/logret/k=' || k AS group_path FROM range(1, 21) r(k)""")
+def feature_ids(spark, sf_dir):
+    return spark.createDataFrame([(k, feature_id("market.ohlcv", "*", "lag", "logret", {"k": k}), group_path("lag", "logret", {"k": k})) for k in range(1, 21)], "k int, feature_id string, group_path string")
+
+
+@query("""SELECT 'f.one:x' AS feature_id, '{"desk":"rates","team":"a"}' AS tags_json""")
+def catalog_tags(spark, sf_dir):
+    frame = _frame(spark, sf_dir).with_tags({"desk": "equity"}).with_tags({"desk": "rates", "team": "a"}, overwrite=False)
+    return frame.validate().catalog_frame().select("feature_id", "tags_json")
+
+
 @query("SELECT count(*) AS n_leaked FROM events WHERE ts > '2024-01-15 09:32:00'")
 def dataset_leak_count(spark, sf_dir):
     return leaked(event_panel(spark, sf_dir), "2024-01-15 09:32:00")
@@ -522,12 +595,19 @@ def raw_cache_roundtrip(spark, sf_dir):
 def fetch_cache_roundtrip(spark, sf_dir):
     cache = FetchCache(spark, scratch(spark))
     bars = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").alias("date"), F.col("l_suppkey").cast("string").alias("entity_id")).agg(F.max("l_extendedprice").alias("close"))
-    cache.set("other", bars.limit(5))
-    cache.set("lineitem", bars.limit(7))
+    cache.set("other", bars)
+    cache.set("lineitem", bars.withColumn("close", -F.col("close")))
     cache.set("lineitem", bars)
     return cache.get("lineitem").select("date", "entity_id", "close")
 
 
+@query("SELECT 'state:one' AS name, 'weights' AS payload, 'state' AS kind")
+def state_roundtrip(spark, sf_dir):
+    store = ParquetStore(spark, scratch(spark))
+    store.put_state(FitState("state:one", {}), b"weights")
+    return store.index().select("name", F.lit(store.get_state("state:one").decode()).alias("payload"), "kind")
+
+
 def _realization() -> FeatureRealization:
     return FeatureRealization("lag_returns", "1.0", {"source": "bars", "table": "bars", "price_col": "value", "lags": 1}, SliceSpec("2024-01-01", "2024-02-01"))
 

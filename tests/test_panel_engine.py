@@ -17,7 +17,7 @@ from kairospark.operators.align import AlignSpec, align_panel
 from kairospark.operators.joins import first_catalog, join_frames, next_in_grid
 from kairospark.operators.panel import from_long, sliced, unique
 from kairospark.operators.splits import _moved, expanding_splits, purged_kfold, rolling_splits
-from kairospark.operators.universe import entities_on, from_wide, restricted
+from kairospark.operators.universe import entities_on, from_wide, restricted, spells
 from kairospark.plans.dataset import build_dataset, join_feature_frames
 from kairospark.plans.ids import feature_id, group_path
 from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, ParamSpec, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
@@ -133,6 +133,24 @@ def test_universe(spark):
     assert rows(entities_on(u, "2020-01-20")) == [("A",)] and entities_on(u, "2019-01-01").isEmpty()
 
 
+def test_spells_join_up(spark):
+    u = spark.createDataFrame([(day(f"2020-0{k}-01"), "A", k != 3) for k in range(1, 6)] + [(day("2020-02-01"), "B", True)], "date timestamp_ntz, entity_id string, is_member boolean")
+    assert rows(spells(u).select("entity_id", "since", "until")) == [("A", day("2020-01-01"), day("2020-03-01")), ("A", day("2020-04-01"), None), ("B", day("2020-02-01"), day("2020-03-01"))]
+
+
+def test_raw_cache(spark, tmp_path):
+    cache = RawCache(spark, f"file://{tmp_path}")
+    assert cache.get("k") is None
+    for n in (3, 5):
+        cache.set("k", spark.range(n))
+    assert cache.get("k").count() == 5 and cache.index().select("name", "kind", "n_rows").collect() == [("k", "raw", 5)]
+    for part in tmp_path.glob("*/part-*"):
+        part.write_bytes(b"no table")
+    for mark in tmp_path.glob("*/.part-*.crc"):
+        mark.unlink()
+    assert cache.get("k") is None
+
+
 def test_series_source(spark):
     s = SeriesSource(spark, "web", "t", lambda name, start, end, asof: [("2020-01-01", len(name)), ("2020-02-01", 2.5)])
     got = s.fetch(Query("t", entities=["A", "BB"], asof="2020-03-01 12:00"))
