@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairospark.functions.times import at, known, to_utc
@@ -21,12 +21,22 @@ def from_long(df: DataFrame, time_col: str = "date", entity_col: str = "entity_i
     return known(df.select(to_utc(df, time_col).alias("ts_utc"), F.col(f"`{entity_col}`").cast("string").alias("entity_id"), *rest))
 
 
-def sliced(panel: DataFrame, start: Any = None, end: Any = None, entities: Sequence[Any] | None = None) -> DataFrame:
-    """Both time bounds included."""
+def entity_frame(spark: SparkSession, entities: Any) -> DataFrame:
+    """entity_id, from a list of names, which is small, or from a DataFrame with that column, which can grow: each name once, NULL is none."""
+    if isinstance(entities, DataFrame):
+        return entities.select(F.col("entity_id").cast("string").alias("entity_id")).where(F.col("entity_id").isNotNull()).distinct()
+    return F.broadcast(spark.createDataFrame([(str(e),) for e in entities], "entity_id string"))
+
+
+def sliced(panel: DataFrame, start: Any = None, end: Any = None, entities: Sequence[Any] | DataFrame | None = None) -> DataFrame:
+    """Both time bounds included. Entities in a DataFrame are kept by a semi-join."""
     if start is not None:
         panel = panel.where(F.col("ts_utc") >= at(start))
     if end is not None:
         panel = panel.where(F.col("ts_utc") <= at(end))
+    if isinstance(entities, DataFrame):
+        members = entity_frame(panel.sparkSession, entities).withColumnRenamed("entity_id", "member")
+        return panel.join(members, panel["entity_id"] == members["member"], "left_semi")
     return panel if entities is None else panel.where(F.col("entity_id").isin([str(e) for e in entities]))
 
 

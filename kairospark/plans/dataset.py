@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kairospark.functions.calendars import EventGrid, TradingCalendar, build_grid
 from kairospark.functions.times import at, interval, known, utc
 from kairospark.operators.joins import grid_by_entities, join_frames, next_in_grid
-from kairospark.operators.panel import KEYS, unique
+from kairospark.operators.panel import KEYS, entity_frame, unique
 from kairospark.plans.specs import DatasetArtifact, DatasetSpec, FeatureFrame, FeatureRequest, SliceSpec, TargetFrame, TargetRequest
 
 
@@ -20,7 +20,7 @@ def resolve_grid(ctx: Any, calendar: TradingCalendar, spec: DatasetSpec) -> Data
     """ts_utc by the kind of spec.time.grid: an event source, an event grid, or a name."""
     grid, t = spec.time.grid, spec.time
     if hasattr(grid, "events"):
-        return grid.events(ctx, t.start, t.end, list(spec.universe.entities))
+        return grid.events(ctx, t.start, t.end, spec.universe.entities)
     if isinstance(grid, EventGrid):
         return grid.normalized(t.start, t.end)
     if not isinstance(grid, str):
@@ -69,8 +69,7 @@ def _feature(ctx: Any, request: FeatureRequest, base: SliceSpec, calendar: Tradi
     if _labelled(frame):
         x = to_closes(x, calendar)
     if request.broadcast_entities:
-        entities = ctx.spark.createDataFrame([(str(e),) for e in spec.universe.entities], "entity_id string")
-        x = x.drop("entity_id").crossJoin(F.broadcast(entities))
+        x = x.drop("entity_id").crossJoin(entity_frame(ctx.spark, spec.universe.entities))
     out = FeatureFrame(x, frame.catalog, frame.meta, frame.artifacts)
     return out.with_tags(request.tags, overwrite=False) if request.tags else out
 
@@ -91,7 +90,7 @@ def _target(ctx: Any, request: TargetRequest, base: SliceSpec, calendar: Trading
         raise ValueError(f"a target has one column, not {values}")
     y = known(y, KEYS)
     if "entity_id" not in y.columns:
-        y = to_closes(y, calendar).crossJoin(F.broadcast(entities))
+        y = to_closes(y, calendar).crossJoin(entities)
     return y.select(*KEYS, F.col(f"`{values[0]}`").alias(request.name))
 
 
@@ -100,7 +99,7 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
 
     Joins are all on (ts_utc, entity_id). With drop_if_any_nan Catalyst turns the outer joins into inner ones. on_leak: warn, raise or drop rows after as-of, or None for no check; check_keys: repeated keys of a frame raise. Those two take a job for each frame; all else is lazy. persist: a path to write the data to and read it back from.
     """
-    if not spec.universe.entities:
+    if spec.universe.entities.isEmpty() if isinstance(spec.universe.entities, DataFrame) else not spec.universe.entities:
         raise ValueError("the universe is empty")
     if spec.join_policy.how not in ("inner", "outer"):
         raise ValueError(f"unknown join {spec.join_policy.how!r}")
@@ -108,11 +107,11 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
         raise ValueError(f"unknown row policy {spec.missingness.final_row_policy!r}")
     t = spec.time
     calendar = ctx.calendars[t.calendar]
-    base = SliceSpec(utc(t.start), utc(t.end), list(spec.universe.entities), utc(t.asof), t.grid if isinstance(t.grid, str) and ":" in t.grid else f"sessions:{t.calendar}")
+    base = SliceSpec(utc(t.start), utc(t.end), spec.universe.entities if isinstance(spec.universe.entities, DataFrame) else list(spec.universe.entities), utc(t.asof), t.grid if isinstance(t.grid, str) and ":" in t.grid else f"sessions:{t.calendar}")
     grid = resolve_grid(ctx, calendar, spec)
     if grid.isEmpty():
         raise ValueError("the grid is empty")
-    entities = ctx.spark.createDataFrame([(str(e),) for e in spec.universe.entities], "entity_id string")
+    entities = entity_frame(ctx.spark, spec.universe.entities)
     index = grid_by_entities(grid, entities)
     meta: dict[str, Any] = {"name": spec.name, "tags": dict(spec.tags), "target_horizon": spec.target.horizon}
     frames = [_feature(ctx, r, base, calendar, spec, on_leak, meta) for r in spec.features]

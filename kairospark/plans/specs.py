@@ -34,7 +34,7 @@ class ParamSpec:
 class SliceSpec:
     start: Any
     end: Any
-    entities: Sequence[str] | None = None
+    entities: Sequence[str] | DataFrame | None = None
     asof: Any = None
     grid: str | None = None
 
@@ -141,7 +141,7 @@ class TargetRequest:
 
 @dataclass(frozen=True)
 class UniverseSpec:
-    entities: Sequence[str]
+    entities: Sequence[str] | DataFrame  # names, or a DataFrame with entity_id
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,8 @@ class FeatureRealization:
     def id(self) -> str:
         said = lambda t: None if t is None else str(t)
         s = self.slice
+        if isinstance(s.entities, DataFrame):
+            raise TypeError("a realization is identified by a list of entities, not a DataFrame")
         where = dict(asof=said(s.asof), end=str(s.end), entities=None if s.entities is None else list(s.entities), grid=s.grid, start=str(s.start))
         own = dict(params=self.params, slice=where, template=self.template, upstream_snapshot=self.upstream_snapshot, version=self.version)
         return ":".join((self.template, self.version, digest(own, 16)))

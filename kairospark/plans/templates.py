@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.operators.align import NO_UPDATE_EXPECTED, AlignSpec, align_panel
 from kairospark.operators.joins import grid_by_entities
+from kairospark.operators.panel import entity_frame
 from kairospark.operators.returns import lagged, log_returns, next_squared_return
 from kairospark.plans.ids import feature_id, group_path
 from kairospark.plans.specs import FeatureFrame, ParamSpec, SliceSpec, TargetFrame
@@ -40,7 +42,7 @@ class CalendarFlags(Template):
     param_space = {"calendar": ParamSpec("categorical", "XNYS"), "flags": ParamSpec("categorical", ("dow", "is_month_end")), "one_hot_dow": ParamSpec("bool", False)}
 
     def transform(self, ctx: Any, params: dict[str, Any], slice: SliceSpec, state: Any = None) -> FeatureFrame:
-        if not slice.entities:
+        if slice.entities is None or not isinstance(slice.entities, DataFrame) and not slice.entities:
             raise ValueError("the slice needs entities")
         name, flags = self.value(params, "calendar"), self.value(params, "flags")
         day = F.col("ts_utc").cast("date")
@@ -53,7 +55,7 @@ class CalendarFlags(Template):
             columns |= {f"dow_{k}": (F.weekday(day) == k).cast("double") for k in range(7)} if f == "dow" and self.value(params, "one_hot_dow") else {f: made[f]}
         table = f"calendar.{name}"
         ids = {f: feature_id(table, "*", "calendar", f, {}) for f in columns}
-        entities = ctx.spark.createDataFrame([(str(e),) for e in slice.entities], "entity_id string")
+        entities = entity_frame(ctx.spark, slice.entities)
         sessions = ctx.calendars[name].sessions(ctx.spark, slice.start, slice.end).withColumnRenamed("session", "ts_utc")
         x = grid_by_entities(sessions, entities).select("ts_utc", "entity_id", *(c.alias(ids[f]) for f, c in columns.items()))
         group = group_path("calendar", "flags", {})

@@ -387,9 +387,14 @@ def context(spark, sf_dir) -> DataContext:
     return DataContext(spark, {"bars": FrameSource("bars", tables, schemas)})
 
 
+def users(spark, sf_dir) -> DataFrame:
+    """entity_id: every user of the events, and the ids 0 to 149, whether they have events or not."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity_id")).unionByName(spark.range(150).select(F.col("id").cast("string").alias("entity_id"))).where(F.col("entity_id").isNotNull()).distinct()
+
+
 def _dataset(spark, sf_dir, name: str, grid: str, start: str, end: str, policy: str) -> DataFrame:
     params = {"source": "bars", "table": name, "price_col": "value"}
-    spec = DatasetSpec(UniverseSpec([str(k) for k in range(150)]), TimeSpec(start, end, "XNYS", grid), TargetRequest(NextSquaredReturn(), params), [FeatureRequest(LagReturns(), params | {"lags": 2})], missingness=MissingnessPolicy(policy))
+    spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec(start, end, "XNYS", grid), TargetRequest(NextSquaredReturn(), params), [FeatureRequest(LagReturns(), params | {"lags": 2})], missingness=MissingnessPolicy(policy))
     made = build_dataset(context(spark, sf_dir), spec, check_keys=False)
     one, two = made.features
     return made.data.select("ts_utc", "entity_id", F.round(f"`{one}`", 8).alias("lag_1"), F.round(f"`{two}`", 8).alias("lag_2"), F.round("target", 7).alias("target"))

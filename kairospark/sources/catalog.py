@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairospark.functions.times import at, to_utc, utc
+from kairospark.operators.panel import entity_frame
 
 #: Days between a series' points by native frequency.
 CADENCE = {"B": 1, "D": 1, "W": 7, "M": 30, "Q": 90}
@@ -21,7 +22,7 @@ class Query:
     columns: Sequence[str] = ()
     start: Any = None
     end: Any = None
-    entities: Sequence[Any] | None = None
+    entities: Sequence[Any] | DataFrame | None = None
     asof: Any = None
     vintage: str | None = None
     vintage_id: str | None = None
@@ -82,7 +83,7 @@ class FrameSource:
         for bound, keep in ((q.start, lambda b: time >= b), (q.end, lambda b: time <= b), (q.asof, lambda b: time <= b)):
             if bound is not None:
                 df = df.where(keep(at(bound)))
-        if q.entities is not None:
+        if q.entities is not None and not isinstance(q.entities, DataFrame):  # those of a DataFrame are kept by sliced()
             entity, names = F.col(schema.entity_column), [str(e) for e in q.entities]
             if dict(df.dtypes)[schema.entity_column] in ("bigint", "int", "smallint", "tinyint"):
                 # Whole numbers are compared as such, so that the filter reaches the scan; a name that is none matches nothing.
@@ -105,7 +106,7 @@ class SeriesSource:
     def fetch(self, q: Query) -> DataFrame:
         from datetime import datetime, timezone
 
-        if not q.entities:
+        if q.entities is None or not isinstance(q.entities, DataFrame) and not q.entities:
             raise ValueError("entities are needed: one request is made for each")
         reader, start, end = self.reader, q.start, q.end
         asof = q.asof or datetime.now(timezone.utc).replace(tzinfo=None)
@@ -119,5 +120,6 @@ class SeriesSource:
                     got = pd.DataFrame(list(reader(series, start, end, day)), columns=["date", "value"])
                     yield got.assign(date=pd.to_datetime(got["date"]), value=got["value"].astype(float), series_id=series, asof_utc=pd.Timestamp(day))
 
-        names = self.spark.createDataFrame([(str(e),) for e in q.entities], "series_id string").repartition(len(q.entities))
+        names = entity_frame(self.spark, q.entities).withColumnRenamed("entity_id", "series_id")
+        names = names.repartition(max(1, names.count() if isinstance(q.entities, DataFrame) else len(q.entities)))
         return names.mapInPandas(read, "date timestamp_ntz, value double, series_id string, asof_utc timestamp_ntz")

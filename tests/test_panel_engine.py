@@ -4,6 +4,7 @@ import random
 import warnings
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from kairospark.plans.ids import feature_id, group_path
 from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, ParamSpec, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
 from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
+from kairospark.queries import ORACLES, QUERIES
 from kairospark.sources.catalog import FrameSource, Query, SeriesSource, TableSchema
 from kairospark.sources.context import DataContext
 from kairospark.streaming.pit_ingest import stream_into
@@ -286,6 +288,29 @@ def test_dataset(ctx, tmp_path):
     assert dataset(ctx, [macro]).n_rows() > 0 == dataset(ctx, [FeatureRequest(MacroCarry(), {"source": "src", "entities": ["CPI"]})]).n_rows()
 
 
+def test_dataset_universe_is_the_table(spark, tmp_path):
+    # Ids beyond 149 and a null one: the DuckDB forms name the ids 0 to 149 only, so here they run over all users.
+    rows_ = [(k, datetime(2024, 1, d, 12 + h, 5), u, float(1 + (7 * d + 3 * h + u % 11) % 13)) for k, (d, h, u) in enumerate((d, h, u) for d in range(2, 31) for h in range(3, 9) for u in (3, 149, 150, 1499, 70_000))]
+    events = spark.createDataFrame([*rows_, (9999, datetime(2024, 1, 9, 15), None, 1.0)], "event_id long, ts timestamp_ntz, user_id long, value double")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("dataset_drop", "dataset_keep", "dataset_intraday"):
+        assert ORACLES[name].count("range(150)") == 1
+        sql = ORACLES[name].replace("range(150)", "(SELECT range FROM range(150) UNION SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+        got = sorted(map(repr, map(tuple, QUERIES[name](spark, f"file://{tmp_path}").select("ts_utc", "entity_id", "lag_1", "lag_2", "target").collect())))
+        assert got == sorted(map(repr, duck.execute(f"SELECT ts_utc, entity_id, lag_1, lag_2, target FROM ({sql})").fetchall()))
+        assert any("70000" in r for r in got)
+
+
+def test_entities_of_a_frame_are_those_of_a_list(ctx):
+    frame = ctx.spark.createDataFrame([("AAA",), ("BBB",), ("AAA",), (None,)], "entity_id string")
+    features = [FeatureRequest(LagReturns(), {"source": "src", "lags": 3}), FeatureRequest(CalendarFlags())]
+    assert rows(dataset(ctx, features, entities=frame).data) == rows(dataset(ctx, features).data)
+    with pytest.raises(ValueError):
+        dataset(ctx, [], entities=frame.limit(0))
+
+
 def test_dataset_alignment(ctx):
     first = NY.sessions(ctx.spark, "2020-01-01", "2020-01-01")
     x = first.select(F.col("session").alias("ts_utc"), F.lit("AAA").alias("entity_id"), F.lit(1.0).alias("f"))
