@@ -79,7 +79,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
     """Each query's k highest inner products over all vectors, of components floor(scale * x): query_id, rank (from 1), vec_id, score. Ties to the smaller id; all vectors, if fewer than k. Exact.
 
     Queries meet the vectors in blocks: `query_block` queries with `block` vectors at a time, so no task holds more than two blocks, and each pair of blocks gives k rows a query. Query blocks are sent `spread` times, so one block of queries still meets the vectors in many tasks.
-    Vectors that are null, empty, or hold null or non-finite components take no part, nor does a null id. Vectors of another length than the query's aren't compared. A vector with the query's own id is no candidate. Repeated ids: all rows are candidates; of repeated query ids the smallest vector asks. Empty tables: no rows. Other columns aren't read.
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor does a null id. Vectors of another length than the query's aren't compared. A vector with the query's own id is no candidate. Repeated ids: all rows are candidates; of repeated query ids the smallest vector that can take part asks. Empty tables: no rows. Other columns aren't read.
     """
 
     def own(df: DataFrame) -> DataFrame:
@@ -87,7 +87,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
 
     schema = "dim int, block long, ids binary, vectors binary"
     blocks = own(vectors).mapInArrow(lambda b: packed(b, block, scale), schema)
-    asked = own(queries).where(F.col("vector").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
+    usable = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is the largest
+    asked = own(queries).where(usable).groupBy("id").agg(F.min("vector").alias("vector"))
     n = max(1, -(-asked.count() // query_block))
     asking = asked.repartition(n, "id").mapInArrow(lambda b: packed(b, query_block, scale), schema)
     sent = asking.select("dim", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))

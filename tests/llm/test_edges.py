@@ -82,3 +82,11 @@ def test_vectors(spark):
     # The smaller of the repeated query's vectors asks; ties go to the smaller id.
     assert got == {(0, 1): (6, 409 * 1024), (0, 2): (7, 409 * 1024)}
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_a_query_id_with_an_unusable_row_still_asks(spark):
+    nan = float("nan")
+    rows = [(0, []), (0, [0.5, 0.5]), (100, [None, 1.0]), (100, [0.5, 0.25]), (200, [-float("inf"), 0.0]), (200, [0.25, 0.5]), (300, [nan, 1.0]), (300, None), (400, []), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.query_id: r.score for r in top_k(df, df.where("vec_id % 100 = 0")).where("vec_id = 1").collect()}
+    assert got == {0: 512 * 1024, 100: 512 * 1024, 200: 256 * 1024}
