@@ -61,9 +61,11 @@ class Item:
 
 
 class Matcher:
-    """Items cut into budget + 1 pieces each. At least one piece of a passage within the budget is untouched; its first `seed` words are looked up, then the whole piece, then the passage's distance."""
+    """Items cut into budget + 1 pieces each. At least one piece of a passage within the budget is untouched; its first `seed` words, or all of a shorter piece, are looked up, then the whole piece, then the passage's distance."""
 
     def __init__(self, keys: list[int], texts: pa.Array, rate: float, seed: int, least: int):
+        if not 0 <= rate < 1:
+            raise ValueError("the budget is a share of an item's words: 0 or more, under 1")
         words, first, *_ = words_of(texts)
         self.items: list[Item] = []
         #: By length of the looked-up run: its hash, and the pieces that begin with it.
@@ -72,8 +74,7 @@ class Matcher:
             own = words[a:b]
             if len(own) < least:
                 continue
-            budget = min(int(rate * len(own)), len(own) // seed - 1) if len(own) >= seed else 0
-            item = Item(key, own.tolist(), max(0, budget))
+            item = Item(key, own.tolist(), int(rate * len(own)))
             item.forward, item.backward = bits(item.words), bits(item.words[::-1])
             n = item.budget + 1
             cuts = [len(own) * k // n for k in range(n + 1)]
@@ -138,7 +139,7 @@ def _matchers(items: DataFrame, rate: float, seed: int, least: int, most_items:
 def contaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed: int = 4, least: int = 5, most_items: int = 20_000, most_bytes: int = 1 << 25) -> DataFrame:
     """(doc_id, item_id, distance, n_words, start, end) for each row of docs and benchmark item of which the row holds a passage within the item's error budget: the least word edit distance and where it is, start and end in code points of the text.
 
-    Words are lower-case runs of letters and digits, so case, white space and marks don't matter; an edit puts in, takes out or changes a word. The budget is `rate` of the item's words, less where its pieces would fall under `seed` words. Items under `least` words can't be told from ordinary prose and match nothing.
+    Words are lower-case runs of letters and digits, so case, white space and marks don't matter; an edit puts in, takes out or changes a word. The budget is `rate` of the item's words, rounded down; `seed` only says how many words of a piece are looked up first. Items under `least` words can't be told from ordinary prose and match nothing.
     Items travel in blocks of bounded size, each one pass over docs; there is no shuffle. Null or empty text: no match. Null item id or text: no item. Null doc id: kept as null. Repeated documents: one result each; repeated items count once. Empty tables: no rows. Other columns aren't read.
     """
     sc, out = docs.sparkSession.sparkContext, None

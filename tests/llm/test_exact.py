@@ -74,6 +74,22 @@ def test_decontamination_against_brute_force(spark, make):
     assert got == want and len(want) > 20
 
 
+def test_decontamination_of_short_items_against_brute_force(spark, make):
+    rng = random.Random(15)
+    items = [prose(rng, n, 300) for n in range(5, 20) for _ in range(2)]
+    texts = []
+    for k in range(300):
+        item = items[k % len(items)]
+        n = len(item.split())
+        texts.append(prose(rng, rng.randint(0, 60), 300) + " " + edited(rng, " ".join(item.split()), min(n, rng.randint(0, n // 5 + 1))) + " " + prose(rng, 20, 300))
+    got = {(r.doc_id, r.item_id): r.distance for r in contaminated(make(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    word = lambda s: re.findall(r"[a-z0-9]+", s.lower())
+    want = {(d, i): x for d, text in enumerate(texts) for i, item in enumerate(items) if (x := distance(word(item), word(text))) <= len(word(item)) // 5}
+    assert got == want
+    for n in (5, 10, 15):
+        assert any(x == n // 5 and len(word(items[i])) == n for (_, i), x in want.items())
+
+
 def test_decontamination_spans_are_the_passages(spark, make):
     item = "The Café serves ten kinds of tea, every day from noon on."
     text = "Énorme 中文 intro: " + item + " Then more."
