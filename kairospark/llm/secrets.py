@@ -52,8 +52,9 @@ _LENGTHS = np.array([8, 12, 16, 20, 24, 32, 40, 64])
 _SIZES = (len(_LENGTHS) + 1, 8, 6, 4, 2, 4, 3, 4, 4, 3, 2)
 _AT = np.cumsum([0, *_SIZES])
 N_FEATURES = int(_AT[-1])
-#: The features of a token that isn't live and has nothing live around it; only those of the file vary.
+#: The features of a token that isn't live and has nothing live around it; only its length, under LONG, and those of the file vary.
 _PLAIN = (0, 7, 0, 0, 0, 0, 0, 0)
+_PLAIN_LENGTHS = int(np.searchsorted(_LENGTHS, LONG - 1, "right")) + 1
 
 
 def tokens(data: np.ndarray) -> dict[str, np.ndarray]:
@@ -186,10 +187,11 @@ def fit_crf(rows: list[np.ndarray], labels: list[np.ndarray], *, steps: int = 15
 
 
 def certain_outside(weights: np.ndarray, move: np.ndarray) -> bool:
-    """Whether a plain token is outside on every best path, whatever the file: its margin exceeds all that two transitions can give. Then sequences may be cut there, with the same result as over the whole text."""
-    plain = weights[[g + v for g, v in zip(_AT, _PLAIN, strict=False)]].sum(0) + weights[_AT[10]]
+    """Whether a plain token is outside on every best path, whatever its length and the file: its margin exceeds all that two transitions can give. Then sequences may be cut there, with the same result as over the whole text."""
+    plain = weights[[g + v for g, v in zip(_AT[1:], _PLAIN[1:], strict=False)]].sum(0) + weights[_AT[10]]
     margin = min(
-        (e := plain + weights[_AT[8] + i] + weights[_AT[9] + j])[0] - max(e[1:])
+        (e := plain + weights[_AT[0] + n] + weights[_AT[8] + i] + weights[_AT[9] + j])[0] - max(e[1:])
+        for n in range(_PLAIN_LENGTHS)
         for i in range(_SIZES[8])
         for j in range(_SIZES[9])
     )

@@ -272,6 +272,20 @@ def test_secrets_base_and_field():
     assert not any(secrets.base_spans(h) for h in hidden)
 
 
+def test_the_proof_covers_every_skipped_length():
+    weights, move = np.zeros((secrets.N_FEATURES, 3)), np.where(secrets._BARRED, -30.0, 0.0)
+    weights[secrets._AT[1] + 7, 0] = 5
+    assert secrets.certain_outside(weights, move)
+    for n, word in ((0, "short"), (1, "lengthier"), (2, "considerable"), (3, "characteristically")):
+        data = np.frombuffer(word.encode(), np.uint8)
+        found = secrets.features(data, secrets.tokens(data), np.array([0]), np.zeros(0, np.int64))
+        assert found[0, 0] == n and not len(secrets.encoded(word)[2])  # skipped
+        bad = weights.copy()
+        bad[secrets._AT[0] + n, 1] = 9
+        assert not secrets.certain_outside(bad, move)
+        assert secrets.crf_spans(word, (bad, move, False)) == [(0, len(word))]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(13)
     for _ in range(50):
