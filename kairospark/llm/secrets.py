@@ -239,12 +239,12 @@ _PHRASES = ('token = "{}"', "secret: {}", "password={}", "api_key = '{}'", "{}",
 
 
 def training_rows(texts: list[str], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sequences from real texts, where the patterns' matches are the secrets, and from the same texts with made-up secrets in common phrases."""
+    """Sequences from real texts, where the patterns' matches are the secrets, and from the same texts with a made-up secret in a common phrase anywhere in them: of those the sequences around it, with the features of the whole file."""
     rng = np.random.default_rng(seed)
     rows: list[np.ndarray] = []
     labels: list[np.ndarray] = []
 
-    def add(text: str, secrets: list[tuple[int, int]]) -> None:
+    def add(text: str, secrets: list[tuple[int, int]], only: tuple[int, int] | None = None) -> None:
         data, t, near, cue = encoded(text)
         if not len(near):
             near = np.arange(min(8, len(t["start"])))
@@ -253,6 +253,7 @@ def training_rows(texts: list[str], seed: int = 7) -> tuple[list[np.ndarray], li
         if len(data) != len(text):
             at = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in text)])
             secrets = [(int(at[a]), int(at[b])) for a, b in secrets]
+            only = only and (int(at[only[0]]), int(at[only[1]]))
         own = np.zeros(len(near), np.int64)
         for a, b in secrets:
             inner = (t["start"][near] >= a) & (t["end"][near] <= b)
@@ -262,6 +263,8 @@ def training_rows(texts: list[str], seed: int = 7) -> tuple[list[np.ndarray], li
         x = features(data, t, near, cue)
         for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(near) > 1) + 1):
             for k in range(0, len(part), 64):
+                if only and (t["start"][near[part[k]]] >= only[1] or t["end"][near[part[k : k + 64][-1]]] <= only[0]):
+                    continue
                 rows.append(x[part[k : k + 64]])
                 labels.append(own[part[k : k + 64]])
                 if labels[-1][0] == 2:
@@ -274,23 +277,26 @@ def training_rows(texts: list[str], seed: int = 7) -> tuple[list[np.ndarray], li
         add(text, known)
         alphabet, least, most = _SHAPES[rng.integers(len(_SHAPES))]
         secret = "".join(rng.choice(list(alphabet), rng.integers(least, most + 1)))
-        words = text.split(" ")[:40]
+        words = text.split(" ")
         at = int(rng.integers(len(words) + 1))
         left, right = _PHRASES[rng.integers(len(_PHRASES))].split("{}")
-        head = " ".join(words[:at]) + " " + left
-        add(head + secret + right + " " + " ".join(words[at:]), [(len(head), len(head) + len(secret))])
+        before, after = " ".join(words[:at]), " ".join(words[at:])
+        head = before + " " + left
+        made, tail = (len(head), len(head) + len(secret)), head + secret + right + " "
+        moved = len(tail) - (len(text) - len(after))
+        add(tail + after, [(a, b) if b <= len(before) else (a + moved, b + moved) for a, b in known] + [made], made)
     return rows, labels
 
 
-def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The field's weights, from a bounded sample: the `sample` rows with the smallest hash of their id. `chars` bounds a sampled text for training only; scans read whole texts."""
+def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, chars: int = 20_000, sequences: int = 6000) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The field's weights, from a bounded sample: the `sample` rows with the smallest hash of their id. `chars` bounds a sampled text and `sequences` the number of training sequences, those with the smallest hash of their place, for training only; scans read whole texts."""
     ids = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     keys = [r[0] for r in ids.collect() if r[0] is not None]
     texts = [r[0] for r in docs.where(F.col(id_col).isin(keys)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars)).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample).collect()]
     rows, labels = training_rows(texts or [""])
     if not rows:
         rows, labels = training_rows(["a b c"])
-    keep = np.argsort(mix(np.arange(len(rows), dtype=np.uint64)), kind="stable")[:6000]
+    keep = np.argsort(mix(np.arange(len(rows), dtype=np.uint64)), kind="stable")[:sequences]
     weights, move = fit_crf([rows[k] for k in keep], [labels[k] for k in keep])
     return weights, move, certain_outside(weights, move)
 

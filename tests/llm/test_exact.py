@@ -17,6 +17,7 @@ from kairospark.llm.components import components
 from kairospark.llm.decontaminate import bits, contaminated, myers
 from kairospark.llm.near_dup import bag_minhash, near_duplicates
 from kairospark.llm.packing import WordEncoder, pack
+from kairospark.llm.secrets import fit_secret_model
 from kairospark.llm.quality import fit_quality, quality_scores
 from kairospark.llm.substrings import without_repeats
 from kairospark.llm.token_counts import pieces, token_counts
@@ -272,6 +273,21 @@ def test_secrets_base_and_field():
     assert not any(secrets.base_spans(h) for h in hidden)
 
 
+def test_made_up_secrets_are_learnt_anywhere_with_the_whole_file():
+    # Digits throughout, three cues and a known secret: steps 3 and 2 of the file's features, which forty words of it needn't have.
+    text = " ".join(["plain words only"] * 40 + ["12 34 56 78 90"] * 200 + ['token = "abcdef123456" secret passwd'] + ["12 34 56 78 90"] * 200)
+    data, t, _, cue = secrets.encoded(text)
+    share, cues = secrets.file_features(data, t, len(cue))
+    assert (share, cues) == (3, 2)
+    for seed in range(30):
+        rows, labels = secrets.training_rows([text], seed)
+        injected = [(r, y) for r, y in list(zip(rows, labels, strict=True)) if (y == 1).any()]
+        assert len(injected) >= 2  # the text's own, and the made-up one
+        for r, _ in injected:
+            assert (r[:, 8] == secrets._AT[8] + share).all() and (r[:, 9] == secrets._AT[9] + cues).all()
+    assert fit_secret_model.__kwdefaults__["sequences"] == 6000
+
+
 def test_the_proof_covers_every_skipped_length():
     weights, move = np.zeros((secrets.N_FEATURES, 3)), np.where(secrets._BARRED, -30.0, 0.0)
     weights[secrets._AT[1] + 7, 0] = 5
