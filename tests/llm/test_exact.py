@@ -164,8 +164,8 @@ def test_near_duplicates_against_brute_force(make):
             if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    for block in (128, 2):
-        assert {r.doc_id: r.class_id for r in near_duplicates(make(texts), block=block).collect()} == dict(enumerate(root))
+    for block, elements in ((128, 1 << 22), (2, 1 << 22), (2048, 400)):
+        assert {r.doc_id: r.class_id for r in near_duplicates(make(texts), block=block, elements=elements).collect()} == dict(enumerate(root))
 
 
 def test_top_k_against_brute_force(spark):
