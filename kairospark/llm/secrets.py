@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairospark.llm.columns import slices, strings
-from kairospark.llm.hashing import mix
+from kairospark.llm.columns import slices, strings, utf8
+from kairospark.llm.hashing import word_spans
 
 # The kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "crf")
@@ -21,8 +23,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-#: Words that stand before secrets, lower case.
-CUES = ("passw", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "pwd", "auth")
+#: Parts of words that stand before secrets, lower case.
+CUES = re.compile(rb"passw|secret|token|credential|bearer|pwd|auth|key")
+
+Model = tuple[np.ndarray, np.ndarray]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -41,88 +45,98 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 # ---- tokens and their features -------------------------------------------------------------------------------------
-# A token is a run of ASCII letters, digits, + / _ - or any byte above ASCII. A token is live if it has 8 bytes or more, one a digit, or 20 or more; a cue makes the tokens around it live.
-_CLASS = np.zeros(256, np.uint8)
+# A token is a run of ASCII letters, digits, + / _ - or any byte above ASCII. Byte classes: 1 lower case, 2 a to f, 3 upper case, 4 digit, 5 above ASCII, 6 mark.
+_CLASS = np.zeros(256, np.int8)
 _CLASS[0x80:] = 5
 for _chars, _k in (("ghijklmnopqrstuvwxyz", 1), ("abcdef", 2), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3), ("0123456789", 4), ("+/_-", 6)):
     _CLASS[list(_chars.encode())] = _k
-LEAST_LIVE, LONG, AROUND = 8, 20, 3
-_LENGTHS = np.array([8, 12, 16, 20, 24, 32, 40, 64])
-#: Offsets of the feature groups: length, make-up, digits' share, cue before, mark before, quotes, joined to the last, live neighbours, the file's digits, the file's cues, prefix.
-_SIZES = (len(_LENGTHS) + 1, 8, 6, 4, 2, 4, 3, 4, 4, 3, 2)
+_SOLID = _CLASS > 0
+_SORT = np.array([0, 1, 1, 2, 3, 4, 5], np.int8)  # for switches: the two lower-case classes are one
+_VOWEL = np.zeros(256, np.int8)
+_VOWEL[list(b"aeiouyAEIOUY")] = 1
+_LENGTHS = np.array([3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 40, 64])
+_MAKES, _CUE_STEPS = 12, 5
+#: Sizes of the feature groups: length, make-up, digits' share, switches between kinds of characters, vowels' share, cue before, mark before, quotes, joined to the last, make-up of the word before and after, the file's digits and cues, and pairs: length and make-up, cue and make-up, cue and length, make-up and vowels' share.
+_SIZES = (len(_LENGTHS) + 1, _MAKES, 6, 6, 7, _CUE_STEPS, 3, 4, 3, _MAKES + 1, _MAKES + 1, 4, 3, (len(_LENGTHS) + 1) * _MAKES, _CUE_STEPS * _MAKES, _CUE_STEPS * (len(_LENGTHS) + 1), _MAKES * 7)
 _AT = np.cumsum([0, *_SIZES])
 N_FEATURES = int(_AT[-1])
-#: The features of a token that isn't live and has nothing live around it; only its length, under LONG, and those of the file vary.
-_PLAIN = (0, 7, 0, 0, 0, 0, 0, 0)
-_PLAIN_LENGTHS = int(np.searchsorted(_LENGTHS, LONG - 1, "right")) + 1
-
-
-def tokens(data: np.ndarray) -> dict[str, np.ndarray]:
-    """The tokens of one text's bytes and what they are made of."""
-    kind = _CLASS[data]
-    edge = np.diff((kind > 0).astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    digit = np.cumsum(np.concatenate([[0], kind == 4]), dtype=np.int64)
-    return {"start": start, "end": end, "digits": digit[end] - digit[start], "kind": kind}
-
-
-def lively(t: dict[str, np.ndarray], low: str | bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of tokens to decode (live ones and those around them) and of tokens that hold a cue."""
-    length = t["end"] - t["start"]
-    live = (length >= LEAST_LIVE) & (t["digits"] > 0) | (length >= LONG)
-    cues = [m.start() for m in _CUE_B.finditer(low)] if any(c in low for c in _CUES_B) else []
-    cue = np.unique(np.searchsorted(t["start"], np.array(cues, np.int64), "right") - 1)
-    hot = np.concatenate([np.flatnonzero(live), cue])
-    near = np.unique((hot[:, None] + np.arange(-AROUND, AROUND + 1)).ravel())
-    return near[(near >= 0) & (near < len(length))], cue[cue >= 0]
-
-
-_CUES_B = tuple(c.encode() for c in CUES)
-_CUE_B = re.compile(b"|".join(_CUES_B))
-
-
-def features(data: np.ndarray, t: dict[str, np.ndarray], near: np.ndarray, cue: np.ndarray) -> np.ndarray:
-    """One feature of each group for each token in `near`: shape, neighbouring words, and the file's own."""
-    start, end, n = t["start"], t["end"], len(t["start"])
-    length = end - start
-    live = ((length >= LEAST_LIVE) & (t["digits"] > 0) | (length >= LONG)).astype(np.int64)
-    a, b = start[near], end[near]
-    size = b - a
-    counts = np.zeros((len(near), 7), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        counts[i] = np.bincount(t["kind"][x:y], minlength=7)[:7]
-    low, hexa, up, dig, far, sym = (counts[:, k] for k in (1, 2, 3, 4, 5, 6))
-    make = np.select([far > 0, sym > 0, dig == size, (dig + hexa == size) & (dig > 0), (dig + up == size) & (dig > 0), (dig > 0) & (up > 0), dig > 0], [0, 1, 2, 3, 4, 5, 6], 7)
-    is_live = live[near] > 0
-    out = np.zeros((len(near), len(_SIZES)), np.int64)
-    out[:, 0] = np.where(size >= 8, np.searchsorted(_LENGTHS, size, "right"), 0)
-    out[:, 1] = np.where(is_live, make, 7)
-    out[:, 2] = np.where(is_live, np.minimum(5, dig * 10 // np.maximum(size, 1)), 0)
-    has = np.zeros(n + 8, np.int64)
-    has[cue] = 1
-    back = [has[near - k] * (near >= k) for k in (0, 1, 2, 3)]
-    out[:, 3] = np.select([back[1] > 0, back[2] > 0, (back[3] > 0) | (back[0] > 0)], [1, 2, 3], 0)
-    sure = np.append(data, np.zeros(1, np.uint8))
-    before, gap = sure[np.maximum(a - 1, 0)] * (a > 0), a - np.where(near > 0, end[near - 1], 0)
-    marks = np.cumsum(np.concatenate([[0], (data == 0x3D) | (data == 0x3A)]), dtype=np.int64)
-    near_cue = out[:, 3] > 0
-    mark = marks[a] - marks[np.where(near > 0, end[near - 1], 0)] > 0
-    quote, quoted = (before == 0x22) | (before == 0x27), np.isin(sure[b], (0x22, 0x27))
-    alive = is_live | near_cue
-    out[:, 4] = mark & alive
-    out[:, 5] = (quote + 2 * quoted) * alive
-    out[:, 6] = np.where(is_live & (near > 0) & (gap == 1), np.where(before == 0x2E, 1, 2), 0)
-    lives = np.concatenate([live, [0]])
-    out[:, 7] = (lives[near - 1] * (near > 0) + 2 * lives[near + 1]) * is_live
-    out[:, 8:10] = file_features(data, t, len(cue))
-    out[:, 10] = is_live & (up >= 4) & (dig > 0)
-    return out + _AT[:-1]
-
-
-def file_features(data: np.ndarray, t: dict[str, np.ndarray], cues: int) -> tuple[int, int]:
-    """What a file's tokens all share: the share of digits and the number of cues, in steps."""
-    share = 1000 * int(t["digits"].sum()) // max(1, len(data))
-    return int(np.searchsorted((5, 20, 80), share, "right")), min(2, cues)
+#: Tokens whose features are held at once, and how far a token's features look.
+_CHUNK, _NEAR = 1 << 17, 3
+
+
+def _makeup(size: np.ndarray, counts: dict[int, np.ndarray], first: np.ndarray) -> np.ndarray:
+    """What each token is made of, as one of _MAKES kinds."""
+    low, hexa, up, dig, far, sym = (counts[k] for k in (1, 2, 3, 4, 5, 6))
+    small = low + hexa
+    return np.select(
+        [far > 0, (sym > 0) & (dig == 0) & (up == 0), sym > 0, dig == size, (dig > 0) & (dig + hexa == size), (dig > 0) & (dig + up == size), (dig > 0) & (up > 0) & (small > 0), dig > 0, small == size, up == size, (up == 1) & (first == 3)],
+        range(11),
+        11,
+    )
+
+
+class Tokens:
+    """The tokens of a string column: where each starts and ends, where each row's begin, and what whole rows have: their digits and cues."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        self.start, self.end, self.first = word_spans(data, offsets, _SOLID)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        lower = data.copy()
+        upper = _CLASS[data] == 3
+        lower[upper] += 32
+        at = np.array([m.start() for m in CUES.finditer(lower.tobytes())], np.int64)
+        where = np.searchsorted(self.start, at, "right") - 1
+        self.cue = np.zeros(len(self.start), bool)
+        self.cue[where[at < self.end[where]] if len(at) and len(self.start) else []] = True
+        digits = np.concatenate([[0], np.cumsum(_CLASS[data] == 4, dtype=np.int64)])
+        own = np.diff(offsets)
+        share = 1000 * (digits[offsets[1:]] - digits[offsets[:-1]]) // np.maximum(1, own)
+        cues = np.concatenate([[0], np.cumsum(self.cue)])
+        self.files = np.stack([np.searchsorted((5, 20, 80), share, "right"), np.minimum(2, cues[self.first[1:]] - cues[self.first[:-1]])], 1)
+
+    def features(self, a: int, b: int) -> np.ndarray:
+        """One feature of each group for each of the tokens a to b: shape, neighbouring words, and the file's own."""
+        low, high = max(0, a - _NEAR), min(len(self.start), b + 1)
+        base = self.start[low]
+        start, end, row = self.start[low:high] - base, self.end[low:high] - base, self.row[low:high]
+        data = self.data[base : base + end[-1] + 1]
+        kind, size = _CLASS[data], end - start
+
+        def within(mask: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+            sums = np.zeros(len(mask) + 1, np.int32)
+            np.cumsum(mask, out=sums[1:])
+            return sums[to] - sums[from_]
+
+        counts = {k: within(kind == k, start, end) for k in range(1, 7)}
+        make = _makeup(size, counts, kind[start])
+        length = np.searchsorted(_LENGTHS, size, "right")
+        sort = _SORT[kind]
+        change = np.zeros(len(data), bool)
+        change[1:] = sort[1:] != sort[:-1]
+        switches = np.searchsorted((1, 2, 3, 5, 8), within(change, start + 1, end), "right")
+        letters = counts[1] + counts[2] + counts[3]
+        vowels = within(_VOWEL[data] > 0, start, end)
+        share = np.where(letters < 4, 6, np.minimum(5, 10 * vowels // np.maximum(1, letters)))
+        n = len(start)
+        same = [np.zeros(n, bool)] + [np.concatenate([np.zeros(min(k, n), bool), row[k:] == row[:-k]]) for k in (1, 2, 3)]
+        cue = self.cue[low:high]
+        back = [cue] + [np.concatenate([np.zeros(min(k, n), bool), cue[:-k]]) & same[k] for k in (1, 2, 3)]
+        near_cue = np.select([cue, back[1], back[2], back[3]], [4, 1, 2, 3], 0)
+        last_end = np.where(same[1], np.concatenate([[0], end[:-1]]), start)
+        mark = within((data == 0x3D) | (data == 0x3A), last_end, start) > 0
+        before, after = data[np.maximum(start - 1, 0)] * (start > last_end), data[np.minimum(end, len(data) - 1)]
+        quote, quoted = (before == 0x22) | (before == 0x27), ((after == 0x22) | (after == 0x27)) & (end < len(data))
+        joined = np.where(same[1] & (start - last_end == 1) & (before != 0x20) & (before != 0x0A), np.where(before == 0x2E, 1, 2), 0)
+        left = np.where(same[1], np.concatenate([[0], make[:-1]]), _MAKES)
+        right = np.where(np.concatenate([same[1][1:], [False]]), np.concatenate([make[1:], [0]]), _MAKES)
+        out = [length, make, np.minimum(5, counts[4] * 10 // size), switches, share, near_cue, mark * (1 + (near_cue > 0)), quote + 2 * quoted, joined, left, right, self.files[row, 0], self.files[row, 1]]
+        out += [length * _MAKES + make, near_cue * _MAKES + make, near_cue * (len(_LENGTHS) + 1) + length, make * 7 + share]
+        return (np.stack(out, 1) + _AT[:-1])[a - low : b - low]
+
+
+def encoded(texts: list[str]) -> Tokens:
+    return Tokens(*utf8(pa.array(texts, pa.string())))
 
 
 # ---- the model -----------------------------------------------------------------------------------------------------
@@ -130,181 +144,250 @@ def file_features(data: np.ndarray, t: dict[str, np.ndarray], cues: int) -> tupl
 _BARRED = np.array([[0, 0, 1], [0, 0, 0], [0, 0, 0]], bool)
 
 
-def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The best labels of one sequence; the sequence starts as if after an outside token."""
-    best, back = move[0] + emit[0], np.zeros(emit.shape, np.int64)
-    for k in range(1, len(emit)):
-        paths = best[:, None] + move
-        back[k] = paths.argmax(0)
-        best = paths.max(0) + emit[k]
-    out = [int(best.argmax())]
-    for k in range(len(emit) - 1, 0, -1):
-        out.append(int(back[k][out[-1]]))
-    return np.array(out[::-1])
+def viterbi(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best labels of sequences that stand one after the other in emit, all decoded in step; each starts as if after an outside token."""
+    out = np.zeros(len(emit), np.int8)
+    if not len(lengths):
+        return out
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    best, back = move[0] + emit[starts], np.zeros((len(emit), 3), np.int8)
+    for k in range(1, int(lengths[0])):
+        alive = int(np.searchsorted(-lengths, -k))  # those longer than k
+        paths = best[:alive, :, None] + move
+        back[starts[:alive] + k] = paths.argmax(1)
+        best[:alive] = paths.max(1) + emit[starts[:alive] + k]
+    tag = best.argmax(1)
+    for k in range(int(lengths[0]) - 1, -1, -1):
+        alive = int(np.searchsorted(-lengths, -k))
+        out[starts[:alive] + k] = tag[:alive]
+        tag[:alive] = back[starts[:alive] + k, tag[:alive]]
+    return out
+
+
+def certain(emit: np.ndarray, move: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which tokens are outside on every best path, whatever stands around them. last: a row's last token.
+
+    Of a path with another label there, that label is made outside, and a following `inside`, which may not follow it, `begin`. At most three transitions change, each by at most the spread of the free ones, and the next token's emission; a margin above all of that makes the new path better.
+    """
+    free = move[~_BARRED]
+    following = np.maximum(0, np.append(emit[1:, 2] - emit[1:, 1], 0)) * ~last
+    return emit[:, 0] - np.maximum(emit[:, 1], emit[:, 2]) > 3 * (free.max() - free.min()) + following
+
+
+def decoded(t: Tokens, model: Model, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and their labels on a best path of their row; all others are outside. Every token has its features; sequences are cut where a token is certain to be outside, so the paths are those of whole rows."""
+    weights, move = model
+    n = len(t.start)
+    kept, emits = [], []
+    for a in range(0, n, _CHUNK):
+        b = min(n, a + _CHUNK)
+        more = min(n, b + 1)  # one token more, which certain() looks at
+        emit = np.zeros((more - a, 3))
+        for column in t.features(a, more).T:
+            emit += weights[column]
+        keep = ~certain(emit, move, np.append(np.diff(t.row[a:more]) > 0, more == n))[: b - a] if prune else np.ones(b - a, bool)
+        kept.append(np.flatnonzero(keep) + a)
+        emits.append(emit[: b - a][keep])
+    at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    if not len(at):
+        return at, np.zeros(0, np.int8)
+    emit = np.concatenate(emits)
+    edge = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(t.row[at]) > 0)])
+    begin = np.flatnonzero(edge)
+    lengths = np.diff(np.append(begin, len(at)))
+    # A token after the last of a sequence is certain to be outside; moving there is part of the path.
+    final = at[begin + lengths - 1]
+    emit = emit.copy()
+    emit[(begin + lengths - 1)[(final + 1 < n) & (t.row[np.minimum(final + 1, n - 1)] == t.row[final])]] += move[:, 0]
+    return at, viterbi(emit, move, lengths)
+
+
+def tagged(t: Tokens, model: Model, prune: bool = True) -> list[tuple[int, int, int]]:
+    """(row, start, end) in bytes of the column of what the model tags as secrets."""
+    (at, tags), out = decoded(t, model, prune), []
+    for k in np.flatnonzero(tags == 1).tolist():
+        stop = k
+        while stop + 1 < len(tags) and tags[stop + 1] == 2 and at[stop + 1] == at[stop] + 1 and t.row[at[stop + 1]] == t.row[at[stop]]:
+            stop += 1
+        out.append((int(t.row[at[k]]), int(t.start[at[k]]), int(t.end[at[stop]])))
+    return out
 
 
-def fit_crf(rows: list[np.ndarray], labels: list[np.ndarray], *, steps: int = 150, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, 3) and transitions (3, 3) by the conditional log-likelihood: forward-backward over padded sequences, Adam."""
+def field_spans(column: pa.Array, model: Model, prune: bool = True) -> dict[int, list[tuple[int, int]]]:
+    """For each row of a string column with any: (start, end) in code points of what the model tags as secrets, over the whole text."""
+    t = Tokens(*utf8(column))
+    found: dict[int, list[tuple[int, int]]] = {}
+    for row, a, b in tagged(t, model, prune):
+        found.setdefault(row, []).append((a - int(t.offsets[row]), b - int(t.offsets[row])))
+    for row, spans in found.items():
+        own = t.data[t.offsets[row] : t.offsets[row + 1]]
+        if (own >= 0x80).any():
+            point = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+            found[row] = [(int(point[a]), int(point[b])) for a, b in spans]
+    return found
+
+
+def _lse(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
+
+
+def crf_gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of padded sequences, a token, by weights and transitions: what the labels count less what the model expects, by forward-backward."""
+    n, longest = mask.shape
+    flat, grad_w, grad_m = x[mask], np.zeros_like(weights), np.zeros_like(move)
+    emit = np.zeros((n, longest, 3))
+    emit[mask] = sum(weights[column] for column in flat.T)
+    alpha, beta = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
+    alpha[:, 0] = move[0] + emit[:, 0]
+    for k in range(1, longest):
+        alpha[:, k] = np.where(mask[:, k, None], _lse(alpha[:, k - 1, :, None] + move, 1) + emit[:, k], alpha[:, k - 1])
+    for k in range(longest - 2, -1, -1):
+        beta[:, k] = np.where(mask[:, k + 1, None], _lse(move + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2), beta[:, k + 1])
+    norm = _lse(alpha[:, -1], 1)
+    node = np.exp(alpha + beta - norm[:, None, None])[mask]
+    node[np.arange(len(node)), y[mask]] -= 1
+    for label in range(3):
+        grad_w[:, label] = -np.bincount(flat.ravel(), np.repeat(node[:, label], flat.shape[1]), len(weights))
+    edge = np.exp(alpha[:, :-1, :, None] + move + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * mask[:, 1:, None, None]
+    grad_m -= edge.sum((0, 1))
+    grad_m[0] -= np.exp(alpha[:, 0] + beta[:, 0] - norm[:, None]).sum(0)
+    before = np.concatenate([np.zeros((n, 1), np.int64), y[:, :-1]], 1)
+    np.add.at(grad_m, (before[mask], y[mask]), 1)
+    return grad_w / mask.sum(), grad_m / mask.sum()
+
+
+def fit_crf(rows: list[np.ndarray], labels: list[np.ndarray], *, steps: int = 400, batch: int = 1024, rate: float = 0.1, decay: float = 1e-6, seed: int = 11) -> Model:
+    """Weights (features, 3) and transitions (3, 3) by the conditional log-likelihood of sequences drawn `batch` at a time, with Adam at a falling rate."""
     longest = max(map(len, rows))
     x = np.zeros((len(rows), longest, len(_SIZES)), np.int64)
     y, mask = np.zeros((len(rows), longest), np.int64), np.zeros((len(rows), longest), bool)
     for i, (r, own) in enumerate(zip(rows, labels, strict=True)):
         x[i, : len(r)], y[i, : len(r)], mask[i, : len(r)] = r, own, True
+    rng = np.random.default_rng(seed)
     weights, move = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
-    first, second = [np.zeros_like(weights), np.zeros_like(move)], [np.zeros_like(weights), np.zeros_like(move)]
-    gold_w, gold_m = np.zeros_like(weights), np.zeros_like(move)
-    np.add.at(gold_w, (x[mask], y[mask][:, None]), 1)
-    before = np.concatenate([np.zeros((len(y), 1), np.int64), y[:, :-1]], 1)
-    np.add.at(gold_m, (before[mask], y[mask]), 1)
-    total = mask.sum()
-
-    def lse(a: np.ndarray, axis: int) -> np.ndarray:
-        top = a.max(axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
-
+    held = [[v, np.zeros_like(v), np.zeros_like(v)] for v in (weights, move)]
     for step in range(1, steps + 1):
-        bar = np.where(_BARRED, -30.0, move)
-        emit = weights[x].sum(2)
-        alpha, beta = np.zeros((len(rows), longest, 3)), np.zeros((len(rows), longest, 3))
-        alpha[:, 0] = bar[0] + emit[:, 0]
-        for k in range(1, longest):
-            alpha[:, k] = np.where(mask[:, k, None], lse(alpha[:, k - 1, :, None] + bar, 1) + emit[:, k], alpha[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            beta[:, k] = np.where(mask[:, k + 1, None], lse(bar + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2), beta[:, k + 1])
-        norm = lse(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - norm[:, None, None]) * mask[..., None]
-        grad_w, grad_m = np.zeros_like(weights), np.zeros_like(move)
-        for label in range(3):
-            grad_w[:, label] = np.bincount(x.ravel(), np.repeat(node[..., label].ravel(), len(_SIZES)), N_FEATURES)
-        grad_m[0] += node[:, 0].sum(0)
-        edge = np.exp(alpha[:, :-1, :, None] + bar + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * mask[:, 1:, None, None]
-        grad_m += edge.sum((0, 1))
-        for k, (value, grad) in enumerate(((weights, (gold_w - grad_w) / total - decay * weights), (move, (gold_m - grad_m) / total - decay * move))):
-            first[k] += 0.1 * (grad - first[k])
-            second[k] += 0.01 * (grad**2 - second[k])
-            value += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        own = rng.integers(len(rows), size=min(batch, len(rows)))
+        grads = crf_gradient(x[own], y[own], mask[own], weights, np.where(_BARRED, -30.0, move))
+        for (value, first, second), grad in zip(held, grads, strict=True):
+            grad = np.where(_BARRED, 0, grad) if value is move else grad
+            grad = grad - decay * value
+            first += 0.1 * (grad - first)
+            second += 0.01 * (grad**2 - second)
+            value += rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return weights, np.where(_BARRED, -30.0, move)
 
 
-def certain_outside(weights: np.ndarray, move: np.ndarray) -> bool:
-    """Whether a plain token is outside on every best path, whatever its length and the file: its margin exceeds all that two transitions can give. Then sequences may be cut there, with the same result as over the whole text."""
-    plain = weights[[g + v for g, v in zip(_AT[1:], _PLAIN[1:], strict=False)]].sum(0) + weights[_AT[10]]
-    margin = min(
-        (e := plain + weights[_AT[0] + n] + weights[_AT[8] + i] + weights[_AT[9] + j])[0] - max(e[1:])
-        for n in range(_PLAIN_LENGTHS)
-        for i in range(_SIZES[8])
-        for j in range(_SIZES[9])
-    )
-    free = move[~_BARRED]
-    return bool(margin >= 2 * (free.max() - free.min()))
-
-
-def encoded(text: str) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    t = tokens(data)
-    near, cue = lively(t, raw.lower())
-    return data, t, near, cue
-
-
-def crf_spans(text: str, model: tuple[np.ndarray, np.ndarray, bool]) -> list[tuple[int, int]]:
-    """(start, end) in code points of what the model tags as secrets, over the whole text."""
-    weights, move, pruned = model
-    data, t, near, cue = encoded(text)
-    if not pruned:
-        near = np.arange(len(t["start"]))
-    if not len(near):
-        return []
-    emit, out = weights[features(data, t, near, cue)].sum(1), []
-    for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(near) > 1) + 1):
-        tags, k = viterbi(emit[part], move), 0
-        while k < len(part):
-            if tags[k] == 1:
-                last = k
-                while last + 1 < len(part) and tags[last + 1] == 2:
-                    last += 1
-                out.append((int(t["start"][near[part[k]]]), int(t["end"][near[part[last]]])))
-                k = last
-            k += 1
-    if len(data) != len(text):
-        point = np.cumsum((data & 0xC0) != 0x80)
-        out = [(int(point[a] - 1), int(point[b - 1])) for a, b in out]
-    return out
-
-
 # ---- training ------------------------------------------------------------------------------------------------------
-# Made-up secrets' alphabets and lengths, and the phrases that they stand in for training.
-_SHAPES = (("0123456789abcdef", 20, 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 16, 48), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 60))
-_PHRASES = ('token = "{}"', "secret: {}", "password={}", "api_key = '{}'", "{}", "Authorization: Bearer {}", "key {} end", "auth {}")
-
-
-def training_rows(texts: list[str], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sequences from real texts, where the patterns' matches are the secrets, and from the same texts with a made-up secret in a common phrase anywhere in them: of those the sequences around it, with the features of the whole file."""
-    rng = np.random.default_rng(seed)
+_LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Made-up secrets' alphabets, least and greatest lengths, and whether they need a cue; the phrases that they stand in for training, with a cue and without.
+_SHAPES = (
+    (_DIG + "abcdef", 16, 64, False),
+    (_UP + _DIG, 12, 32, False),
+    (_UP + _LOW + _DIG, 12, 48, False),
+    (_UP + _LOW + _DIG + "+/_-", 20, 60, False),
+    (_LOW + _DIG, 12, 40, False),
+    (_LOW, 14, 32, True),
+    (_UP + _LOW, 12, 32, True),
+    (_UP + _LOW + _DIG, 6, 12, True),
+    (_LOW + _DIG, 6, 12, True),
+)
+_CUED = ('token = "{}"', "secret: {}", "password={}", "api_key = '{}'", "Authorization: Bearer {}", "auth {}", "key {} end", "key: {}", "pwd is {}", "pwd={}", "the password is {} for now", "credentials: user {}", '"client_secret": "{}"', "passwd {}")
+_BARE = ("{}", "({})", '"{}"', "id {} here", "use {}, please", "value={}")
+
+
+def made_up(rng: np.random.Generator) -> tuple[str, str, str]:
+    """A made-up secret and what stands before and after it."""
+    alphabet, least, most, cued = _SHAPES[rng.integers(len(_SHAPES))]
+    secret = "".join(rng.choice(list(alphabet), rng.integers(least, most + 1)))
+    if rng.random() < 0.2:
+        secret = "".join(rng.choice(list(_LOW), rng.integers(2, 5))) + str(rng.choice(["_", "-"])) + secret
+    phrases = _CUED if cued or rng.random() < 0.5 else _BARE
+    left, right = phrases[rng.integers(len(phrases))].split("{}")
+    return secret, left, right
+
+
+def training_rows(text: str, *, made: int = 3, plain: int = 8, reach: int = 5, seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences for training from one text: `made` made-up secrets in common phrases, put anywhere in a copy of it, each with `reach` tokens on either side and the features of the whole file; and `plain` stretches of the text itself, half of them around cues, where the patterns' matches are the secrets. What is drawn hangs on the text alone."""
+    rng = np.random.default_rng((seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))))
     rows: list[np.ndarray] = []
     labels: list[np.ndarray] = []
 
-    def add(text: str, secrets: list[tuple[int, int]], only: tuple[int, int] | None = None) -> None:
-        data, t, near, cue = encoded(text)
-        if not len(near):
-            near = np.arange(min(8, len(t["start"])))
-        if not len(near):
-            return
-        if len(data) != len(text):
-            at = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in text)])
-            secrets = [(int(at[a]), int(at[b])) for a, b in secrets]
-            only = only and (int(at[only[0]]), int(at[only[1]]))
-        own = np.zeros(len(near), np.int64)
-        for a, b in secrets:
-            inner = (t["start"][near] >= a) & (t["end"][near] <= b)
-            own[inner] = 2
-            if inner.any():
-                own[np.flatnonzero(inner)[0]] = 1
-        x = features(data, t, near, cue)
-        for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(near) > 1) + 1):
-            for k in range(0, len(part), 64):
-                if only and (t["start"][near[part[k]]] >= only[1] or t["end"][near[part[k : k + 64][-1]]] <= only[0]):
-                    continue
-                rows.append(x[part[k : k + 64]])
-                labels.append(own[part[k : k + 64]])
-                if labels[-1][0] == 2:
-                    labels[-1][0] = 1
-
-    for text in texts:
-        known = []
-        for start, kind, end in base_spans(text):
-            known.append((ASSIGN.match(text, start).span(2) if kind == 0 else (start, end)))
-        add(text, known)
-        alphabet, least, most = _SHAPES[rng.integers(len(_SHAPES))]
-        secret = "".join(rng.choice(list(alphabet), rng.integers(least, most + 1)))
-        words = text.split(" ")
-        at = int(rng.integers(len(words) + 1))
-        left, right = _PHRASES[rng.integers(len(_PHRASES))].split("{}")
-        before, after = " ".join(words[:at]), " ".join(words[at:])
-        head = before + " " + left
-        made, tail = (len(head), len(head) + len(secret)), head + secret + right + " "
-        moved = len(tail) - (len(text) - len(after))
-        add(tail + after, [(a, b) if b <= len(before) else (a + moved, b + moved) for a, b in known] + [made], made)
+    def known(s: str) -> list[tuple[int, int]]:
+        return [ASSIGN.match(s, start).span(2) if kind == 0 else (start, end) for start, kind, end in base_spans(s)]
+
+    def bytes_at(s: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if s.isascii():
+            return spans
+        at = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in s)])
+        return [(int(at[a]), int(at[b])) for a, b in spans]
+
+    def add(t: Tokens, secrets: list[tuple[int, int]], centre: int) -> None:
+        a, b = max(0, centre - reach), min(len(t.start), centre + reach + 1)
+        own = np.zeros(b - a, np.int64)
+        for s, e in secrets:
+            i, j = np.searchsorted(t.start[a:b], s), np.searchsorted(t.end[a:b], e, "right")
+            own[i:j] = 2
+            if i < j:
+                own[i] = 1
+        rows.append(t.features(a, b))
+        labels.append(own)
+
+    t, own = encoded([text]), bytes_at(text, known(text))
+    if len(t.start):
+        cues = np.flatnonzero(t.cue)
+        near = rng.choice(cues, min(len(cues), plain // 2), replace=False) if len(cues) else []
+        for centre in [*near, *rng.integers(len(t.start), size=plain - len(near))]:
+            add(t, own, int(centre))
+    words, out, spans = text.split(" "), [], []
+    places = np.sort(rng.integers(len(words) + 1, size=made)).tolist()
+    size = 0
+    for k in range(len(words) + 1):
+        while places and places[0] == k:
+            places.pop(0)
+            secret, left, right = made_up(rng)
+            spans.append((size + len(left), size + len(left) + len(secret)))
+            out.append(left + secret + right)
+            size += len(out[-1]) + 1
+        if k < len(words):
+            out.append(words[k])
+            size += len(words[k]) + 1
+    copy = " ".join(out)
+    t, secrets = encoded([copy]), bytes_at(copy, spans)
+    both = secrets + [(s, e) for s, e in bytes_at(copy, known(copy)) if not any(s < y and x < e for x, y in secrets)]
+    for s, _ in secrets:
+        add(t, both, int(np.searchsorted(t.start, s)))
     return rows, labels
 
 
-def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, chars: int = 20_000, sequences: int = 6000) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The field's weights, from a bounded sample: the `sample` rows with the smallest hash of their id. `chars` bounds a sampled text and `sequences` the number of training sequences, those with the smallest hash of their place, for training only; scans read whole texts."""
-    ids = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    keys = [r[0] for r in ids.collect() if r[0] is not None]
-    texts = [r[0] for r in docs.where(F.col(id_col).isin(keys)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars)).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample).collect()]
-    rows, labels = training_rows(texts or [""])
+def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, made: int = 3, plain: int = 8) -> Model:
+    """The field's weights, from a bounded sample: the ids of the `sample` rows with the smallest hash of their id, of each id its least text, whole. Tasks turn each into `made` + `plain` short sequences; only those reach the driver. Null ids are left out; without texts the field knows made-up secrets alone."""
+    few = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in strings(batch.column("text")):
+                rows, labels = training_rows(text, made=made, plain=plain)
+                if rows:
+                    yield pa.record_batch([pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([y.astype(np.int8).tobytes() for y in labels], pa.binary())], ["x", "y"])
+
+    got = own.select("text").mapInArrow(run, "x binary, y binary").toArrow()
+    pairs = sorted(zip(got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
+    rows = [np.frombuffer(x, np.int16).reshape(-1, len(_SIZES)).astype(np.int64) for x, _ in pairs]
+    labels = [np.frombuffer(y, np.int8).astype(np.int64) for _, y in pairs]
     if not rows:
-        rows, labels = training_rows(["a b c"])
-    keep = np.argsort(mix(np.arange(len(rows), dtype=np.uint64)), kind="stable")[:sequences]
-    weights, move = fit_crf([rows[k] for k in keep], [labels[k] for k in keep])
-    return weights, move, certain_outside(weights, move)
+        rows, labels = training_rows("a b c")
+    return fit_crf(rows, labels)
 
 
-def found_spans(text: str, model: tuple[np.ndarray, np.ndarray, bool]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The patterns' spans, and those that the field adds: not within one of the patterns'."""
-    base = base_spans(text)
-    return base, [(a, 3, b) for a, b in crf_spans(text, model) if not any(s <= a and b <= e for s, _, e in base)]
+def added(base: list[tuple[int, int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The field's spans that aren't within one of the patterns'."""
+    starts = np.array([s for s, _, _ in base], np.int64)
+    reach = list(accumulate((e for _, _, e in base), max))
+    return [(a, 3, b) for a, b in more if (k := int(np.searchsorted(starts, a, "right"))) == 0 or reach[k - 1] < b]
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -318,35 +401,38 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def secret_spans(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, bool], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_assign, n_access, n_hex, base_sha256, and spans (all, the field's as kind crf).
 
-    Spans of the field that lie within a pattern's match add nothing and are left out; the patterns' own always stay. Null text: as empty, so no spans. Null id: kept as null. Repeated rows: one result each. Empty table: no rows. Other columns aren't read. One narrow pass over whole texts, no shuffle.
+    Spans of the field that lie within a pattern's match add nothing and are left out; the patterns' own always stay. Null text: as empty, so no spans. Null id: kept as null. Repeated rows: one result each. Very long texts: whole; features are made for about 131,000 tokens at once. Empty table: no rows. Other columns aren't read. One narrow pass over whole texts, no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            rows = []
-            for text in strings(batch.column("text")):
-                base, more = found_spans(text, model)
+            rows, found = [], field_spans(batch.column("text"), model)
+            for k, text in enumerate(strings(batch.column("text"))):
+                base = base_spans(text)
                 counts = [sum(k == n for _, k, _ in base) for n in range(3)]
-                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + more)))
+                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + added(base, found.get(k, [])))))
             yield pa.record_batch([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True))], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return own.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
-def without_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, bool], *, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in `text` replaced by the mark and n_chars, if there is one, counted anew; texts without secrets, null ones among them, and all other columns are as they were. No shuffle."""
+def without_secrets(docs: DataFrame, model: Model, *, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret in `text`, the patterns' and the field's, replaced by the mark and n_chars, if there is one, counted anew.
+
+    Texts without secrets, null and empty ones among them, and all other columns are as they were. Repeated rows: one result each. Empty table: no rows. No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            texts, changed = batch.column("text").to_pylist(), {}
+            texts, changed, found = batch.column("text").to_pylist(), {}, field_spans(batch.column("text"), model)
             for k, text in enumerate(texts):
-                if text and (spans := [x for part in found_spans(text, model) for x in part]):
-                    changed[k] = redacted(text, spans, mark)
+                if text and (base := base_spans(text)) + found.get(k, []):
+                    changed[k] = redacted(text, base + added(base, found.get(k, [])), mark)
             if changed:
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 columns["text"] = pa.array([changed.get(k, x) for k, x in enumerate(texts)], batch.schema.field("text").type)
