@@ -36,13 +36,15 @@ def forward_filled(col: Column, limit: int | None = None) -> Column:
 def align_panel(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: AlignSpec = AlignSpec(), *, fields: Sequence[str] | None = None, compat: bool = False, check: bool = True) -> DataFrame:
     """For each entity of the panel and each grid row: ts_utc, entity_id, and for each field f its filled value f, f__observed and f__availability.
 
-    Values are looked up by day: the panel's times are floored to it. Observed means that some field had a value on the day. Availability, by the series' cadence: daily or unknown, missing_unknown where all fields are missing, else available; longer, no_update_expected where nothing was observed, else available. compat types the observed days of longer cadences as temporary_outage. One join and one window for all fields. check: raises on repeated (day, entity), one aggregate job.
+    Values are looked up by day: the panel's times are floored to it. Observed means that some field had a value on the day. Availability, by the series' cadence: daily or unknown, missing_unknown where all fields are missing, else available; longer, no_update_expected where nothing was observed, else available. compat types the observed days of longer cadences as temporary_outage. One join and one window for all fields. check: raises on repeated (day, entity), one aggregate job, and on an empty panel; without it an empty panel gives no rows.
     """
     if spec.method not in ("none", "ffill", "step_hold", "interp"):
         raise ValueError(f"unknown method {spec.method!r}")
     names = [f for f in (fields or panel.columns) if f not in ("ts_utc", "entity_id", "asof_utc")]
     days = panel.select(F.col("ts_utc").cast("date").alias("day"), "entity_id", *(F.col(f"`{f}`") for f in names))
     if check:
+        if panel.isEmpty():
+            raise ValueError("the panel is empty")
         unique(days, ("day", "entity_id"))
     full = grid_by_entities(grid, panel.select("entity_id").distinct()).withColumn("day", F.col("ts_utc").cast("date"))
     if spec.match == "asof":

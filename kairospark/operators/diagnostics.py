@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairospark.operators.align import NOT_YET_RELEASED
@@ -39,21 +39,23 @@ def attach_importance(catalog: DataFrame, importance: DataFrame, col: str = "imp
     return catalog.drop(col).join(importance.select("feature_id", F.col(col).cast("double").alias(col)), "feature_id", "left")
 
 
-def _aggregated(catalog: DataFrame, by: Sequence[str], col: str, agg: str) -> DataFrame:
-    fns = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "max": F.max, "min": F.min, "count": F.count, "median": F.median, "std": F.stddev_samp}
-    return catalog.groupBy(*by).agg(fns[agg](F.col(col)).alias(col)).orderBy(F.desc_nulls_last(col), *by)
+def _aggregated(catalog: DataFrame, by: Sequence[str], col: str, agg: str | Callable[[Column], Column]) -> DataFrame:
+    named = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct, "prod": F.product}
+    f = agg if callable(agg) else named[agg] if agg in named else getattr(F, agg)
+    keys = [F.col(f"`{c}`") for c in by]
+    return catalog.groupBy(*keys).agg(f(F.col(f"`{col}`")).alias(col)).orderBy(F.desc_nulls_last(col), *keys)
 
 
-def importance_by_data(catalog: DataFrame, by: Sequence[str] = ("source_table", "source_col"), col: str = "importance", agg: str = "sum") -> DataFrame:
-    """Importance by data fields, largest first; missing fields are a group."""
+def importance_by_data(catalog: DataFrame, by: Sequence[str] = ("source_table", "source_col"), col: str = "importance", agg: str | Callable[[Column], Column] = "sum") -> DataFrame:
+    """Importance by data fields, largest first; missing fields are a group. agg: a name (sum, mean, std, var, nunique, prod, or any aggregate of pyspark.sql.functions) or a function of the column."""
     return _aggregated(catalog, by, col, agg)
 
 
-def importance_by_tag(catalog: DataFrame, tag: str, *, col: str = "importance", tags_col: str = "tags_json", agg: str = "sum") -> DataFrame:
+def importance_by_tag(catalog: DataFrame, tag: str, *, col: str = "importance", tags_col: str = "tags_json", agg: str | Callable[[Column], Column] = "sum") -> DataFrame:
     """Importance by a tag, from a map or JSON column; rows without the tag or with broken JSON are left out."""
     tags = F.col(tags_col)
-    value = tags[tag] if dict(catalog.dtypes)[tags_col].startswith("map") else F.get_json_object(tags, f"$.{tag}")
-    return _aggregated(catalog.withColumn(tag, value).where(F.col(tag).isNotNull()), [tag], col, agg)
+    value = (tags if dict(catalog.dtypes)[tags_col].startswith("map") else F.from_json(tags, "map<string,string>"))[tag]  # by name: a dot in it is no path
+    return _aggregated(catalog.withColumn(tag, value).where(F.col(f"`{tag}`").isNotNull()), [tag], col, agg)
 
 
 def leakage_audit(aligned: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairospark.operators.panel import KEYS, unique
+from kairospark.operators.panel import KEYS
 
 
 def grid_by_entities(grid: DataFrame, entities: DataFrame) -> DataFrame:
@@ -28,11 +28,6 @@ def join_frames(frames: Sequence[DataFrame], how: str = "inner") -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(KEYS), "full" if how == "outer" else "inner"), frames)
 
 
-def reindexed(index: DataFrame, frame: DataFrame, check: bool = False) -> DataFrame:
-    """The index's rows with the frame's values where it has them. check: repeated keys in the frame raise ValueError; else they multiply rows."""
-    return index.join(unique(frame) if check else frame, list(KEYS), "left")
-
-
 def first_catalog(catalogs: Sequence[DataFrame]) -> DataFrame:
     """Catalogs one after the other, each feature once: its first entry."""
     numbered = [c.withColumn("__frame", F.lit(k)).withColumn("__row", F.monotonically_increasing_id()) for k, c in enumerate(catalogs)]
@@ -43,12 +38,14 @@ def first_catalog(catalogs: Sequence[DataFrame]) -> DataFrame:
 def next_in_grid(rows: DataFrame, grid: DataFrame, time: str = "ts_utc") -> DataFrame:
     """Each row with target_end: the first grid time after its own, NULL after the last or without a time.
 
-    Grid times are gathered by day into short arrays, and each row looks into its day's array, else takes the first time of a later day. The tables of days are small, so rows are joined by day without a sort over all of them.
+    Grid times are gathered by day into short arrays, and each row looks into its day's array, else takes the first time of a later day. The table of days has a row for each distinct day and one window; rows are joined to it by day, without a sort over all of them.
     """
     day = F.col(time).cast("date")
     ticks = grid.select(F.col("ts_utc").alias("__g")).distinct().groupBy(F.col("__g").cast("date").alias("__d")).agg(F.sort_array(F.collect_list("__g")).alias("__ticks"))
     days = rows.select(day.alias("__day")).where("__day IS NOT NULL").distinct()
-    later = days.join(ticks.select("__d", F.get("__ticks", F.lit(0)).alias("__first")), F.col("__d") > F.col("__day"), "left").groupBy("__day").agg(F.min("__first").alias("__later"))
+    both = days.select(F.col("__day"), F.lit(None).cast("timestamp_ntz").alias("__first")).unionByName(ticks.select(F.col("__d").alias("__day"), F.get("__ticks", F.lit(0)).alias("__first"))).groupBy("__day").agg(F.min("__first").alias("__first"))
+    after = Window.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct day
+    later = both.select("__day", F.last("__first", ignorenulls=True).over(after).alias("__later"))
     table = later.join(ticks.withColumnRenamed("__d", "__day"), "__day", "left")
     found = F.get(F.filter("__ticks", lambda x: x > F.col("__t")), F.lit(0))
     own = rows.withColumns({"__day": day, "__t": F.col(time)})

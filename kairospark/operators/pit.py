@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairospark.files import exists, names, remove
 from kairospark.functions.ref_period import RefPeriod
 from kairospark.functions.times import at, known, to_utc
 
@@ -32,11 +34,13 @@ def normalized(df: DataFrame, now: Any = None) -> DataFrame:
     return known(df.select(*out))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert: rows of new replace those of old with the same key. One shuffle on the key."""
-    both = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("__batch"), F.desc_nulls_last("ingested_utc")))
-    return both.withColumn("__n", rank).where("__n = 1").drop("__n", "__batch")
+def merged(*parts: DataFrame) -> DataFrame:
+    """Upserts one after the other: of rows with the same key that of the last part stays, of one part's the latest ingested. Partial aggregation by key, no sort."""
+    every = [p.withColumn("__part", F.lit(k)) for k, p in enumerate(parts)]
+    rest = [c.split(" ")[0] for c in SCHEMA.split(", ") if c.split(" ")[0] not in KEY]
+    order = F.struct("__part", F.col("ingested_utc").isNotNull(), "ingested_utc")
+    last = reduce(DataFrame.unionByName, every).groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("v"))
+    return last.select(*KEY, "v.*")
 
 
 def snapshot(pit: DataFrame, asof: Any, *, series_key: str | None = None, start: Any = None, end: Any = None, method: str = "latest_leq") -> DataFrame:
@@ -85,32 +89,56 @@ def snapshot_ref(pit: DataFrame, asof: Any, start_ref: str | RefPeriod | None =
 
 
 class PitTable:
-    """The table on shared storage. A version is a directory; a pointer table names the current one, so readers see the old or the new version whole. One writer at a time."""
+    """The table on shared storage: a log of parts, each an upsert's rows with every key once, merged when read. After `most_parts` upserts they are made one part. So an upsert writes its own rows and, over time, each row as often as there are compactions.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    A manifest names the parts, so readers see an upsert whole or not at all. Parts that neither the current nor the last manifest names are removed. One writer at a time: of two with the same manifest number the later one fails.
+    """
 
-    def _current(self) -> str | None:
-        try:
-            rows = self.spark.read.schema("n long, version string").json(f"{self.root}/pointer").orderBy(F.desc("n")).limit(1).collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return (rows[0]["n"], rows[0]["version"]) if rows else None
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = 16):
+        self.spark, self.root, self.most_parts = spark, root.rstrip("/"), most_parts
+
+    def _manifest(self) -> tuple[int, list[str]]:
+        numbers = [int(n.removeprefix("m-")) for n in names(self.spark, f"{self.root}/manifests") if exists(self.spark, f"{self.root}/manifests/{n}/_SUCCESS")]
+        if not numbers:
+            return 0, []
+        return max(numbers), self.spark.read.schema("parts array<string>").json(f"{self.root}/manifests/m-{max(numbers)}").first()["parts"]
+
+    def _publish(self, number: int, parts: list[str]) -> None:
+        before = self._manifest()[1]
+        self.spark.createDataFrame([(parts,)], "parts array<string>").coalesce(1).write.json(f"{self.root}/manifests/m-{number}")
+        for name in names(self.spark, f"{self.root}/parts"):
+            if name not in (*parts, *before):
+                remove(self.spark, f"{self.root}/parts/{name}")
+        if number > 2:
+            remove(self.spark, f"{self.root}/manifests/m-{number - 2}")
+
+    def _part(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/parts/{name}")
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{now[1]}") if now else self.spark.createDataFrame([], SCHEMA)
+        parts = [self._part(p) for p in self._manifest()[1]]
+        return merged(*parts) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, df: DataFrame, *, now: Any = None, last_wins: bool = False) -> None:
-        """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc)."""
-        new = normalized(df, now)
-        bad = new.where(F.greatest(*(F.col(k).isNull() for k in KEY)))
-        if not bad.isEmpty():
-            raise ValueError("a key column is NULL")
-        if not last_wins and not new.groupBy(*KEY).count().where("count > 1").isEmpty():
-            raise ValueError("a key repeats within the batch")
-        at_, version = self._current(), f"v-{uuid.uuid4().hex}"
-        merged(self.read(), new).sortWithinPartitions("series_key", "obs_date").write.parquet(f"{self.root}/{version}")
-        self.spark.createDataFrame([((at_[0] if at_ else 0) + 1, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+        """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc). The batch is evaluated once, written, and checked as written; a refused one is removed."""
+        new, name = normalized(df, now), f"p-{uuid.uuid4().hex}"
+        number, parts = self._manifest()
+        (merged(new) if last_wins else new).sortWithinPartitions("series_key", "obs_date").write.parquet(f"{self.root}/parts/{name}")
+        own = self._part(name)
+        fault = None
+        if not own.where(F.greatest(*(F.col(k).isNull() for k in KEY))).isEmpty():
+            fault = "a key column is NULL"
+        elif not last_wins and not own.groupBy(*KEY).count().where("count > 1").isEmpty():
+            fault = "a key repeats within the batch"
+        if fault:
+            remove(self.spark, f"{self.root}/parts/{name}")
+            raise ValueError(fault)
+        self._publish(number + 1, [*parts, name])
+        if len(parts) + 1 > self.most_parts:
+            self.compact()
+
+    def compact(self) -> None:
+        """All parts as one."""
+        number, name = self._manifest()[0], f"p-{uuid.uuid4().hex}"
+        self.read().sortWithinPartitions("series_key", "obs_date").write.parquet(f"{self.root}/parts/{name}")
+        self._publish(number + 1, [name])

@@ -6,7 +6,7 @@ import warnings
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kairospark.functions.calendars import EventGrid, TradingCalendar, build_grid
@@ -17,12 +17,12 @@ from kairospark.plans.specs import DatasetArtifact, DatasetSpec, FeatureFrame, F
 
 
 def resolve_grid(ctx: Any, calendar: TradingCalendar, spec: DatasetSpec) -> DataFrame:
-    """ts_utc by the kind of spec.time.grid: an event source, an event grid, or a name."""
+    """ts_utc by the kind of spec.time.grid: an event source within the bounds, an event grid as it is, or a name. Each time once."""
     grid, t = spec.time.grid, spec.time
     if hasattr(grid, "events"):
-        return grid.events(ctx, t.start, t.end, spec.universe.entities)
+        return grid.events(ctx, t.start, t.end, spec.universe.entities).select("ts_utc").distinct()
     if isinstance(grid, EventGrid):
-        return grid.normalized(t.start, t.end)
+        return grid.normalized()
     if not isinstance(grid, str):
         raise TypeError(f"no grid: {grid!r}")
     return build_grid(ctx.spark, calendar, t.start, t.end, grid)
@@ -74,8 +74,8 @@ def _feature(ctx: Any, request: FeatureRequest, base: SliceSpec, calendar: Tradi
     return out.with_tags(request.tags, overwrite=False) if request.tags else out
 
 
-def _target(ctx: Any, request: TargetRequest, base: SliceSpec, calendar: TradingCalendar, entities: DataFrame) -> DataFrame:
-    """ts_utc, entity_id, y. Values without an entity are of session labels and hold for all entities."""
+def _target(ctx: Any, request: TargetRequest, base: SliceSpec, calendar: TradingCalendar, entities: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
+    """ts_utc, entity_id, y, and the target's own meta. Values without an entity are of session labels and hold for all entities."""
     got, _ = _materialized(ctx, request, base)
     if isinstance(got, TargetFrame):
         y = got.y
@@ -91,13 +91,13 @@ def _target(ctx: Any, request: TargetRequest, base: SliceSpec, calendar: Trading
     y = known(y, KEYS)
     if "entity_id" not in y.columns:
         y = to_closes(y, calendar).crossJoin(entities)
-    return y.select(*KEYS, F.col(f"`{values[0]}`").alias(request.name))
+    return y.select(*KEYS, F.col(f"`{values[0]}`").alias(request.name)), getattr(got, "meta", {})
 
 
 def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on_leak: str | None = "warn", check_keys: bool = True) -> DatasetArtifact:
     """The grid of all times and entities, left-joined with every feature and the target, and the missingness policy.
 
-    Joins are all on (ts_utc, entity_id). With drop_if_any_nan Catalyst turns the outer joins into inner ones. on_leak: warn, raise or drop rows after as-of, or None for no check; check_keys: repeated keys of a frame raise. Those two take a job for each frame; all else is lazy. persist: a path to write the data to and read it back from.
+    Joins are all on (ts_utc, entity_id). With drop_if_any_nan Catalyst turns the outer joins into inner ones. on_leak: warn, raise or drop rows after as-of, or None for no check; check_keys: repeated keys of a frame raise. Those two take a job for each frame; all else is lazy. persist: a path to write the data to and read it back from. meta has the calendar, grid, bounds and number of features; n_rows too once the data are persisted, else DatasetArtifact.described() counts them.
     """
     if spec.universe.entities.isEmpty() if isinstance(spec.universe.entities, DataFrame) else not spec.universe.entities:
         raise ValueError("the universe is empty")
@@ -113,9 +113,9 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
         raise ValueError("the grid is empty")
     entities = entity_frame(ctx.spark, spec.universe.entities)
     index = grid_by_entities(grid, entities)
-    meta: dict[str, Any] = {"name": spec.name, "tags": dict(spec.tags), "target_horizon": spec.target.horizon}
+    meta: dict[str, Any] = {"name": spec.name, "tags": dict(spec.tags), "calendar": t.calendar, "grid": t.grid, "start": str(t.start), "end": str(t.end), "target_horizon": spec.target.horizon}
     frames = [_feature(ctx, r, base, calendar, spec, on_leak, meta) for r in spec.features]
-    y = _target(ctx, spec.target, base, calendar, entities)
+    y, meta["target"] = _target(ctx, spec.target, base, calendar, entities)
     names = [f for frame in frames for f in frame.features]
     if len(set(names)) < len(names):
         raise ValueError(f"repeated feature names: {sorted({n for n in names if names.count(n) > 1})}")
@@ -126,8 +126,10 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
     if spec.missingness.final_row_policy == "drop_if_any_nan":
         data = data.dropna(how="any", subset=[f"`{c}`" if "." in c else c for c in (*names, spec.target.name)])
     if persist:
-        data.sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(persist)
-        data = ctx.spark.read.parquet(persist)
+        seen = Observation()
+        data.sortWithinPartitions(*KEYS).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(persist)
+        data, meta["n_rows"] = ctx.spark.read.parquet(persist), seen.get["n"]
+    meta["n_features"] = len(names)
     catalog = list({row["feature_id"]: row for f in reversed(frames) for row in reversed(f.catalog)}.values())[::-1]
     return DatasetArtifact(data, names, spec.target.name, catalog, meta, {"artifacts": {k: v for f in frames for k, v in f.artifacts.items()}})
 

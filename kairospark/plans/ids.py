@@ -11,9 +11,15 @@ GROUP_KEYS = ("window", "depth", "lags", "k", "price_col")
 
 
 def canonical(value: Any) -> str:
+    """The text that ids are digests of."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
 
 
+def tags_text(tags: dict[str, Any]) -> str:
+    """Tags as JSON with sorted keys, as catalogs hold them."""
+    return json.dumps(tags, sort_keys=True)
+
+
 def digest(value: Any, length: int) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()[:length]
 

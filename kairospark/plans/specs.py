@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
-from typing import Any, Protocol
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.operators.panel import KEYS
-from kairospark.plans.ids import canonical, digest
+from kairospark.plans.ids import digest, tags_text
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,11 @@ class FeatureFrame:
         rows = []
         for row in self.catalog:
             now = dict(tags) if overwrite else {**row.get("tags", {}), **tags}
-            rows.append(row | {"tags": now, "tags_json": canonical(now)})
+            rows.append(row | {"tags": now, "tags_json": tags_text(now)})
         return FeatureFrame(self.x, rows, self.meta, self.artifacts, self.labels)
 
     def catalog_frame(self) -> DataFrame:
-        rows = [tuple({**{k: None for k in ("group_path", "family", "transform", "source_table", "source_col")}, **r, "tags": {k: str(v) for k, v in r.get("tags", {}).items()}, "tags_json": r.get("tags_json", canonical(r.get("tags", {})))}[n.split(" ")[0]] for n in CATALOG.split(", ")) for r in self.catalog]
+        rows = [tuple({**{k: None for k in ("group_path", "family", "transform", "source_table", "source_col")}, **r, "tags": {k: str(v) for k, v in r.get("tags", {}).items()}, "tags_json": r.get("tags_json", tags_text(r.get("tags", {})))}[n.split(" ")[0]] for n in CATALOG.split(", ")) for r in self.catalog]
         return self.x.sparkSession.createDataFrame(rows, CATALOG)
 
 
@@ -103,6 +103,7 @@ class TargetFrame:
     meta: dict[str, Any] = field(default_factory=dict)
 
 
+@runtime_checkable
 class FeatureTemplate(Protocol):
     name: str
     version: str
@@ -198,6 +199,10 @@ class DatasetArtifact:
     def n_rows(self) -> int:
         return self.data.count()
 
+    def described(self) -> dict[str, Any]:
+        """meta with n_rows, which takes a job unless the data were persisted."""
+        return self.meta | {"n_rows": self.meta["n_rows"] if "n_rows" in self.meta else self.n_rows()}
+
 
 @dataclass(frozen=True)
 class FitState:

@@ -5,15 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import pickle
 import warnings
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from kairospark.files import exists
 from kairospark.plans.specs import Artifact, FeatureFrame, FeatureRealization, FitState
 
 
@@ -37,8 +39,13 @@ class _Files:
         return "/".join((self.root, *(p.replace(":", "_") for p in parts)))
 
     def there(self, path: str, mark: str = "/_SUCCESS") -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path + mark)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, path + mark)
+
+    def written(self, df: DataFrame, path: str) -> int:
+        """Writes df and gives the number of its rows, counted on the way."""
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+        return seen.get["n"]
 
     def put_text(self, path: str, text: str) -> None:
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").parquet(path)
@@ -69,12 +76,12 @@ class ParquetStore(_Files):
 
     def put_frame(self, rid: str, frame: FeatureFrame) -> Artifact:
         path = self.path("frames", rid)
-        frame.x.sortWithinPartitions("entity_id", "ts_utc").write.mode("overwrite").parquet(path)
+        rows = self.written(frame.x.sortWithinPartitions("entity_id", "ts_utc"), path)
         if frame.catalog:
             frame.catalog_frame().coalesce(1).write.mode("overwrite").parquet(self.path("catalogs", rid))
         said = {"meta": frame.meta, "catalog": frame.catalog, "artifacts": {k: asdict(v) for k, v in frame.artifacts.items()}, "labels": frame.labels}
         self.put_text(self.path("meta", rid), json.dumps(said, default=str))
-        self._indexed(rid, "frame", path, self.spark.read.parquet(path).count(), len(frame.x.columns))
+        self._indexed(rid, "frame", path, rows, len(frame.x.columns))
         return Artifact(rid, "frame", path)
 
     def put_state(self, state: FitState, payload: bytes) -> Artifact:
@@ -105,12 +112,11 @@ class RawCache(_Files):
             return None
 
     def set(self, key: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._at(key))
-        self._indexed(key, "raw", self._at(key), self.spark.read.parquet(self._at(key)).count(), len(df.columns))
+        self._indexed(key, "raw", self._at(key), self.written(df, self._at(key)), len(df.columns))
 
 
 class FetchCache(_Files):
-    """One table of bars partitioned by cache key; setting a key replaces its rows alone."""
+    """One table of bars partitioned by cache key; setting a key replaces its rows alone. Files are sorted by date and entity; a DataFrame has no order, so sort what is shown."""
 
     columns = ("date", "entity_id", "open", "high", "low", "close", "volume")
 
@@ -118,11 +124,11 @@ class FetchCache(_Files):
         if not self.there(self.root, ""):
             return None
         df = self.spark.read.parquet(self.root).where(F.col("cache_key") == key).drop("cache_key")
-        return None if df.isEmpty() else df.orderBy("date", "entity_id")
+        return None if df.isEmpty() else df
 
     def set(self, key: str, df: DataFrame) -> None:
         own = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in self.columns), F.lit(key).alias("cache_key"))
-        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(self.root)
+        own.sortWithinPartitions("date", "entity_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(self.root)
 
 
 @dataclass
@@ -143,10 +149,10 @@ class LineageGraph:
 
 @dataclass(frozen=True)
 class MaterializationPolicy:
-    """persist_mode: never, selected (templates named in `selected`) or always. cache_ephemeral: what isn't stored is kept in Spark's cache."""
+    """persist_mode: never, selected (templates named in `selected`) or always. cache_ephemeral: what isn't stored is kept in Spark's cache, once it is first read."""
 
-    persist_mode: str = "always"
-    cache_ephemeral: bool = False
+    persist_mode: str = "selected"
+    cache_ephemeral: bool = True
     selected: tuple[str, ...] = ()
 
     def stores(self, template: str) -> bool:
@@ -154,10 +160,10 @@ class MaterializationPolicy:
 
 
 def materialize(ctx: Any, template: Any, realization: FeatureRealization, policy: MaterializationPolicy = MaterializationPolicy(), lineage: LineageGraph | None = None, fit_slice: Any = None) -> FeatureFrame:
-    """The frame of a realization: from the store if it is there, else fitted, transformed, checked and, by policy, stored and read back, which cuts its lineage."""
+    """The frame of a realization: from the store if it is there, else fitted, transformed, checked and, by policy, stored and read back, which cuts its lineage. A fitted state is stored as its pickle, so read states only from stores that you trust; the lineage has a node for it, linked from the frame."""
     rid = realization.id()
     if lineage is not None:
-        lineage.add(rid, template=realization.template, version=realization.version, params=realization.params)
+        lineage.add(rid, kind="feature", template=realization.template, version=realization.version, params=realization.params, slice=vars(realization.slice))
     if ctx.store is not None and (hit := ctx.store.get_frame(rid)) is not None:
         return hit
     try:
@@ -166,12 +172,12 @@ def materialize(ctx: Any, template: Any, realization: FeatureRealization, policy
         warnings.warn(f"{realization.template}: fit failed: {e}", RuntimeWarning, stacklevel=2)
         state = None
     if state is not None and ctx.store is not None:
-        fitted = FitState(f"state:{rid}", {"realization_id": rid})
-        ctx.store.put_state(fitted, json.dumps(state, default=str).encode())
+        kept = ctx.store.put_state(FitState(f"state:{rid}", {"realization_id": rid}), pickle.dumps(state, protocol=pickle.HIGHEST_PROTOCOL))
         if lineage is not None:
-            lineage.link(fitted.state_id, rid, "state")
+            lineage.add(kept.artifact_id, kind="artifact", type=kept.kind, uri=kept.uri)
+            lineage.link(rid, kept.artifact_id)
     frame = template.transform(ctx, realization.params, realization.slice, state)
-    frame.meta |= {"realization_id": rid, "template": realization.template, "version": realization.version, "params": realization.params, "upstream_snapshot": realization.upstream_snapshot}
+    frame.meta |= {"realization_id": rid, "template": realization.template, "version": realization.version, "params": realization.params, "slice": vars(realization.slice), "upstream_snapshot": realization.upstream_snapshot}
     frame.validate()
     if ctx.store is not None and policy.stores(realization.template):
         ctx.store.put_frame(rid, frame)

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairospark.operators.align import NO_UPDATE_EXPECTED, AlignSpec, align_panel
+from kairospark.operators.align import NO_UPDATE_EXPECTED, NOT_YET_RELEASED, AlignSpec, align_panel
 from kairospark.operators.joins import grid_by_entities
 from kairospark.operators.panel import entity_frame
 from kairospark.operators.returns import lagged, log_returns, next_squared_return
@@ -84,7 +84,7 @@ class LagReturns(Template):
 
 
 class MacroCarry(Template):
-    """A sparse series carried onto the session grid, and a flag for values carried as none was due."""
+    """A sparse series carried onto the session grid, and a flag for values that are missing as none was due or released yet."""
 
     name = "macro_carry"
     param_space = {"value_col": ParamSpec("categorical", "value"), "method": ParamSpec("categorical", "ffill", choices=("ffill", "step_hold", "interp", "none")), "source": ParamSpec("categorical", None), "table": ParamSpec("categorical", "macro.series"), "calendar": ParamSpec("categorical", "XNYS"), "entities": ParamSpec("categorical", None), "match": ParamSpec("categorical", "exact")}
@@ -95,10 +95,10 @@ class MacroCarry(Template):
         panel = ctx.fetch_panel(get("source"), Query(table, [col], slice.start, slice.end, get("entities"), slice.asof, grid=slice.grid))
         grid = ctx.calendars[get("calendar")].sessions(ctx.spark, slice.start, slice.end).withColumnRenamed("session", "ts_utc")
         own = align_panel(panel, grid, ctx.schema(get("source"), table), AlignSpec(get("method"), match=get("match")), fields=[col])
-        value, flag = feature_id(table, "*", "macro", "carry", {"col": col, "method": get("method")}), feature_id(table, "*", "macro", "structural_missing", {"col": col})
+        value, flag = feature_id(table, "*", "macro", "carry", {"col": col, "method": get("method")}), feature_id(table, "*", "macro", "missing_structural", {"col": col})
         state_of = F.col(f"`{col}__availability`")
-        x = own.select("ts_utc", "entity_id", F.col(f"`{col}`").alias(value), state_of.isin(NO_UPDATE_EXPECTED).cast("double").alias(flag))
-        return FeatureFrame(x, [entry(value, "macro/carry", "macro", "carry", table, col), entry(flag, "macro/structural_missing", "macro", "structural_missing", table, col)], labels="session")
+        x = own.select("ts_utc", "entity_id", F.col(f"`{col}`").alias(value), state_of.isin(NO_UPDATE_EXPECTED, NOT_YET_RELEASED).cast("double").alias(flag))
+        return FeatureFrame(x, [entry(value, group_path("macro", "carry", {"col": col}), "macro", "carry", table, col), entry(flag, group_path("macro", "missing_structural", {"col": col}), "macro", "missing_structural", table, col)], labels="session")
 
 
 class NextSquaredReturn(Template):

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairospark.functions import ref_period as ref
 from kairospark.functions.calendars import EventGrid, FixedIntervalEvents, SessionCloseEvents, TradingCalendar, build_grid
-from kairospark.functions.times import at
+from kairospark.functions.times import at, to_utc
 from kairospark.operators import diagnostics as diag
 from kairospark.operators import pit
 from kairospark.operators.align import AlignSpec, align_panel
 from kairospark.operators.joins import first_catalog, join_frames
-from kairospark.operators.panel import from_long, sliced
+from kairospark.operators.panel import from_long, ordered, repeated_keys, sliced
 from kairospark.operators.returns import lagged, log_returns, next_squared_return
 from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_splits
 from kairospark.operators.universe import entities_on, restricted
 from kairospark.plans.dataset import build_dataset, leaked, target_ends
 from kairospark.plans.ids import feature_id, group_path
-from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, FitState, MissingnessPolicy, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
+from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import FetchCache, LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
 from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
 from kairospark.scratch import scratch
@@ -115,6 +117,35 @@ def universe_entities_on(spark, sf_dir):
     return entities_on(membership(spark, sf_dir), "1997-05-20")
 
 
+@query("SELECT event_id, ts AS ts_utc FROM events")
+def times_to_utc(spark, sf_dir):
+    """Times as text with an offset, without one, and as instants, all to naive UTC."""
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+02:00"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    own = e.select("event_id", text.alias("t"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("i"))
+    both = own.select("event_id", to_utc(own, "t").alias("ts_utc"), to_utc(own, "i").alias("again"))
+    return both.where(F.col("ts_utc") == F.col("again")).select("event_id", "ts_utc")
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM events")
+def panel_ordered(spark, sf_dir):
+    """The sorted panel's rows that come after a later (ts_utc, entity_id): none."""
+    rows = ordered(event_panel(spark, sf_dir)).withColumn("pos", F.monotonically_increasing_id())
+    # Each partition is checked in its order of rows, and partitions against each other by their ends.
+    key, part = F.struct("ts_utc", "entity_id"), F.shiftright("pos", 33)
+    inner = rows.select(part.alias("part"), "pos", key.alias("key")).withColumn("before", F.lag("key").over(Window.partitionBy("part").orderBy("pos")))
+    ends = inner.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("key")).alias("bad"), F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = ends.withColumn("bad", F.col("bad") + F.coalesce((F.lag("high").over(Window.orderBy("part")) > F.col("low")).cast("int"), F.lit(0)))
+    return ends.agg(F.sum("n").alias("n"), F.sum("bad").alias("out_of_order"))
+
+
+@query("SELECT ts::DATE::TIMESTAMP AS day, user_id::VARCHAR AS entity_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def repeated_day_keys(spark, sf_dir):
+    """The keys for which alignment by day raises."""
+    days = event_panel(spark, sf_dir).select(F.col("ts_utc").cast("date").cast("timestamp_ntz").alias("day"), "entity_id")
+    return repeated_keys(days, ("day", "entity_id"))
+
+
 # ---- calendars -----------------------------------------------------------------------------------------------------
 @query(f"SELECT {closes('d')} AS ts_utc FROM {DAYS.format('2021-01-01', '2024-12-31')} WHERE isodow(d) < 6")
 def session_grid(spark, sf_dir):
@@ -184,7 +215,7 @@ def nextday_sq_target(spark, sf_dir):
 def _aligned(spark, sf_dir, spec: AlignSpec, freq: str = "B", compat: bool = False) -> DataFrame:
     panel = from_long(daily(spark, sf_dir), "date", "user_id")
     grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
-    return align_panel(panel, grid, TableSchema("daily", native_freq=freq), spec, compat=compat, check=False)
+    return align_panel(panel, grid, TableSchema("daily", native_freq=freq), spec, compat=compat)
 
 
 GRID = f"{DAILY}, g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('2024-01-01', '2024-01-31')}, (SELECT DISTINCT entity_id FROM d) WHERE isodow(d) < 6), a AS (SELECT g.ts_utc, g.entity_id, d.value, row_number() OVER (PARTITION BY g.entity_id ORDER BY g.ts_utc) AS i FROM g LEFT JOIN d ON d.date = g.ts_utc AND d.entity_id = g.entity_id)"
@@ -234,19 +265,23 @@ def align_availability_lowfreq(spark, sf_dir):
 def align_observed(spark, sf_dir):
     sides = daily(spark, sf_dir).select("date", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("high"), F.when(F.col("value") <= 50, F.col("value")).alias("low"))
     grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
-    own = align_panel(from_long(sides, "date", "user_id"), grid, TableSchema("daily", native_freq="B"), AlignSpec("none"), check=False)
+    own = align_panel(from_long(sides, "date", "user_id"), grid, TableSchema("daily", native_freq="B"), AlignSpec("none"))
     return own.select("ts_utc", "entity_id", "high", "low", F.col("high__observed").alias("high_observed"), F.col("low__observed").alias("low_observed"))
 
 
-@query(f"""WITH m AS (SELECT last_day(o_orderdate)::TIMESTAMP AS date, o_orderpriority AS entity_id, max(o_totalprice) AS value FROM orders WHERE last_day(o_orderdate) BETWEEN '1997-01-01' AND '1998-12-31' GROUP BY 1, 2),
-g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('1997-01-01', '1998-12-31')}, (SELECT DISTINCT entity_id FROM m) WHERE isodow(d) < 6)
-SELECT ts_utc, g.entity_id, last_value(value IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY ts_utc ROWS UNBOUNDED PRECEDING) AS carry, (value IS NULL)::INT::DOUBLE AS structural_missing
+@query(f"""WITH m AS (SELECT last_day(o_orderdate)::TIMESTAMP AS date, o_orderpriority AS entity_id, max(o_totalprice) AS value FROM orders WHERE last_day(o_orderdate) BETWEEN '1995-01-01' AND '2001-12-31' GROUP BY 1, 2),
+g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('1995-01-01', '2001-12-31')}, (SELECT DISTINCT entity_id FROM m) WHERE isodow(d) < 6)
+SELECT ts_utc, g.entity_id, last_value(value IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY ts_utc ROWS UNBOUNDED PRECEDING) AS carry, (value IS NULL)::INT::DOUBLE AS missing_structural
 FROM g LEFT JOIN m ON m.date = g.ts_utc AND m.entity_id = g.entity_id""")
 def macro_carry(spark, sf_dir):
+    frame = _macro(spark, sf_dir)
+    return frame.x.select("ts_utc", "entity_id", *(F.col(f"`{row['feature_id']}`").alias(row["transform"]) for row in frame.catalog))
+
+
+def _macro(spark, sf_dir) -> FeatureFrame:
     months = table(spark, sf_dir, "orders").groupBy(F.last_day("o_orderdate").cast("timestamp_ntz").alias("date"), F.col("o_orderpriority").alias("series")).agg(F.max("o_totalprice").alias("value"))
     ctx = DataContext(spark, {"macro": FrameSource("macro", {"macro.series": months}, {"macro.series": TableSchema("macro.series", entity_column="series", native_freq="M")})})
-    frame = MacroCarry().transform(ctx, {"source": "macro"}, SliceSpec("1997-01-01", "1998-12-31"))
-    return frame.x.select("ts_utc", "entity_id", *(F.col(f"`{row['feature_id']}`").alias(row["transform"]) for row in frame.catalog))
+    return MacroCarry().transform(ctx, {"source": "macro"}, SliceSpec("1995-01-01", "2001-12-31"))
 
 
 # ---- calendar flags ------------------------------------------------------------------------------------------------
@@ -290,6 +325,30 @@ def pit_upsert(spark, sf_dir):
     return t.read().select("series_key", "obs_date", "asof_utc", "value")
 
 
+@query("""SELECT o_custkey::VARCHAR AS series_key, last_day(o_orderdate)::TIMESTAMP AS obs_date, o_orderdate AS asof_utc, arg_max(o_totalprice, o_orderkey) AS value, NULL::TIMESTAMP AS release_time_utc, NULL::VARCHAR AS revision_id, 'orders' AS source, NULL::VARCHAR AS meta_json,
+TIMESTAMP '2002-01-01' + to_seconds(max(o_orderkey)) AS ingested_utc FROM orders GROUP BY ALL""")
+def pit_last_wins(spark, sf_dir):
+    """Raw orders, of which several have one key, as one upsert: the last ingested stays. Absent columns are NULL, dates and text become times."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(F.col("o_custkey").alias("series_key"), F.last_day("o_orderdate").alias("obs_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("asof_utc"), F.col("o_totalprice").alias("value"), F.lit("orders").alias("source"), (at("2002-01-01") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey").cast("decimal(18,6)"))).alias("ingested_utc"))
+    t = pit.PitTable(spark, scratch(spark))
+    t.upsert(raw, last_wins=True)
+    return t.read()
+
+
+@query(f"WITH {ALL} SELECT series_key, obs_date, asof_utc, value FROM v")
+def pit_compacted(spark, sf_dir):
+    """Upserts by priority, one part each, made one part on the way and at the end."""
+    t = pit.PitTable(spark, scratch(spark), most_parts=3)
+    for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        # A later priority's order of the same day is no revision of an earlier one's: the whole day's last order is sent.
+        days = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == p).select("o_custkey", "o_orderdate").distinct()
+        own = vintages(spark, sf_dir).join(days.select(F.col("o_custkey").cast("string").alias("series_key"), F.col("o_orderdate").alias("asof_utc")), ["series_key", "asof_utc"], "left_semi")
+        t.upsert(own)
+    t.compact()
+    return t.read().select("series_key", "obs_date", "asof_utc", "value")
+
+
 @query(f"WITH {ALL} SELECT series_key, obs_date, asof_utc, value FROM v")
 def pit_stream_ingest(spark, sf_dir):
     spool, t = scratch(spark), pit.PitTable(spark, scratch(spark))
@@ -388,14 +447,14 @@ def context(spark, sf_dir) -> DataContext:
 
 
 def users(spark, sf_dir) -> DataFrame:
-    """entity_id: every user of the events, and the ids 0 to 149, whether they have events or not."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity_id")).unionByName(spark.range(150).select(F.col("id").cast("string").alias("entity_id"))).where(F.col("entity_id").isNotNull()).distinct()
+    """entity_id: every user of the events."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity_id")).where(F.col("entity_id").isNotNull()).distinct()
 
 
 def _dataset(spark, sf_dir, name: str, grid: str, start: str, end: str, policy: str) -> DataFrame:
     params = {"source": "bars", "table": name, "price_col": "value"}
     spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec(start, end, "XNYS", grid), TargetRequest(NextSquaredReturn(), params), [FeatureRequest(LagReturns(), params | {"lags": 2})], missingness=MissingnessPolicy(policy))
-    made = build_dataset(context(spark, sf_dir), spec, check_keys=False)
+    made = build_dataset(context(spark, sf_dir), spec)
     one, two = made.features
     return made.data.select("ts_utc", "entity_id", F.round(f"`{one}`", 8).alias("lag_1"), F.round(f"`{two}`", 8).alias("lag_2"), F.round("target", 7).alias("target"))
 
@@ -404,7 +463,7 @@ def _dataset_sql(panel: str, grid: str, start: str, end: str, where: str) -> str
     return f"""WITH {panel}, l AS (SELECT ts_utc, entity_id, {LOG} AS x FROM p WHERE ts_utc BETWEEN '{start}' AND '{end}'),
 r0 AS (SELECT ts_utc, entity_id, x - lag(x) OVER (PARTITION BY entity_id ORDER BY ts_utc) AS r FROM l), r AS (SELECT ts_utc, entity_id, {NOT_NAN.format('r')} AS r FROM r0),
 f AS (SELECT ts_utc, entity_id, lag(r, 1) OVER w AS a, lag(r, 2) OVER w AS b, pow(lead(r) OVER w, 2) AS y FROM r WINDOW w AS (PARTITION BY entity_id ORDER BY ts_utc)),
-g AS (SELECT ts_utc, range::VARCHAR AS entity_id FROM ({grid}), range(150))
+g AS (SELECT ts_utc, user_id::VARCHAR AS entity_id FROM ({grid}), (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL))
 SELECT g.ts_utc, g.entity_id, round(a, 8) AS lag_1, round(b, 8) AS lag_2, round(y, 7) AS target FROM g LEFT JOIN f ON f.ts_utc = g.ts_utc AND f.entity_id = g.entity_id {where}"""
 
 
@@ -423,9 +482,9 @@ def dataset_keep(spark, sf_dir):
     return _dataset(spark, sf_dir, "daily", "B", "2024-01-01", "2024-01-31", "keep")
 
 
-@query(_dataset_sql(_BARS, f"SELECT ts_utc FROM ({_ticks('2024-01-08', '2024-01-19', 'INTERVAL 30 MINUTE')}) WHERE ts_utc BETWEEN '2024-01-08' AND '2024-01-19'", "2024-01-08", "2024-01-19", "WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL"))
+@query(_dataset_sql(_BARS, f"SELECT ts_utc FROM ({_ticks('2024-01-01', '2024-01-31', 'INTERVAL 30 MINUTE')}) WHERE ts_utc BETWEEN '2024-01-01' AND '2024-01-31'", "2024-01-01", "2024-01-31", "WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL"))
 def dataset_intraday(spark, sf_dir):
-    return _dataset(spark, sf_dir, "bars", "30min", "2024-01-08", "2024-01-19", "drop_if_any_nan")
+    return _dataset(spark, sf_dir, "bars", "30min", "2024-01-01", "2024-01-31", "drop_if_any_nan")
 
 
 class DailyPeak:
@@ -439,7 +498,7 @@ class DailyPeak:
 SELECT {closes('s.d')} AS ts_utc, entity_id, (isodow(s.d) - 1)::DOUBLE AS dow, y AS target FROM {DAYS.format('2024-01-01', '2024-01-31')} s CROSS JOIN (VALUES ('A'), ('B')) e(entity_id) LEFT JOIN y ON y.d = s.d WHERE isodow(s.d) < 6""")
 def dataset_target_broadcast(spark, sf_dir):
     spec = DatasetSpec(UniverseSpec(["A", "B"]), TimeSpec("2024-01-01", "2024-01-31", "XNYS", "B"), TargetRequest(DailyPeak(), {}), [FeatureRequest(CalendarFlags(), {"flags": ("dow",)})], missingness=MissingnessPolicy("keep"))
-    made = build_dataset(context(spark, sf_dir), spec, check_keys=False)
+    made = build_dataset(context(spark, sf_dir), spec)
     return made.data.select("ts_utc", "entity_id", F.col(f"`{made.features[0]}`").alias("dow"), "target")
 
 
@@ -448,10 +507,80 @@ def feature_ids(spark, sf_dir):
     return spark.createDataFrame([(k, feature_id("market.ohlcv", "*", "lag", "logret", {"k": k}), group_path("lag", "logret", {"k": k})) for k in range(1, 21)], "k int, feature_id string, group_path string")
 
 
-@query("""SELECT 'f.one:x' AS feature_id, '{"desk":"rates","team":"a"}' AS tags_json""")
+@query("""SELECT n_name AS feature_id, '{"desk": "rates", "region": "' || r_name || '"}' AS tags_json FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def catalog_tags(spark, sf_dir):
-    frame = _frame(spark, sf_dir).with_tags({"desk": "equity"}).with_tags({"desk": "rates", "team": "a"}, overwrite=False)
-    return frame.validate().catalog_frame().select("feature_id", "tags_json")
+    """A frame for each region, with a feature for each of its nations: tags replaced, then merged."""
+    names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list("n_name").alias("nations"))
+    frames = [_frame(spark, sf_dir, r["nations"]).with_tags({"desk": "equity"}).with_tags({"desk": "rates", "region": r["r_name"]}, overwrite=False) for r in names.collect()]
+    return reduce(DataFrame.unionByName, (f.catalog_frame().select("feature_id", "tags_json") for f in frames))
+
+
+@query("""SELECT k::INT AS k, 'lag_returns:1.0:' || left(sha256('{"params":{"lags":' || k || ',"source":"bars"},"slice":{"asof":null,"end":"2024-02-01","entities":["0","1"],"grid":"sessions:XNYS","start":"2024-01-01"},"template":"lag_returns","upstream_snapshot":null,"version":"1.0"}'), 16) AS realization_id FROM range(1, 21) r(k)""")
+def realization_ids(spark, sf_dir):
+    s = SliceSpec("2024-01-01", "2024-02-01", ["0", "1"], None, "sessions:XNYS")
+    return spark.createDataFrame([(k, FeatureRealization("lag_returns", "1.0", {"source": "bars", "lags": k}, s).id()) for k in range(1, 21)], "k int, realization_id string")
+
+
+@query(f"""WITH m AS (SELECT last_day(o_orderdate)::TIMESTAMP AS date, o_orderpriority AS entity_id, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('1995-01-01', '2001-12-31')}, (SELECT DISTINCT entity_id FROM m) WHERE isodow(d) < 6),
+c AS (SELECT count(last_value) AS carried, sum(missing) AS missing FROM (SELECT last_value(value IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY ts_utc ROWS UNBOUNDED PRECEDING) AS last_value, (value IS NULL)::INT AS missing FROM g LEFT JOIN m ON m.date = g.ts_utc AND m.entity_id = g.entity_id))
+SELECT 'macro.carry.' || left(sha256('{{"coord":null,"family":"macro","params":{{"col":"value","method":"ffill"}},"source_key":"*","source_table":"macro.series","transform":"carry"}}'), 12) AS feature_id, 'macro/carry' AS group_path, carried::BIGINT AS n FROM c
+UNION ALL SELECT 'macro.missing_structural.' || left(sha256('{{"coord":null,"family":"macro","params":{{"col":"value"}},"source_key":"*","source_table":"macro.series","transform":"missing_structural"}}'), 12), 'macro/missing_structural', missing::BIGINT FROM c""")
+def macro_feature_ids(spark, sf_dir):
+    """The ids and groups of the carried series' features, with the number of carried and of missing values."""
+    frame = _macro(spark, sf_dir)
+    one, two = (F.col(f"`{f}`") for f in frame.features)
+    counts = frame.x.agg(F.count(one).alias("c0"), F.sum(two).cast("long").alias("c1"))
+    own = spark.createDataFrame([(k, r["feature_id"], r["group_path"]) for k, r in enumerate(frame.catalog)], "k int, feature_id string, group_path string")
+    return own.crossJoin(counts).select("feature_id", "group_path", F.when(F.col("k") == 0, F.col("c0")).otherwise(F.col("c1")).alias("n"))
+
+
+class DailyValue:
+    """The largest value of each day; whether times are labels isn't said."""
+
+    name, version = "daily_value", "1.0"
+
+    def transform(self, ctx, params, slice, state=None) -> FeatureFrame:
+        return FeatureFrame(from_long(ctx.sources["bars"].tables["daily"], "date", "user_id").withColumnRenamed("value", "v"), [{"feature_id": "v"}])
+
+
+@query(f"WITH {DAILY} SELECT {closes('s.d')} AS ts_utc, u.entity_id, value AS v, value AS target FROM {DAYS.format('2024-01-01', '2024-01-31')} s CROSS JOIN (SELECT DISTINCT entity_id FROM d) u LEFT JOIN d ON d.date = s.d AND d.entity_id = u.entity_id WHERE isodow(s.d) < 6")
+def dataset_midnight_labels(spark, sf_dir):
+    """Times that are all at midnight are taken as session labels."""
+    target = TargetRequest(DailyCloses(), {})
+    spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-01", "2024-01-31", "XNYS", "B"), target, [FeatureRequest(DailyValue())], missingness=MissingnessPolicy("keep"))
+    return build_dataset(context(spark, sf_dir), spec).data
+
+
+class DailyCloses:
+    """Target: the largest value of each user and day, at the session's close."""
+
+    def transform(self, ctx, params, slice, state=None) -> TargetFrame:
+        daily_ = from_long(ctx.sources["bars"].tables["daily"], "date", "user_id")
+        return TargetFrame(daily_.select(NY.close(F.col("ts_utc")).alias("ts_utc"), "entity_id", F.col("value").alias("y")))
+
+
+@query(f"""WITH {_DAILY}, l AS (SELECT ts_utc, entity_id, {LOG} AS x FROM p WHERE ts_utc BETWEEN '2024-01-05' AND '2024-01-31'),
+r0 AS (SELECT ts_utc, entity_id, x - lag(x) OVER (PARTITION BY entity_id ORDER BY ts_utc) AS r FROM l), r AS (SELECT ts_utc, entity_id, {NOT_NAN.format('r')} AS r FROM r0),
+f AS (SELECT ts_utc, entity_id, lag(r) OVER (PARTITION BY entity_id ORDER BY ts_utc) AS a FROM r)
+SELECT {closes('s.d')} AS ts_utc, u.entity_id, round(a, 8) AS lag_1, value AS target FROM {DAYS.format('2024-01-15', '2024-01-31')} s CROSS JOIN (SELECT DISTINCT entity_id FROM d) u
+LEFT JOIN f ON f.ts_utc = {closes('s.d')} AND f.entity_id = u.entity_id LEFT JOIN d ON d.date = s.d AND d.entity_id = u.entity_id WHERE isodow(s.d) < 6""")
+def dataset_lookback(spark, sf_dir):
+    """A feature's own slice begins ten days earlier, so its first lags are there."""
+    params = {"source": "bars", "table": "daily", "price_col": "value", "lags": 1}
+    features = [FeatureRequest(LagReturns(), params, SliceOverride(lookback=timedelta(days=10)))]
+    spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-15", "2024-01-31", "XNYS", "B"), TargetRequest(DailyCloses(), {}), features, missingness=MissingnessPolicy("keep"))
+    made = build_dataset(context(spark, sf_dir), spec)
+    return made.data.select("ts_utc", "entity_id", F.round(f"`{made.features[0]}`", 8).alias("lag_1"), "target")
+
+
+@query("SELECT 'XNYS' AS calendar, 'hours' AS grid, '2024-01-01' AS start, '2024-01-31' AS end_, 1::BIGINT AS n_features, (SELECT count(DISTINCT date_trunc('hour', ts)) FROM events) * (SELECT count(DISTINCT user_id) FROM events) AS n_rows, 1::BIGINT AS target_horizon")
+def dataset_meta(spark, sf_dir):
+    """What a dataset says of itself, on an event grid whose times repeat."""
+    hours = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts_utc"))
+    spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-01", "2024-01-31", "XNYS", EventGrid(hours, "hours")), TargetRequest(DailyCloses(), {}), [FeatureRequest(DailyValue())], missingness=MissingnessPolicy("keep"))
+    m = build_dataset(context(spark, sf_dir), spec).described()
+    return spark.createDataFrame([(m["calendar"], m["grid"].name, m["start"], m["end"], m["n_features"], m["n_rows"], m["target_horizon"])], "calendar string, grid string, start string, end_ string, n_features long, n_rows long, target_horizon long")
 
 
 @query("SELECT count(*) AS n_leaked FROM events WHERE ts > '2024-01-15 09:32:00'")
@@ -556,10 +685,12 @@ def importance_by_tag(spark, sf_dir):
     return diag.importance_by_tag(_importance(spark, sf_dir), "k", agg="max")
 
 
-@query("SELECT count(*) FILTER (WHERE event_type = 'error') AS n_not_yet_released FROM events")
+@query(f"WITH {GRID} SELECT count(value) FILTER (WHERE ts_utc > '2024-01-20') AS n_not_yet_released FROM a")
 def leakage_audit(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("value", F.when(F.col("event_type") == "error", "not_yet_released").otherwise("available").alias("value__availability"))
-    return diag.leakage_audit(e)
+    """An aligned panel in which what is known only after 20 January is said to be unreleased, but still there."""
+    late = (F.col("ts_utc") > at("2024-01-20")) & F.col("value").isNotNull()
+    own = _aligned(spark, sf_dir, AlignSpec("none"))
+    return diag.leakage_audit(own.withColumn("value__availability", F.when(late, "not_yet_released").otherwise(F.col("value__availability"))))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate AS ts_utc, TIMESTAMP '2001-06-01' AS asof_utc FROM lineitem WHERE l_shipdate > '2001-06-01'")
@@ -574,8 +705,10 @@ def grid_monotone_check(spark, sf_dir):
 
 
 # ---- stores --------------------------------------------------------------------------------------------------------
-def _frame(spark, sf_dir) -> FeatureFrame:
+def _frame(spark, sf_dir, features=None) -> FeatureFrame:
     x = from_long(table(spark, sf_dir, "lineitem").groupBy("l_shipdate", "l_suppkey").agg(F.max("l_extendedprice").alias("f.one:x")), "l_shipdate", "l_suppkey")
+    if features:
+        return FeatureFrame(x.select("ts_utc", "entity_id"), [{"feature_id": f, "family": "nation"} for f in features])
     return FeatureFrame(x, [{"feature_id": "f.one:x", "family": "f", "transform": "one"}])
 
 
@@ -606,11 +739,63 @@ def fetch_cache_roundtrip(spark, sf_dir):
     return cache.get("lineitem").select("date", "entity_id", "close")
 
 
-@query("SELECT 'state:one' AS name, 'weights' AS payload, 'state' AS kind")
+@query("""SELECT 'f:1.0:abc' AS name, 'frame' AS kind, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_shipdate, l_suppkey)) AS n_rows, 3::BIGINT AS n_cols
+UNION ALL SELECT 'raw', 'raw', (SELECT count(*) FROM orders), 2""")
+def store_index(spark, sf_dir):
+    """The latest index row of each name, after a frame and a raw table were put twice."""
+    path = scratch(spark)
+    store, cache = ParquetStore(spark, path), RawCache(spark, path)
+    for part in (table(spark, sf_dir, "orders").limit(5), table(spark, sf_dir, "orders")):
+        store.put_frame("f:1.0:abc", _frame(spark, sf_dir))
+        cache.set("raw", part.select("o_orderkey", "o_totalprice"))
+    return store.index().select("name", "kind", "n_rows", "n_cols")
+
+
+class Scaled:
+    """Values less the mean that was fitted."""
+
+    name, version, param_space = "scaled", "1.0", {}
+
+    def requires(self, params):
+        return []
+
+    def fit(self, ctx, params, slice):
+        return ctx.sources["bars"].tables["bars"].agg(F.avg("value").alias("mean"), F.count("value").alias("n")).first().asDict()
+
+    def transform(self, ctx, params, slice, state) -> FeatureFrame:
+        x = from_long(ctx.sources["bars"].tables["bars"], "date", "user_id")
+        return FeatureFrame(x.select("ts_utc", "entity_id", (F.col("value") - state["mean"]).alias("v")), [{"feature_id": "v"}])
+
+
+def _scaled(name: str = "scaled") -> FeatureRealization:
+    return FeatureRealization(name, "1.0", {}, SliceSpec("2024-01-01", "2024-02-01"))
+
+
+_SCALED_ID = """'scaled:1.0:' || left(sha256('{"params":{},"slice":{"asof":null,"end":"2024-02-01","entities":null,"grid":null,"start":"2024-01-01"},"template":"scaled","upstream_snapshot":null,"version":"1.0"}'), 16)"""
+
+
+@query(f"WITH {_BARS} SELECT 'state:' || {_SCALED_ID} AS name, round(avg(value), 6) AS mean, count(value) AS n, 'state' AS kind FROM p")
 def state_roundtrip(spark, sf_dir):
-    store = ParquetStore(spark, scratch(spark))
-    store.put_state(FitState("state:one", {}), b"weights")
-    return store.index().select("name", F.lit(store.get_state("state:one").decode()).alias("payload"), "kind")
+    """A fitted state, put by materialize and read back as it was."""
+    ctx = context(spark, sf_dir)
+    ctx.store = ParquetStore(spark, scratch(spark))
+    materialize(ctx, Scaled(), _scaled())
+    name = f"state:{_scaled().id()}"
+    state = pickle.loads(ctx.store.get_state(name))
+    return ctx.store.index().where(F.col("kind") == "state").select("name", F.round(F.lit(state["mean"]), 6).alias("mean"), F.lit(state["n"]).cast("long").alias("n"), "kind")
+
+
+@query(f"WITH {_BARS} SELECT mode, (mode IN ('always', 'selected')) AS stored, count(*) AS n_rows, round(sum(value - (SELECT avg(value) FROM p)), 4) + 0.0 AS total FROM p, (VALUES ('never'), ('selected'), ('unselected'), ('always')) m(mode) GROUP BY mode")
+def policy_modes(spark, sf_dir):
+    """Whether a frame is in the store after it was materialized, by policy; the frame is the same."""
+    out = []
+    for mode in ("never", "selected", "unselected", "always"):
+        ctx = context(spark, sf_dir)
+        ctx.store = ParquetStore(spark, scratch(spark))
+        policy = MaterializationPolicy(mode.removeprefix("un"), selected=("scaled",) if mode == "selected" else ())
+        frame = materialize(ctx, Scaled(), _scaled(), policy)
+        out.append(frame.x.agg(F.lit(mode).alias("mode"), F.lit(ctx.store.exists_frame(_scaled().id())).alias("stored"), F.count("*").alias("n_rows"), (F.round(F.sum("v"), 4) + 0.0).alias("total")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _realization() -> FeatureRealization:
@@ -626,11 +811,15 @@ def materialize_cached(spark, sf_dir):
     return again.x.select("ts_utc", "entity_id", F.round(f"`{again.features[0]}`", 8).alias("lag_1"))
 
 
-@query("SELECT 'a:1' AS parent, 'b:1' AS child, 'derives' AS kind UNION ALL SELECT 'b:1', 'c:1', 'joins'")
+@query(f"""SELECT {_SCALED_ID} AS parent, 'state:' || {_SCALED_ID} AS child, 'derives' AS kind, 'feature' AS parent_kind, 'artifact' AS child_kind, 'state' AS child_type""")
 def lineage_edges(spark, sf_dir):
-    graph = LineageGraph()
-    for node in "abc":
-        graph.add(f"{node}:1", template=node)
-    graph.link("a:1", "b:1")
-    graph.link("b:1", "c:1", "joins")
-    return graph.frames(spark)[1]
+    """What materialize adds: a node for the frame and one for its state, and the link from the one to the other."""
+    ctx, graph = context(spark, sf_dir), LineageGraph()
+    ctx.store = ParquetStore(spark, scratch(spark))
+    materialize(ctx, Scaled(), _scaled(), lineage=graph)
+    nodes, edges = graph.frames(spark)
+    said = lambda k, side: F.get_json_object(F.col(f"{side}_meta"), f"$.{k}")
+    own = edges
+    for side in ("parent", "child"):
+        own = own.join(nodes.withColumnsRenamed({"node": side, "meta_json": f"{side}_meta"}), side)
+    return own.select("parent", "child", "kind", said("kind", "parent").alias("parent_kind"), said("kind", "child").alias("child_kind"), said("type", "child").alias("child_type"))
