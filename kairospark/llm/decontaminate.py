@@ -136,10 +136,10 @@ def _matchers(items: DataFrame, rate: float, seed: int, least: int, most_items:
         yield Matcher([keys[k] for k in kept], texts.take(pa.array(kept, pa.int64())), rate, seed, least)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed: int = 4, least: int = 5, most_items: int = 20_000, most_bytes: int = 1 << 25) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed: int = 4, least: int = 1, most_items: int = 20_000, most_bytes: int = 1 << 25) -> DataFrame:
     """(doc_id, item_id, distance, n_words, start, end) for each row of docs and benchmark item of which the row holds a passage within the item's error budget: the least word edit distance and where it is, start and end in code points of the text.
 
-    Words are lower-case runs of letters and digits, so case, white space and marks don't matter; an edit puts in, takes out or changes a word. The budget is `rate` of the item's words, rounded down; `seed` only says how many words of a piece are looked up first. Items under `least` words can't be told from ordinary prose and match nothing.
+    Words are lower-case runs of letters and digits, so case, white space and marks don't matter; an edit puts in, takes out or changes a word. The budget is `rate` of the item's words, rounded down; `seed` only says how many words of a piece are looked up first. Items under 5 words have no budget and match exactly, wherever their words stand; `least` leaves out items under so many words, if such short ones aren't wanted. Items without words match nothing.
     Items travel in blocks of bounded size, each one pass over docs; there is no shuffle. Null or empty text: no match. Null item id or text: no item. Null doc id: kept as null. Repeated documents: one result each; repeated items count once. Empty tables: no rows. Other columns aren't read.
     """
     sc, out = docs.sparkSession.sparkContext, None
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed:
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed: int = 4, least: int = 5, most_items: int = 20_000, most_bytes: int = 1 << 25) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, *, rate: float = 0.2, seed: int = 4, least: int = 1, most_items: int = 20_000, most_bytes: int = 1 << 25) -> DataFrame:
     """The rows of docs that hold no passage of any item, all columns as they are; see contaminated(). No shuffle."""
     sc = docs.sparkSession.sparkContext
     for matcher in _matchers(items, rate, seed, least, most_items, most_bytes):

@@ -38,10 +38,14 @@ def test_one_row_each(table, request, labels, spark):
 def test_rows_pass_through(table, request, labels, items, spark):
     docs = request.getfixturevalue(table)
     model = fit_secret_model(docs)
-    for kept in (without_toxic(docs, fit_toxicity(docs, labels.limit(0))), decontaminated(docs, items), without_secrets(docs, model)):
+    for kept in (without_toxic(docs, fit_toxicity(docs, labels.limit(0))), decontaminated(docs, items, least=3), without_secrets(docs, model)):
         assert kept.columns == docs.columns
         assert kept.count() == docs.count()
-    assert contaminated(docs, items).count() == 0
+    assert contaminated(docs, items, least=3).count() == 0
+    # Items of any length match: "one two" is in one text, and goes with it.
+    found = [(r.doc_id, r.item_id, r.distance, r.start, r.end) for r in contaminated(docs, items).collect()]
+    assert found == ([(4, 2, 0, 0, 7)] if table == "odd" else [])
+    assert decontaminated(docs, items).count() == docs.count() - len(found)
     assert contaminated(docs, items.limit(0)).count() == 0
 
 
