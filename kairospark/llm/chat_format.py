@@ -35,13 +35,15 @@ def chat_examples(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str
         F.transform("turns", lambda t: escaped(t["text"])).alias("bodies"),
     )
     lines = parts.withColumn("lines", F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b, F.lit(CLOSE))))
-    one = lines.select("conv", "trained", "heads", "bodies", "lines", F.posexplode("trained").alias("example", "own")).where(F.col("own") | (F.col("example") == F.size("lines") - 1))
-    context = F.array_join(F.slice("lines", F.lit(1), F.col("example")), "")
-    at = lambda c: F.get(F.col(c), F.col("example"))
-    done = one.select("conv", "example", "own", context.alias("context"), at("heads").alias("head"), at("bodies").alias("body"))
-    start = F.char_length("context") + F.char_length("head")
-    formatted = F.concat("context", "head", "body", F.lit(CLOSE))
-    return done.select(F.col("conv").alias(conv_col), "example", formatted.alias("formatted"), F.when(F.col("own"), start).otherwise(F.char_length(formatted)).cast("long").alias("loss_start"), F.when(F.col("own"), start + F.char_length("body")).otherwise(F.char_length(formatted)).cast("long").alias("loss_end"))
+    own_last = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("trained", i) | (i == F.size("lines") - 1))
+    sizes = F.transform("lines", lambda x: F.char_length(x))
+    stop = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
+    spans = F.transform(own_last, lambda i: F.struct(i.alias("example"), F.get("trained", i).alias("own"), stop(i).alias("stop"), F.char_length(F.get("bodies", i)).alias("size")))
+    one = lines.withColumn("sizes", sizes).select("conv", "lines", F.explode(spans).alias("s"))  # of the conversation only its lines are copied to each example
+    last = F.when(F.col("s.own"), F.col("s.stop") - len(CLOSE)).otherwise(F.col("s.stop"))
+    first = F.when(F.col("s.own"), last - F.col("s.size")).otherwise(last)
+    formatted = F.array_join(F.slice("lines", F.lit(1), F.col("s.example") + 1), "")
+    return one.select(F.col("conv").alias(conv_col), F.col("s.example").alias("example"), formatted.alias("formatted"), first.cast("long").alias("loss_start"), last.cast("long").alias("loss_end"))
 
 
 def parsed(formatted: Column) -> Column:
@@ -61,7 +63,7 @@ def trainable(examples: DataFrame) -> Column:
 
 
 def chat_digest(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation, read back from the examples: n_turns, turns_sha256 (of role, line feed, text, line feed for each turn), loss_chars, loss_sha256 (of all trainable text in order) and formatted_chars (of all its examples)."""
+    """A null id is a conversation of its own; an empty table has none; the others have one row each. Per conversation, read back from the examples: n_turns, turns_sha256 (of role, line feed, text, line feed for each turn), loss_chars, loss_sha256 (of all trainable text in order) and formatted_chars (of all its examples)."""
     row = examples.select(F.col(conv_col).alias("conv"), "example", "formatted", trainable(examples).alias("loss"))
     got = row.groupBy("conv").agg(F.max_by("formatted", "example").alias("whole"), F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.sum(F.char_length("formatted")).alias("formatted_chars"))
     read = got.select("conv", parsed(F.col("whole")).alias("turns"), F.array_join(F.col("losses")["loss"], "").alias("loss"), "formatted_chars")
