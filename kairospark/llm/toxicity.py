@@ -58,8 +58,24 @@ def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarra
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048, rank: int = 8, least_docs: int = 3, steps: int = 400, rate: float = 0.03, decay: float = 2e-3, positive: float = 3.0, seed: int = 3) -> FactorizationMachine:
-    """Fits by logistic loss, from the hashed terms of each labelled text. Of terms in at least `least_docs` texts, the `most_terms` with the largest z-score of their log-odds take part. A positive row counts `positive` times, as there are few. Without labels nothing is called toxic."""
+def paired(rows: list[np.ndarray], y: np.ndarray, terms_: np.ndarray, least: float = 10.0) -> np.ndarray:
+    """Which of the sorted terms take part in a pair whose interaction with the label, the mean of (label - share)(x_i - share_i)(x_j - share_j), has a z-score of `least` or more. The bar is high as labels are few and texts have near copies."""
+    if not len(terms_) or not len(rows):
+        return np.zeros(len(terms_), bool)
+    x = np.zeros((len(rows), len(terms_)), np.float32)
+    for k, r in enumerate(rows):
+        at = np.searchsorted(terms_, r)
+        x[k, at[(at < len(terms_)) & (terms_[np.minimum(at, len(terms_) - 1)] == r)]] = 1
+    x -= x.mean(0)
+    label = (y - y.mean()).astype(np.float32)[:, None]
+    spread = np.sqrt((x**2).T @ (x * label) ** 2)
+    z = np.abs(np.divide(x.T @ (x * label), spread, out=np.zeros_like(spread), where=spread > 1e-3))
+    np.fill_diagonal(z, 0)
+    return z.max(1, initial=0) >= least
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048, common_terms: int = 512, rank: int = 8, least_docs: int = 3, steps: int = 400, rate: float = 0.03, decay: float = 2e-3, positive: float = 3.0, seed: int = 3) -> FactorizationMachine:
+    """Fits by logistic loss, from the hashed terms of each labelled text. Of terms in at least `least_docs` texts, the `most_terms` with the largest z-score of their log-odds take part, which say something alone, and so do those of the `common_terms` that vary most from text to text which say something in a pair, whether or not alone (see paired()). Both are bounds on the sample's terms: with all of them the machine learns the sample by heart (README). A positive row counts `positive` times, as there are few. Without labels nothing is called toxic."""
     row_of = np.full(1 << BITS, -1, np.int64)
     share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
     bias = np.array([np.log(share / (1 - share))])
@@ -71,8 +87,11 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048
     odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (neg - b + 0.5))
     z[a + b < least_docs] = 0
-    chosen = np.argsort(-z, kind="stable")[:most_terms]
-    chosen = np.sort(chosen[z[chosen] > 0])
+    alone = np.argsort(-z, kind="stable")[:most_terms]
+    varied = np.where(a + b < least_docs, 0, (a + b) * (len(rows) - a - b))
+    common = np.argsort(-varied, kind="stable")[:common_terms]
+    common = np.sort(common[varied[common] > 0])
+    chosen = np.union1d(alone[z[alone] > 0], common[paired(rows, y, common)])
     row_of[chosen] = np.arange(len(chosen))
     w, v = np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.02, (len(chosen), rank))
     if not len(chosen) or pos == 0 or neg == 0:
@@ -94,8 +113,8 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048
     return FactorizationMachine(float(bias[0]), row_of, w, v)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", sample: int = 8000) -> FactorizationMachine:
-    """A machine from at most `sample` labelled documents outside the held-out fifth; only the hashed terms of those reach the driver."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", sample: int = 8000, most_terms: int = 2048, common_terms: int = 512) -> FactorizationMachine:
+    """A machine from at most `sample` labelled documents outside the held-out fifth; only the hashed terms of those reach the driver. most_terms, common_terms: bounds on the terms that take part; see fit_machine(). Null labels and ids are left out; without labels of both kinds, or on an empty table, nothing is called toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -104,7 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", s
 
     own = labelled(docs, labels, target, sample).select("id", F.col("label").cast("int").alias("label"), "text")
     got = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()},  label int, terms array<int>").toArrow().sort_by("id")
-    return fit_machine([np.array(x, np.int64) for x in (r.values.to_numpy() for r in got["terms"])], got["label"].to_numpy().astype(float))
+    return fit_machine([np.array(x, np.int64) for x in (r.values.to_numpy() for r in got["terms"])], got["label"].to_numpy().astype(float), most_terms=most_terms, common_terms=common_terms)
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, *, threshold: float = 0.5) -> DataFrame:
@@ -124,7 +143,7 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, *, threshold:
 
 
 def without_toxic(docs: DataFrame, model: FactorizationMachine, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score under the threshold, all columns as they are; no shuffle."""
+    """The rows of docs with a score under the threshold, all columns as they are; no shuffle. Null or empty text: the score of no terms. Repeated rows are judged alike. Empty table: no rows."""
     wanted = model.row_of >= 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
