@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ BITS, WIDTH, BLOCK = 14, 64, 256
 #: Neighbours that count, and the nonzero places of each index vector.
 REACH, PLACES = 2, 2
 MARKS = ~ALNUM & ~SPACES
+_CHUNK = 1 << 16
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,15 +38,20 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def contexts(docs: DataFrame) -> np.ndarray:
+def contexts(docs: DataFrame, salts: int = 32) -> np.ndarray:
     """For each of the 2**BITS buckets the sum of its neighbours' index vectors, over every text of docs.
 
-    Each partition sums into one matrix of fixed size; its blocks of rows are shuffled and added up as they stream in, so no task holds more than that matrix and the driver receives it once (4 MB).
+    Each partition sums into one matrix of fixed size; its blocks of rows are shuffled and added up as they stream in, first in `salts` groups of partitions, then over these, so no task holds more than that matrix and the driver receives it once (8 MB).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = _index_vectors()
-        total, any_ = np.zeros((1 << BITS) * WIDTH), False
+        total, tokens, salt = np.zeros((1 << BITS) * WIDTH), 0, TaskContext.get().partitionId() % salts
+
+        def sums() -> pa.RecordBatch:
+            rows = total.astype(np.int32).reshape(-1, BLOCK * WIDTH)
+            return pa.record_batch([pa.array(np.full(len(rows), salt, np.int32)), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["salt", "block", "sums"])
+
         for batch in slices(batches, "text", 1 << 22):
             bucket, first = token_stream(batch.column("text"))
             row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
@@ -54,26 +61,31 @@ def contexts(docs: DataFrame) -> np.ndarray:
                 left, right = left[same], right[same]
                 if not len(left):
                     continue
-                any_ = True
+                tokens += len(left)
                 for word, other in ((left, right), (right, left)):
                     for k in range(PLACES):
                         total += np.bincount(word * WIDTH + place[other, k], sign[other, k], len(total))
-        if any_:
-            rows = total.astype(np.int32).reshape(-1, BLOCK * WIDTH)
-            yield pa.record_batch([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "sums"])
+            if tokens > 1 << 28:  # a sum is under 2 * PLACES times that, so 32 bits hold it
+                yield sums()
+                total[:], tokens = 0, 0
+        if tokens:
+            yield sums()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+                raw = raw.as_buffer()
+                part = np.frombuffer(raw, np.int32 if raw.size == 4 * BLOCK * WIDTH else np.int64).astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, sums binary")
-    out = np.zeros(((1 << BITS) // BLOCK, BLOCK * WIDTH))
-    for block, raw in parts.repartition((1 << BITS) // BLOCK // 4, "block").mapInArrow(add, "block int, sums binary").collect():
+    blocks = (1 << BITS) // BLOCK
+    parts = docs.select("text").mapInArrow(count, "salt int, block int, sums binary")
+    once = parts.repartition(salts, "salt", "block").select("block", "sums").mapInArrow(add, "block int, sums binary")
+    out = np.zeros((blocks, BLOCK * WIDTH))
+    for block, raw in once.repartition(blocks // 4, "block").mapInArrow(add, "block int, sums binary").collect():
         out[block] += np.frombuffer(raw, np.int64)
     return out.reshape(1 << BITS, WIDTH)
 
@@ -88,16 +100,17 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of each text's word vectors; zeros for a text without words."""
+    """Mean and standard deviation of each text's word vectors; zeros for a text without words. Vectors are summed for `_CHUNK` tokens at a time, so a very long text takes no more than that."""
     bucket, first = token_stream(column)
-    n = np.diff(first)
+    n, row = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = np.zeros((len(n), 2 * WIDTH), np.float32)
-    full = np.flatnonzero(n)
-    if len(full):
-        each = vectors[bucket]
-        mean = np.add.reduceat(each, first[:-1][full], axis=0) / n[full, None]
-        square = np.add.reduceat(each * each, first[:-1][full], axis=0) / n[full, None]
-        out[full, :WIDTH], out[full, WIDTH:] = mean, np.sqrt(np.maximum(square - mean**2, 0))
+    for a in range(0, len(bucket), _CHUNK):
+        each, own = vectors[bucket[a : a + _CHUNK]], row[a : a + _CHUNK]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[starts], :WIDTH] += np.add.reduceat(each, starts, axis=0)
+        out[own[starts], WIDTH:] += np.add.reduceat(each * each, starts, axis=0)
+    out /= np.maximum(n, 1)[:, None]
+    out[:, WIDTH:] = np.sqrt(np.maximum(out[:, WIDTH:] - out[:, :WIDTH] ** 2, 0))
     return out
 
 
@@ -144,7 +157,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: in
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, target: str = "quality", sample: int = 8000) -> QualityModel:
-    """Word vectors from every text of docs; the network from at most `sample` labelled documents outside the held-out fifth."""
+    """Word vectors from every text of docs, in 2**BITS hashed buckets; the network from at most `sample` labelled documents outside the held-out fifth. Null labels and ids are left out; without labels of both kinds, or on an empty table, all scores are the labels' share, 0.5 without any."""
     vectors = word_vectors(contexts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
