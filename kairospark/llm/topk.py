@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Whole numbers up to this multiply and add up exactly as doubles over 64 dimensions and more.
-_EXACT = 1 << 23
+#: Components beyond this count as this: doubles don't tell whole numbers beyond it apart.
+_MOST = 1 << 53
 
 
 def packed(batches: Iterator[pa.RecordBatch], most: int, scale: float) -> Iterator[pa.RecordBatch]:
@@ -32,7 +32,7 @@ def packed(batches: Iterator[pa.RecordBatch], most: int, scale: float) -> Iterat
             x = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if not np.isfinite(x).all():
                 continue
-            held.setdefault(len(x), []).append((key, np.floor(scale * x).astype(np.int64)))
+            held.setdefault(len(x), []).append((key, np.clip(np.floor(scale * x), -_MOST, _MOST).astype(np.int64)))
             if len(held[len(x)]) >= most:
                 yield block(len(x))
     for dim in sorted(held):
@@ -48,38 +48,56 @@ def approximation(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return cells, edges, np.minimum(edges + step - 1, np.maximum(high, edges))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's k best in this block, ties to the smaller id; a vector with the query's id takes no part."""
-    cells, least, greatest = approximation(vectors, bits)
-    dims = np.arange(vectors.shape[1])
-    low, high = least[cells, dims].astype(np.float64), greatest[cells, dims].astype(np.float64)
-    up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    upper, lower = up @ high.T + down @ low.T, up @ low.T + down @ high.T
-    exact = max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) < _EXACT
+Best = tuple[np.ndarray, np.ndarray]
+
+
+def inner(vectors: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
+    """Exact inner products. safe: 64 bits hold them; else they are found with whole numbers of any size, and one beyond 64 bits is the greatest or least that there is."""
+    if safe:
+        return vectors @ query
+    return np.array([min(max(int(x), -(2**63) + 1), 2**63 - 1) for x in vectors.astype(object) @ query.astype(object)], np.int64)
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bits: int, held: list[Best] | None = None) -> list[Best]:
+    """(vector ids, scores) of each query's k best in this block and among those held from others, best first, ties to the smaller id; a vector with the query's id takes no part. The worst held score bounds what is read here."""
+    dim = vectors.shape[1]
+    reach = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * dim
+    bounded, safe = reach < 2**53, reach < 2**63  # sums of doubles below 2**53 are exact, so the bounds are
+    held = held or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+    if bounded:
+        cells, least, greatest = approximation(vectors, bits)
+        dims = np.arange(dim)
+        low, high = least[cells, dims].astype(np.float64), greatest[cells, dims].astype(np.float64)
+        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+        upper, lower = up @ high.T + down @ low.T, up @ low.T + down @ high.T
+    out = []
     for q, key in enumerate(query_ids):
         other = ids != key
-        if exact:
+        got_ids, got = held[q]
+        kth = got[-1] if len(got) == k else -np.inf
+        if bounded:
             bound = lower[q][other]
-            floor = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf
+            floor = max(kth, np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf)
             near = np.flatnonzero(other & (upper[q] >= floor))
             near = near[np.argsort(-upper[q][near], kind="stable")]
-        else:  # beyond exact doubles there are no safe bounds: every vector is read
+        else:  # no safe bounds: every vector is read
             near = np.flatnonzero(other)
-        got_ids, got, at, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, -np.inf
-        while at < len(near) and (not exact or upper[q][near[at]] >= kth):
+        at = 0
+        while at < len(near) and (not bounded or upper[q][near[at]] >= kth):
             part = near[at : at + 4 * k]
-            got_ids, got = np.append(got_ids, ids[part]), np.append(got, vectors[part] @ queries[q])
+            got_ids, got = np.append(got_ids, ids[part]), np.append(got, inner(vectors[part], queries[q], safe))
             order = np.lexsort((got_ids, -got))[:k]
             got_ids, got, at = got_ids[order], got[order], at + len(part)
             kth = got[-1] if len(got) == k else -np.inf
-        yield from ((int(key), int(i), int(s)) for i, s in zip(got_ids, got, strict=True))
+        out.append((got_ids, got))
+    return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0, bits: int = 4, block: int = 4096, query_block: int = 1024, spread: int = 48) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0, bits: int = 4, block: int = 4096, query_block: int = 1024, spread: int = 48, most_held: int = 256) -> DataFrame:
     """Each query's k highest inner products over all vectors, of components floor(scale * x): query_id, rank (from 1), vec_id, score. Ties to the smaller id; all vectors, if fewer than k. Exact.
 
-    Queries meet the vectors in blocks: `query_block` queries with `block` vectors at a time, so no task holds more than two blocks, and each pair of blocks gives k rows a query. Query blocks are sent `spread` times, so one block of queries still meets the vectors in many tasks.
-    Vectors that are null, empty, or hold null or non-finite components take no part, nor does a null id. Vectors of another length than the query's aren't compared. A vector with the query's own id is no candidate. Repeated ids: all rows are candidates; of repeated query ids the smallest vector that can take part asks. Empty tables: no rows. Other columns aren't read.
+    Queries meet the vectors in blocks: `query_block` queries with `block` vectors at a time, so no task holds more than two blocks. A task keeps the best of up to `most_held` query blocks over all vector blocks that it meets, so what one block has found bounds what is read of the next, and gives k rows a query. Query blocks are sent `spread` times, but no more often than there are vector blocks, so one block of queries still meets the vectors in many tasks; they are broadcast only if Spark finds them under its own limit.
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor does a null id. Vectors of another length than the query's aren't compared. A vector with the query's own id is no candidate. Components beyond 2**53 count as that, and scores beyond 64 bits as the greatest or least long. Repeated ids: all rows are candidates; of repeated query ids the smallest vector that can take part asks. Empty tables: no rows. Other columns aren't read.
     """
 
     def own(df: DataFrame) -> DataFrame:
@@ -91,17 +109,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
     asked = own(queries).where(usable).groupBy("id").agg(F.min("vector").alias("vector"))
     n = max(1, -(-asked.count() // query_block))
     asking = asked.repartition(n, "id").mapInArrow(lambda b: packed(b, query_block, scale), schema)
-    sent = asking.select("dim", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    spread = max(1, min(spread, -(-vectors.count() // block)))
+    sent = asking.select("dim", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     met = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int")).join(sent, ["dim", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, list[Best]]] = {}
+
+        def rows(keys: np.ndarray, best: list[Best]) -> pa.RecordBatch:
+            query = np.repeat(keys, [len(i) for i, _ in best])
+            return pa.record_batch([pa.array(query), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
+                dim, name = batch.column("dim")[row].as_py(), batch.column("query_block")[row].as_py()
                 part = {c: np.frombuffer(batch.column(c)[row].as_buffer(), np.int64) for c in ("ids", "vectors", "query_ids", "queries")}
-                found = list(search(part["queries"].reshape(-1, dim), part["query_ids"], part["vectors"].reshape(-1, dim), part["ids"], k, bits))
-                if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                before = held.pop(name, None)
+                if before is None and len(held) >= most_held:
+                    yield rows(*held.pop(next(iter(held))))  # the one met longest ago
+                held[name] = (part["query_ids"].copy(), search(part["queries"].reshape(-1, dim), part["query_ids"], part["vectors"].reshape(-1, dim), part["ids"], k, bits, before and before[1]))
+        for own in held.values():
+            yield rows(*own)
 
     best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
