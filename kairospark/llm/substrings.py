@@ -80,12 +80,12 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
-def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23, block_windows: int = 1 << 22, depth: int = 1, spare: int = 64, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 23, block_windows: int = 1 << 22, depth: int = 2, spare: int = 8, most_tasks: int = 100_000, keep_text: bool = False) -> DataFrame:
     """Takes out of every text each word that a repeated window covers: `window` consecutive words of one row whose sequence also starts anywhere else, in the same row too. Windows are judged on the input.
 
     Per row: its id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) and, with keep_text, `kept`. A word is a run of bytes other than ASCII white space.
 
-    Rows are dealt by hash into buckets of about `bucket_bytes`. Each bucket counts its windows into a count-min sketch of `depth` rows and about `spare` cells per window of the whole input, sent sparse and sorted; sketches merge by blocks of cells, and each bucket learns which of its cells reach two. Counts are never too low, so a window that the sketch calls single is single. The others go on with 128-bit hashes and are grouped exactly, again by blocks. A wide row costs little as only the gaps between its cells are sent, so one row rules out all but about one in `spare` of the single windows.
+    Rows are dealt by hash into buckets of about `bucket_bytes`. Each bucket counts its windows into a count-min sketch of `depth` rows and about `spare` cells per window of the whole input, sent sparse and sorted; sketches merge by blocks of cells, and each bucket learns which of its cells reach two. Counts are never too low, so a window that the sketch calls single is single. The others go on with 128-bit hashes and are grouped exactly, again by blocks. Only the gaps between a bucket's cells are sent. A single window passes a row with a chance of about one in `spare`, and so all rows with one in `spare` to the power `depth`: 1 in 64 by default.
     The texts are shuffled once (the plan uses that exchange three times); nothing passes through the driver, and no task holds more than a bucket or a block, whose number grows with the input.
     Null or empty text: no words. Null or repeated ids and repeated rows: one result for each row, and repeated texts are repeats. Empty table: no rows. Other columns aren't read.
     """
@@ -96,7 +96,9 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     bits = min(60, max(blocks.bit_length(), (expected * spare).bit_length()))
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    dealt = own.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets))).groupBy("bucket")
+    # As many partitions as buckets, up to most_tasks, however many the session has for other shuffles; a task holds one of its buckets at a time.
+    tasks = -(-buckets // -(-buckets // most_tasks))
+    dealt = own.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets))).repartition(tasks, "bucket").groupBy("bucket")
     schema = "block long, bucket long, payload binary"
 
     def cells(one: np.ndarray, row: int) -> np.ndarray:
