@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kairospark.files import remove
+from kairospark.scratch import scratch
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kairospark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kairospark-{uuid.uuid4().hex}"
+
+_MADE: list[list[tuple[str, DataFrame]]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: the lineage is cut, and any executor can read it again."""
     path = scratch(df.sparkSession)
-    thin_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _MADE:
+        _MADE[-1].append((path, back))
+    return back
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is stored within is removed at the end, but for what the list that this gives then holds: the tables that the result still reads."""
+    kept: list[DataFrame] = []
+    _MADE.append([])
+    try:
+        yield kept
+    finally:
+        for path, df in _MADE.pop():
+            if not any(df is k for k in kept):
+                remove(spark, path)
 
 
 def thin_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's default of 64 MB, unless the session already asks for another size: with long texts, a worker holds a batch and what is made of it."""
+    """Smaller Arrow batches than Spark's default of 64 MB, unless the session already asks for another size: with long texts, a worker holds a batch and what is made of it. Registered queries do this to the session that they are given; operators change no setting."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, "16m")
