@@ -19,7 +19,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", stages.pack_documents),
 ]
 
-#: SQL can't express the learned stages. Tests hold the operators against brute force; of the stages only drop_near_duplicates is called in tests, and run() is not.
+#: SQL can't express the learned stages. tests/llm/test_pipeline.py holds each stage against plain code, and run() against its stages one after the other.
 ORACLE_SQL: str | None = None
 
 
