@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.llm.columns import stored
-from kairospark.llm.skew import joined
 
 
-def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
-    """Links each node's neighbours (large: those above it; else those below, and itself) to the least node that it knows. most: a bound on the rows of the join; a node with over a thousandth of them, such as the hub of a large family, is joined by broadcast."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links each node's neighbours (large: those above it; else those below, and itself) to the least node that it knows. The join is of all rows with one row for each node, so where a hub makes a partition large, adaptive execution splits it."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("held"))
-    met = joined(both, least, "a", "held", most)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    met = both.join(least, "a")
     if large:
         return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
     kept = met.where(F.col("b") != F.col("root")).select(F.col("b").alias("a"), F.col("root").alias("b"))
@@ -32,15 +31,14 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge: the least node of its component. edges: a, b of any one orderable type.
 
-    Every round halves the depth of the stars at least; it is written to the shared folder, and rounds end when all edges are stars. Aggregates and equi-joins only: no neighbour list is ever gathered, and hubs are spread (see skew.joined()). Self-links and repeated edges are harmless. An empty table gives no rows.
+    Every round halves the depth of the stars at least; it is written to the shared folder, and rounds end when all edges are stars. Aggregates and equi-joins only: no neighbour list is ever gathered. Self-links and repeated edges are harmless. An empty table gives no rows.
     """
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
         if _settled(now):
             break
-        most = 2 * now.count()
-        upper = stored(_star(now, True, most).where(F.col("a") != F.col("b")).distinct())
-        now = stored(_star(upper, False, most).where(F.col("a") != F.col("b")).distinct())
+        upper = stored(_star(now, True).where(F.col("a") != F.col("b")).distinct())
+        now = stored(_star(upper, False).where(F.col("a") != F.col("b")).distinct())
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

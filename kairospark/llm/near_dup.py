@@ -202,21 +202,20 @@ def _refined(rows: DataFrame, least: float, often: int = 64, classes: int = 8) -
     Each group's consensus, the elements of more than half of its members, is taken out of all of them, which leaves what sets them apart. A member's lack is how many elements of its rest it would have to share with another of no lack to be similar to it; a pair is similar if it shares as many as both lack. Members that lack nothing together with the one of the least lack, the hub, are linked to it. Any other similar pair shares an element among the first of each in any common order (the prefix filter): rare elements come first, those in more than one of `often` rests last. How long the prefixes are hangs on both lacks, so members meet by classes of their lack. Each element of a prefix, with the two classes, names a group of the next step. An element is in half of the rests at most, so groups halve at least and the steps end.
     The work of a step is linear in its rows. Consensus and frequent elements are of bounded number for each group: at most 2 and `often` times the mean length of a member's list.
     """
-    total = rows.count()
     seen = rows.select("group", "m", F.explode("delta").alias("e")).groupBy("group", "e").agg(F.first("m").alias("m"), F.count("*").alias("c"))
     rest = F.least("c", F.col("m") - F.col("c"))  # in so many rests
     consensus = seen.where(F.col("c") * 2 > F.col("m")).groupBy("group").agg(F.collect_list("e").alias("consensus"))
     hot = seen.where(rest * often > F.col("m")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct(rest.alias("rest"), "e")))["e"].alias("hot"))
     none = F.array().cast("array<bigint>")
-    sizes = rows.groupBy("group").agg(F.first("m").alias("held"))
-    facts = stored(sizes.join(consensus, "group", "left").join(hot, "group", "left").select("group", "held", F.coalesce("consensus", none).alias("consensus"), F.coalesce("hot", none).alias("hot")))
+    sizes = rows.select("group").distinct()
+    facts = stored(sizes.join(consensus, "group", "left").join(hot, "group", "left").select("group", F.coalesce("consensus", none).alias("consensus"), F.coalesce("hot", none).alias("hot")))
     delta = F.array_union(F.array_except("delta", "consensus"), F.array_except("consensus", "delta"))
-    apart = joined(rows, facts, "group", "held", total).select("group", "m", "print", "root", "n", delta.alias("delta"), "hot")
+    apart = rows.join(facts, "group").select("group", "m", "print", "root", "n", delta.alias("delta"), "hot")
     apart = apart.withColumn("delta", F.concat(F.sort_array(F.array_except("delta", "hot")), F.array_intersect("hot", "delta"))).drop("hot")
     apart = stored(apart.withColumn("d", F.size("delta")).withColumn("lack", (F.col("d") * (1 + least) - F.col("n") * (1 - least)) / (2 * (1 + least))))
 
-    hubs = apart.groupBy("group").agg(F.min(F.struct("lack", "print", "root", "n", "d")).alias("hub"), F.max("lack").alias("high"), F.count("*").alias("held"))
-    led = joined(apart, hubs, "group", "held", total).drop("held")
+    hubs = apart.groupBy("group").agg(F.min(F.struct("lack", "print", "root", "n", "d")).alias("hub"), F.max("lack").alias("high"))
+    led = apart.join(hubs, "group")
     both, most, own = F.col("n") + F.col("hub.n"), F.col("d") + F.col("hub.d"), F.col("print") == F.col("hub.print")
     led = led.withColumn("linked", own | (both - most >= least * (both + most)))
     links = led.where(F.col("linked") & ~own).select(F.col("hub.print").alias("a"), F.col("print").alias("b"))
@@ -233,13 +232,13 @@ def _refined(rows: DataFrame, least: float, often: int = 64, classes: int = 8) -
     spread = led.select(F.col("group").alias("was"), "print", "root", "d", "lack", "low", "width", "class", F.posexplode(F.slice("delta", F.lit(1), F.greatest(F.lit(0), prefix(F.lit(-1))).cast("int"))).alias("pos", "e"))
     spread = spread.withColumn("key", F.xxhash64("was", "e")).drop("e")
     again = spread.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    met = joined(spread, again, "key", "held", total)
+    met = spread.join(again, "key")
     met = met.select("was", "print", "root", "key", "class", "pos", "d", "lack", "low", "width", F.explode(F.sequence(F.lit(-1), F.lit(classes))).alias("other"))
     met = met.where((F.col("pos") < prefix(F.col("other"))) & ((F.col("class") >= 0) | (F.col("other") >= 0)))
     keys = stored(met.select("was", "print", "root", "d", "class", (F.col("class") == F.col("other")).alias("same"), F.xxhash64("key", F.least("class", "other"), F.greatest("class", "other")).alias("group")))
     open_ = keys.groupBy("group").agg(F.min("root").alias("from"), F.max("root").alias("to"), F.bool_or("same").alias("same"), F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("m"), F.sum("d").alias("mass"))
     open_ = open_.where("from != to and (same or first != last)").select("group", "m", "mass")
-    kept = joined(keys.drop("class", "same", "d"), open_, "group", "m", keys.count())
+    kept = keys.drop("class", "same", "d").join(open_, "group")
     smaller = kept.join(apart.select(F.col("group").alias("was"), "print", "n", "delta"), ["was", "print"]).select("group", "m", "mass", "print", "root", "n", "delta")
     return stored(links), stored(smaller)
 
@@ -260,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row of docs: its id, class_id, the least id of its class, and copies, the number of rows with the same words. A class holds equal texts, texts that share at least `least` of their word shingles (multisets of `size` whitespace-separated words, unchanged), and what such links join.
 
     Copies fall together by a fingerprint of their words before anything else, so a text that occurs a million times is signed, compared and linked once. With 24 bands of 5 a pair at 0.8 shares no band, and is missed, with probability 7e-5, and less above. A lower `least` needs shorter bands: 40 of 3 miss a pair at 0.6 with probability 6e-5.
-    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original; a leader's text is sent once for `chunk` comparisons. Then, where those that a leader leads still have several components, with each other: up to `block` texts of `elements` shingles together by a matrix product, a row a text; more by _refined(), whose rows grow in proportion to the texts. No link is given up. Components come from star contractions. What is written on the way is removed, but for the two tables that the result reads. Band keys, fingerprints and leaders that hold over a thousandth of all rows are joined by broadcast of ids, under a thousand of them; see skew.joined().
+    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original; a leader's text is sent once for `chunk` comparisons. Then, where those that a leader leads still have several components, with each other: up to `block` texts of `elements` shingles together by a matrix product, a row a text; more by _refined(), whose rows grow in proportion to the texts. No link is given up. Components come from star contractions. What is written on the way is removed, but for the two tables that the result reads. Band keys and fingerprints that hold over a thousandth of all rows are joined by broadcast of ids, under a thousand of them; see skew.joined(). Later joins are of links with one row for each leader, group or root, which adaptive execution splits where one of them is large.
     Null or empty text: all texts without words are copies of each other. Texts of fewer words than a shingle match only their equals. Null ids: the class takes the least other id, null if there is none. Repeated rows: one result each. Empty table: no rows. Other columns aren't read.
     """
     with tidied(docs.sparkSession) as kept:
@@ -274,10 +273,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts = stored(printed_texts(docs, text_col).join(mates.select("print"), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text")))
         leaders = members.join(mates, "print").groupBy("key").agg(F.max(F.struct("mates", "print"))["print"].alias("a"), F.count("*").alias("held"))
         pairs = stored(joined(members, leaders, "key", "held", total * bands).where("print != a").select("a", F.col("print").alias("b")).distinct())
-        n_pairs = pairs.count()
         held = pairs.groupBy("a").agg(F.count("*").alias("held"))
         parts = F.ceil(F.col("held") / chunk).cast("int")
-        salted = joined(pairs, held, "a", "held", n_pairs).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+        salted = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
         heads = texts.withColumnRenamed("print", "a").join(held, "a").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("text").alias("text_a"))
         judged = stored(_judged(salted.join(texts.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b").join(heads, ["a", "salt"]), size, least))
         links = judged.where("alike").select("a", "b")
@@ -285,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # What a leader doesn't settle: those that it leads, where some aren't like it.
         led = judged.select(F.col("a").alias("group"), F.col("b").alias("print"), F.when(F.col("alike"), F.col("a")).otherwise(F.col("b")).alias("root"), "n")
         open_ = led.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("n").alias("mass")).where("low != high").select("group", "m", "mass")
-        rest = stored(joined(led.drop("n"), open_, "group", "m", n_pairs).withColumn("group", F.xxhash64("group")))
+        rest = stored(led.drop("n").join(open_, "group").withColumn("group", F.xxhash64("group")))
         if not rest.isEmpty():
             sets = occurrences(texts.join(rest.select("print").distinct(), "print", "left_semi"), size)
             links = links.unionByName(_settled(stored(rest.join(sets, "print")), least, block, elements))
@@ -293,8 +291,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         firsts = nodes.select("print", "least", "copies")
         linked = roots.withColumnRenamed("node", "print").join(firsts, "print")
-        first = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("held"))
-        classes = joined(linked.select("root", "print"), first, "root", "held", total).select("print", "class_id")
+        classes = linked.select("root", "print").join(linked.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("print", "class_id")
         named = stored(firsts.join(classes, "print", "left").select("print", F.coalesce("class_id", "least").alias("class_id"), "copies"))
         kept += [known, named]
     return joined(known.select("id", "print"), named, "print", "copies", total).select(F.col("id").alias(id_col), "class_id", "copies")
