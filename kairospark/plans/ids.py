@@ -25,6 +25,7 @@ def digest(value: Any, length: int) -> str:
 
 
 def feature_id(source_table: str, source_key: str, family: str, transform: str, params: dict[str, Any], coord: str | None = None) -> str:
+    # The names in the payload, of which the id is a digest.
     own = dict(coord=coord, family=family, params=params, source_key=source_key, source_table=source_table, transform=transform)
     return ".".join((family, transform, digest(own, 12))) + (f":{coord}" if coord else "")
 

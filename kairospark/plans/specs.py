@@ -223,6 +223,7 @@ class FeatureRealization:
         s = self.slice
         if isinstance(s.entities, DataFrame):
             raise TypeError("a realization is identified by a list of entities, not a DataFrame")
+        # The names in the payload, of which the id is a digest.
         where = dict(asof=said(s.asof), end=str(s.end), entities=None if s.entities is None else list(s.entities), grid=s.grid, start=str(s.start))
         own = dict(params=self.params, slice=where, template=self.template, upstream_snapshot=self.upstream_snapshot, version=self.version)
         return ":".join((self.template, self.version, digest(own, 16)))

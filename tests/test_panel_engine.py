@@ -211,6 +211,7 @@ def test_next_in_grid(spark):
 
 
 # ---- bitemporal ----------------------------------------------------------------------------------------------------
+# Observations whose snapshots are known.
 GDP = [("GDP", "2024-12-31", "2025-01-10", 1.0), ("GDP", "2024-12-31", "2025-02-10", 1.1), ("GDP", "2025-03-31", "2025-04-10", 2.0), ("GDP", "2025-03-31", "2025-05-10", 2.1), ("CPI", "2024-12-31", "2025-01-20", 5.0)]
 
 
