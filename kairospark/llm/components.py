@@ -6,20 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.llm.columns import stored
+from kairospark.llm.skew import with_facts
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours (large: those above it; else those below, and itself) to the least node that it knows. The join is of all rows with one row for each node, so where a hub makes a partition large, adaptive execution splits it."""
+    """Links each node's neighbours (large: those above it; else those below, and itself) to the least node that it knows. A hub's edges are spread over tasks."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    met = both.join(least, "a")
+    met = with_facts(both, "a", "b", F.least(F.min("b"), F.col("a")).alias("root"))
     if large:
         return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
-    kept = met.where(F.col("b") != F.col("root")).select(F.col("b").alias("a"), F.col("root").alias("b"))
-    return kept.unionByName(least.where(F.col("a") != F.col("root")).select("a", F.col("root").alias("b")))
+    return met.select(F.when(F.col("b") == F.col("root"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("root").alias("b"))  # the edge to the root stands for the node itself
 
 
 def _settled(edges: DataFrame) -> bool:

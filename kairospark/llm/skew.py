@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,15 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int,
     often = facts.where(F.col(count) * share > total)
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(facts, key)
     return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
+def with_facts(rows: DataFrame, key: str, by: str, *facts: Column, where: str | None = None, parts: int = 64) -> DataFrame:
+    """rows with aggregates of all rows of their key as new columns; where: a condition on the aggregates that a key must meet.
+
+    A key's rows are dealt over `parts` places by a hash of `by`, and the aggregates, found with map-side combining, go to those places only that the key has rows in. So no task gets more than its share of a hot key, nothing is broadcast, and as many aggregates are sent as rows at most. A null key's rows are dropped; where `by` is null they are in one place. Empty tables: no rows. rows is read twice: store it first if it is dear to make.
+    """
+    dealt = rows.withColumn("place", F.pmod(F.xxhash64(by), F.lit(parts)))
+    known = dealt.groupBy(key).agg(*facts, F.collect_set("place").alias("place"))
+    if where:
+        known = known.where(where)
+    return dealt.join(known.withColumn("place", F.explode("place")), [key, "place"]).drop("place")
