@@ -148,6 +148,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@registered
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.filter_audit import filter_audit, mask_counts
+
+    return filter_audit(mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE p(o, s) AS (SELECT '', 0 UNION ALL SELECT o || f, s + 1 FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE s < 5 AND NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, unnest(range(1, 6))::INTEGER AS step FROM p WHERE s = 5),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM d GROUP BY ALL),
+x AS (
+  SELECT part, good, toxic, fails, n, filter_order, step, substr(filter_order, step, 1) AS f, contains(fails, substr(filter_order, step, 1)) AS hit,
+    len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda y: y <> '' AND contains(fails, y))) > 0 AS earlier
+  FROM c, steps),
+r AS (
+  SELECT part, filter_order, step, any_value(f) AS f, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE hit AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE hit AND NOT earlier AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE hit AND NOT earlier AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 

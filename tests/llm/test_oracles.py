@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = duck.execute(ORACLES[name])
     got = QUERIES[name](spark, SF).select([d[0] for d in want.description])
