@@ -148,6 +148,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@registered
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kairospark.llm.byte_bpe import decoded, encoded
+
+    ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    there_and_back = decoded(encoded(table(spark, sf_dir, "documents"), ranks, pattern, packed=True), ranks, pattern)
+    return there_and_back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @registered
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.filter_audit import filter_audit, mask_counts
