@@ -159,6 +159,42 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there_and_back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kairospark.llm.prefix_trie import prefix_trie, turn_arrays, with_shared_heads
+
+    return prefix_trie(with_shared_heads(turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
+# DuckDB has no crc32: it is taken from a table of the 256 bytes, which the polynomial gives.
+ORACLES["op12_prefix_trie"] = r"""
+WITH RECURSIVE b(n, v, k) AS (
+  SELECT range, range::BIGINT, 0 FROM range(256) UNION ALL
+  SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM b WHERE k < 8),
+bytes AS (SELECT list(v ORDER BY n) AS t FROM b WHERE k = 8),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM turns),
+digits(conv_id, v, rest) AS (
+  SELECT conv_id, 4294967295, conv_id::VARCHAR FROM ids UNION ALL
+  SELECT conv_id, xor((SELECT t FROM bytes)[xor(v & 255, ascii(rest)) + 1], v >> 8), substr(rest, 2) FROM digits WHERE rest <> ''),
+h AS (SELECT conv_id, xor(v, 4294967295) % 4 AS h FROM digits WHERE rest = ''),
+built AS (
+  SELECT h.conv_id, 0 AS part, t.k, t.role, t.text FROM h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.k <= h.h
+  UNION ALL SELECT h.conv_id, 1, t.k, t.role, t.text FROM h JOIN turns t ON t.conv_id = h.conv_id AND t.k > h.h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)),
+member AS (SELECT conv_id, depth, node, words, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM placed UNION ALL SELECT conv_id, 0, '', 0, NULL FROM ids),
+nodes AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(words) AS words, count(*) AS n, min(conv_id) AS conv_id FROM member GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+pairs AS (SELECT DISTINCT a.node AS top, d.node FROM member a JOIN member d ON a.conv_id = d.conv_id AND d.depth >= a.depth),
+below AS (SELECT top AS node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((n.n - 1) * n.words)::BIGINT AS saved_tokens FROM pairs JOIN nodes n USING (node) LEFT JOIN kids k ON k.node = n.node GROUP BY top),
+last AS (SELECT conv_id, max_by(node, depth) AS node FROM member GROUP BY conv_id),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM last GROUP BY node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node"""
+
+
 @registered
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kairospark.llm.filter_audit import filter_audit, mask_counts
