@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.operators.align import NOT_YET_RELEASED
 from kairospark.operators.panel import KEYS
+from kairospark.operators.scans import numbered
 
 
 def column_report(df: DataFrame, fields: Sequence[str] | None = None, label: str = "field") -> DataFrame:
@@ -59,9 +60,10 @@ def importance_by_tag(catalog: DataFrame, tag: str, *, col: str = "importance",
 
 
 def leakage_audit(aligned: DataFrame) -> DataFrame:
-    """n_not_yet_released: the non-missing cells whose availability says that they weren't released."""
+    """n_not_yet_released: the non-missing cells whose availability says that they weren't released. Values carried from earlier observations, which the cell's own observed column tells, are none."""
     fields = [c.removesuffix("__availability") for c in aligned.columns if c.endswith("__availability")]
-    cells = [F.count_if(F.col(f"`{f}`").isNotNull() & (F.col(f"`{f}__availability`") == NOT_YET_RELEASED)) for f in fields]
+    shown = lambda f: F.col(f"`{f}__observed`") if f"{f}__observed" in aligned.columns else F.lit(True)
+    cells = [F.count_if(F.col(f"`{f}`").isNotNull() & shown(f) & (F.col(f"`{f}__availability`") == NOT_YET_RELEASED)) for f in fields]
     return aligned.agg(sum(cells[1:], cells[0]).alias("n_not_yet_released"))
 
 
@@ -78,8 +80,10 @@ def assert_no_future_data(df: DataFrame, asof_col: str = "asof_utc", ts_col: str
 
 
 def grid_faults(grid: DataFrame, order_col: str) -> DataFrame:
-    """Rows of a grid, in the order of order_col, that aren't later than the row before."""
-    return grid.withColumn("before", F.lag("ts_utc").over(Window.orderBy(order_col))).where(F.col("ts_utc") <= F.col("before"))
+    """Rows of a grid, in the order of order_col, that aren't later than the row before. Each row meets the one before by its position; no task has the whole grid."""
+    rows, _ = numbered(grid, order_col, "__i")
+    before = rows.select((F.col("__i") + 1).alias("__i"), F.col("ts_utc").alias("before"))
+    return rows.join(before, "__i").drop("__i").where(F.col("ts_utc") <= F.col("before"))
 
 
 def assert_grid_is_monotone(grid: DataFrame, order_col: str) -> None:

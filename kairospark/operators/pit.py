@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 from functools import reduce
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from kairospark.files import exists, names, remove
 from kairospark.functions.ref_period import RefPeriod
 from kairospark.functions.times import at, known, to_utc
+from kairospark.operators.scans import scanned
 
 # The table's columns and keys.
 SCHEMA = "series_key string, obs_date timestamp_ntz, asof_utc timestamp_ntz, value double, release_time_utc timestamp_ntz, revision_id string, source string, meta_json string, ingested_utc timestamp_ntz"
@@ -58,6 +60,26 @@ def snapshot(pit: DataFrame, asof: Any, *, series_key: str | None = None, start:
     return last.select("series_key", "obs_date", "v.asof_utc", "v.value")
 
 
+def asof_values(rows: DataFrame, pit: DataFrame, *, key: str = "series_key", time: str = "ts_utc", obs: str | None = None, future: bool = False, segment: timedelta | None = None) -> DataFrame:
+    """rows with obs_date, asof_utc and value as they were known at each row's own time: of its series the latest vintage of the latest observation, or, with a column `obs` of dates, of that observation.
+
+    A vintage is known from its asof_utc on, both included; unless `future`, one of an observation date that is yet to come counts from that date on. A missing latest value hides older ones, as in snapshot(). NULL where nothing was known, or without a series, time or date. All rows stay, repeated ones too.
+    One sweep over the union of rows and vintages in the order of when they are known: one shuffle by series, or by series and ranges of time with a `segment`, for series that hold a large share of all rows.
+    """
+    made = ("obs_date", "asof_utc", "value")
+    if clash := [c for c in rows.columns if c in made and c != obs]:
+        raise ValueError(f"the rows have columns {clash} already")
+    known_at = F.col("asof_utc") if future else F.greatest("asof_utc", "obs_date")
+    vintage = F.struct("obs_date", "asof_utc", "value")
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    place = F.struct(F.col(f"`{key}`").cast("string").alias("series"), (F.col(f"`{obs}`").cast("timestamp_ntz") if obs else F.lit(None).cast("timestamp_ntz")).alias("obs"))
+    asked = rows.select(place.alias("key"), to_utc(rows, time).alias("at"), F.lit(1).alias("side"), whole.alias("row"), F.lit(None).cast(pit.select(vintage.alias("v")).schema["v"].dataType).alias("v"))
+    told = pit.where(F.col("asof_utc").isNotNull() & F.col("series_key").isNotNull()).select(F.struct(F.col("series_key").alias("series"), (F.col("obs_date") if obs else F.lit(None).cast("timestamp_ntz")).alias("obs")).alias("key"), known_at.alias("at"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"), vintage.alias("v"))
+    swept = scanned(asked.unionByName(told), greatest={"now": F.col("v")}, key="key", time="at", ties=("side",), segment=segment)
+    usable = F.col("at").isNotNull() & F.col("key.series").isNotNull()
+    return swept.where("side = 1").select("row.*", *(F.when(usable, F.col("now")[c]).alias(c) for c in made if c != obs))
+
+
 def timeline(pit: DataFrame, obs_date: Any, *, series_key: str | None = None, start_asof: Any = None, end_asof: Any = None) -> DataFrame:
     """All vintages of one observation date, oldest first."""
     df = pit.where(F.col("obs_date") == at(obs_date))

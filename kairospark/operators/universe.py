@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairospark.functions.times import at
+from kairospark.operators.scans import segment_of
 
 
 def from_wide(wide: DataFrame, date_col: str = "date") -> DataFrame:
@@ -29,7 +32,23 @@ def spells(universe: DataFrame) -> DataFrame:
     return members.withColumn("run", run).groupBy("entity_id", "run").agg(F.min("date").alias("since"), F.max_by("until", "i").alias("until")).drop("run")
 
 
-def restricted(panel: DataFrame, universe: DataFrame) -> DataFrame:
-    """The rows whose entity is a member as of their time. An equi-join on the entity with a range condition; Spark broadcasts the spells where they are small."""
+#: Ranges that rows after the last matrix row are dealt over.
+_AFTER = 64
+
+
+def restricted(panel: DataFrame, universe: DataFrame, segment: timedelta | None = None) -> DataFrame:
+    """The rows whose entity is a member as of their time. An equi-join on the entity with a range condition; Spark broadcasts the spells where they are small.
+
+    With a segment, spells are cut at ranges of time of that length and joined by entity and range, so that no task has all rows of a hot entity. A spell has a row for each range that it covers; what lies after the last matrix row, where membership doesn't change, is dealt over 64 places by range.
+    """
     s = spells(universe).withColumnRenamed("entity_id", "member")
-    return panel.join(s, (panel["entity_id"] == s["member"]) & (panel["ts_utc"] >= s["since"]) & (s["until"].isNull() | (panel["ts_utc"] < s["until"])), "left_semi")
+    within = (panel["entity_id"] == s["member"]) & (panel["ts_utc"] >= s["since"]) & (s["until"].isNull() | (panel["ts_utc"] < s["until"]))
+    if segment is None:
+        return panel.join(s, within, "left_semi")
+    last = F.broadcast(universe.agg((segment_of(F.max("date"), segment) + 1).alias("__end")))
+    place = lambda n: F.when(n < F.col("__end"), n).otherwise(F.col("__end") + F.pmod(n, F.lit(_AFTER)))
+    until = F.when(F.col("until").isNull(), F.col("__end") + (_AFTER - 1)).otherwise(segment_of(F.col("until"), segment))
+    cut = s.crossJoin(last).withColumn("__in", F.explode(F.sequence(segment_of(F.col("since"), segment), until))).drop("__end")
+    rows = panel.crossJoin(last).withColumn("__at", place(segment_of(F.col("ts_utc"), segment))).drop("__end")
+    within = (rows["entity_id"] == cut["member"]) & (rows["__at"] == cut["__in"]) & (rows["ts_utc"] >= cut["since"]) & (cut["until"].isNull() | (rows["ts_utc"] < cut["until"]))
+    return rows.join(cut, within, "left_semi").drop("__at")

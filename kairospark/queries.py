@@ -19,7 +19,7 @@ from kairospark.operators.align import AlignSpec, align_panel
 from kairospark.operators.joins import first_catalog, join_frames
 from kairospark.operators.panel import from_long, ordered, repeated_keys, sliced
 from kairospark.operators.returns import lagged, log_returns, next_squared_return
-from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_splits
+from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_splits, target_purged_kfold
 from kairospark.operators.universe import entities_on, restricted
 from kairospark.plans.dataset import build_dataset, leaked, target_ends
 from kairospark.plans.ids import feature_id, group_path
@@ -112,6 +112,14 @@ def universe_restrict(spark, sf_dir):
     return restricted(panel, membership(spark, sf_dir)).select("o_orderkey", "ts_utc", "entity_id")
 
 
+@query("""SELECT o_orderkey, o_orderdate AS ts_utc, o_custkey::VARCHAR AS entity_id FROM orders
+WHERE (o_custkey + (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1) % 3 <> 0""")
+def universe_restrict_segmented(spark, sf_dir):
+    """The same by customer and ranges of 30 days."""
+    panel = from_long(table(spark, sf_dir, "orders").select("o_orderdate", "o_custkey", "o_orderkey"), "o_orderdate", "o_custkey")
+    return restricted(panel, membership(spark, sf_dir), timedelta(days=30)).select("o_orderkey", "ts_utc", "entity_id")
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS entity_id FROM orders WHERE (o_custkey + 9) % 3 <> 0")
 def universe_entities_on(spark, sf_dir):
     return entities_on(membership(spark, sf_dir), "1997-05-20")
@@ -631,6 +639,33 @@ def splits_purged_kfold(spark, sf_dir):
     return purged_kfold(order_dates(spark, sf_dir), 5, 5)
 
 
+TICKS = "n AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT ts AS d FROM events))"
+
+
+def event_times(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("ts").distinct()
+
+
+@query(f"WITH {TICKS}, w AS (SELECT *, lag(d, 500) OVER (ORDER BY d) AS train_start, lag(d) OVER (ORDER BY d) AS train_end, d AS test_start, lead(d, 49) OVER (ORDER BY d) AS test_end FROM n) SELECT train_start, train_end, test_start, test_end FROM w WHERE i >= 500 AND (i - 500) % 100 = 0 AND i + 49 < c")
+def splits_rolling_intraday(spark, sf_dir):
+    return rolling_splits(event_times(spark, sf_dir), 500, 50, 100)
+
+
+@query(f"""WITH {TICKS}, f AS (SELECT least(i // (c // 4), 3)::INT AS fold, d FROM n), b AS (SELECT fold, min(d) AS lo, max(d) AS hi FROM f GROUP BY fold)
+SELECT fold, 'test' AS role, d AS date FROM f UNION ALL SELECT fold, 'train', d FROM n, b WHERE d < lo OR d > hi""")
+def splits_kfold_intraday(spark, sf_dir):
+    return purged_kfold(event_times(spark, sf_dir), 4)
+
+
+@query(f"""WITH {TICKS}, f AS (SELECT least(i // (c // 5), 4)::INT AS fold, d FROM n), e AS (SELECT event_id, ts AS ts_utc, ts + INTERVAL 36 HOUR AS target_end, fold FROM events JOIN f ON d = ts),
+s AS (SELECT fold, min(ts_utc) AS low, max(target_end) + INTERVAL 6 HOUR AS high FROM e GROUP BY fold)
+SELECT event_id, ts_utc, target_end, fold, 'test' AS role FROM e UNION ALL SELECT event_id, ts_utc, target_end, s.fold, 'train' FROM e JOIN s ON e.fold <> s.fold AND (target_end < low OR ts_utc > high)""")
+def splits_target_purged(spark, sf_dir):
+    """Folds of events whose targets end 36 hours on: no training target reaches into a test span, with six hours more after it."""
+    rows = target_ends(table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("ts_utc")), horizon=timedelta(hours=36))
+    return target_purged_kfold(rows, 5, embargo=timedelta(hours=6), segment=timedelta(days=1))
+
+
 # ---- diagnostics ---------------------------------------------------------------------------------------------------
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -823,3 +858,78 @@ def lineage_edges(spark, sf_dir):
     for side in ("parent", "child"):
         own = own.join(nodes.withColumnsRenamed({"node": side, "meta_json": f"{side}_meta"}), side)
     return own.select("parent", "child", "kind", said("kind", "parent").alias("parent_kind"), said("kind", "child").alias("child_kind"), said("type", "child").alias("child_type"))
+
+
+# ---- what was known when -------------------------------------------------------------------------------------------
+SHIPPED = "r AS (SELECT l_orderkey, l_linenumber, o_custkey::VARCHAR AS series, l_shipdate AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+def shipped(spark, sf_dir) -> DataFrame:
+    """A row for each line of an order: its customer and the day it was shipped."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("series"), "o_orderdate")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("ts")).join(o, "l_orderkey")
+
+
+@query(f"""WITH {ALL}, {SHIPPED}, k AS (SELECT r.series, r.ts, max(struct_pack(obs_date := v.obs_date, asof_utc := v.asof_utc, value := v.value)) AS x
+  FROM (SELECT DISTINCT series, ts FROM r) r JOIN v ON v.series_key = r.series AND greatest(v.asof_utc, v.obs_date) <= r.ts GROUP BY ALL)
+SELECT r.*, x.obs_date, x.asof_utc, x.value FROM r LEFT JOIN k USING (series, ts)""")
+def pit_asof_rows(spark, sf_dir):
+    """The customer's latest month as it was known when a line was shipped."""
+    return pit.asof_values(shipped(spark, sf_dir).drop("o_orderdate"), vintages(spark, sf_dir), key="series", time="ts")
+
+
+@query(f"""WITH {ALL}, {SHIPPED}, k AS (SELECT r.series, r.ts, max(struct_pack(obs_date := v.obs_date, asof_utc := v.asof_utc, value := v.value)) AS x
+  FROM (SELECT DISTINCT series, ts FROM r) r JOIN v ON v.series_key = r.series AND greatest(v.asof_utc, v.obs_date) <= r.ts GROUP BY ALL)
+SELECT r.*, x.obs_date, x.asof_utc, x.value FROM r LEFT JOIN k USING (series, ts)""")
+def pit_asof_rows_segmented(spark, sf_dir):
+    """The same, each customer's rows scanned by ranges of a year."""
+    return pit.asof_values(shipped(spark, sf_dir).drop("o_orderdate"), vintages(spark, sf_dir), key="series", time="ts", segment=timedelta(days=365))
+
+
+@query(f"""WITH {ALL}, r AS (SELECT l_orderkey, l_linenumber, o_custkey::VARCHAR AS series, o_orderdate + to_days(l_linenumber::INT) AS ts, last_day(o_orderdate)::TIMESTAMP AS obs_date FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+k AS (SELECT r.series, r.obs_date, r.ts, max(struct_pack(asof_utc := v.asof_utc, value := v.value)) AS x FROM (SELECT DISTINCT series, obs_date, ts FROM r) r JOIN v ON v.series_key = r.series AND v.obs_date = r.obs_date AND v.asof_utc <= r.ts GROUP BY ALL)
+SELECT r.*, x.asof_utc, x.value FROM r LEFT JOIN k USING (series, obs_date, ts)""")
+def pit_asof_observation(spark, sf_dir):
+    """The month of a line's order as it was known a few days after the order, its revisions until then included."""
+    lines = shipped(spark, sf_dir).select("l_orderkey", "l_linenumber", "series", (F.col("o_orderdate") + F.make_dt_interval(F.col("l_linenumber").cast("int"))).alias("ts"), F.last_day("o_orderdate").cast("timestamp_ntz").alias("obs_date"))
+    return pit.asof_values(lines, vintages(spark, sf_dir), key="series", time="ts", obs="obs_date", future=True)
+
+
+#: Orders as observations of a month, published days or weeks later; of pending ones no value is known.
+PUBLISHED = "m AS (SELECT date_trunc('month', o_orderdate)::DATE AS day, o_custkey::VARCHAR AS entity_id, max(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) AS value, (any_value(date_trunc('month', o_orderdate)) + to_days((max(o_orderkey) % 75)::INT))::TIMESTAMP AS release FROM orders GROUP BY 1, 2), g AS (SELECT (DATE '1995-01-01' + to_months(k::INT))::DATE AS day, entity_id FROM range(84) r(k), (SELECT DISTINCT entity_id FROM m))"
+STATES = """CASE WHEN m.day IS NOT NULL AND m.release > {k} THEN 'not_yet_released' WHEN m.day IS NOT NULL AND m.value IS NOT NULL THEN 'available' WHEN m.day IS NOT NULL THEN 'temporary_outage'
+WHEN p IS NULL THEN 'missing_unknown' WHEN g.day - p <= 75 THEN 'no_update_expected' WHEN q IS NULL AND {k}::DATE - p > 300 THEN 'discontinued' ELSE 'temporary_outage' END"""
+
+
+def published(spark, sf_dir) -> DataFrame:
+    month = F.trunc("o_orderdate", "month")
+    return table(spark, sf_dir, "orders").groupBy(month.cast("timestamp_ntz").alias("ts_utc"), F.col("o_custkey").cast("string").alias("entity_id")).agg(F.max(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))).alias("value"), F.max("o_orderkey").alias("__k")).select("ts_utc", "entity_id", "value", (F.col("ts_utc") + F.make_dt_interval((F.col("__k") % 75).cast("int"))).alias("release"))
+
+
+def _released(spark, sf_dir, spec: AlignSpec, asof=None) -> DataFrame:
+    grid = spark.range(84).select(F.add_months(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).cast("timestamp_ntz").alias("ts_utc"))
+    return align_panel(published(spark, sf_dir), grid, TableSchema("published", native_freq="M", release_time_column="release"), spec, asof=asof)
+
+
+@query(f"""WITH {PUBLISHED}, a AS (SELECT g.day, g.entity_id, max(o.day) FILTER (WHERE o.day <= g.day) AS p, min(o.day) FILTER (WHERE o.day > g.day) AS q, arg_max(o.value, o.day) FILTER (WHERE o.day <= g.day) AS v
+  FROM g LEFT JOIN m o ON o.entity_id = g.entity_id AND o.value IS NOT NULL AND o.release <= '2000-07-15' GROUP BY ALL)
+SELECT g.day::TIMESTAMP AS ts_utc, g.entity_id, g.v AS value, m.value IS NOT NULL AND m.release <= '2000-07-15' AS value__observed, {STATES.format(k="TIMESTAMP '2000-07-15'")} AS value__availability
+FROM a g LEFT JOIN m ON m.entity_id = g.entity_id AND m.day = g.day""")
+def align_released(spark, sf_dir):
+    """All six states, as of one moment: what comes after a gap tells an outage from an end."""
+    return _released(spark, sf_dir, AlignSpec("ffill"), "2000-07-15")
+
+
+@query(f"""WITH {PUBLISHED}, a AS (SELECT g.day, g.entity_id, max(o.day) AS p, NULL::DATE AS q, arg_max(o.value, o.day) AS v
+  FROM g LEFT JOIN m o ON o.entity_id = g.entity_id AND o.value IS NOT NULL AND greatest(o.release, o.day) <= g.day GROUP BY ALL)
+SELECT g.day::TIMESTAMP AS ts_utc, g.entity_id, CASE WHEN g.day - g.p <= 100 THEN g.v END AS value, m.value IS NOT NULL AND m.release <= g.day AS value__observed, {STATES.format(k="g.day")} AS value__availability
+FROM a g LEFT JOIN m ON m.entity_id = g.entity_id AND m.day = g.day""")
+def align_released_own_time(spark, sf_dir):
+    """Each grid row as it was known at its own time, values carried for 100 days; scanned by ranges of a year."""
+    return _released(spark, sf_dir, AlignSpec("ffill", 100, segment=timedelta(days=365)))
+
+
+@query(f"WITH {PUBLISHED} SELECT count(m.value) FILTER (WHERE m.release > g.day) AS n_not_yet_released FROM g JOIN m ON m.entity_id = g.entity_id AND m.day = g.day")
+def leakage_audit_released(spark, sf_dir):
+    """Values by day alone, whenever they were released: the audit counts those that weren't out at their grid row's time."""
+    return diag.leakage_audit(_released(spark, sf_dir, AlignSpec("none", respect_asof=False)))
