@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairospark.llm.columns import slices, strings, utf8
-from kairospark.llm.hashing import word_spans
+from kairospark.llm.hashing import word_hashes, word_spans
 
 # The kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "crf")
@@ -56,8 +56,20 @@ _VOWEL = np.zeros(256, np.int8)
 _VOWEL[list(b"aeiouyAEIOUY")] = 1
 _LENGTHS = np.array([3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 40, 64])
 _MAKES, _CUE_STEPS = 12, 5
-#: Sizes of the feature groups: length, make-up, digits' share, switches between kinds of characters, vowels' share, cue before, mark before, quotes, joined to the last, make-up of the word before and after, the file's digits and cues, and pairs: length and make-up, cue and make-up, cue and length, make-up and vowels' share.
-_SIZES = (len(_LENGTHS) + 1, _MAKES, 6, 6, 7, _CUE_STEPS, 3, 4, 3, _MAKES + 1, _MAKES + 1, 4, 3, (len(_LENGTHS) + 1) * _MAKES, _CUE_STEPS * _MAKES, _CUE_STEPS * (len(_LENGTHS) + 1), _MAKES * 7)
+# Kinds of the characters beside a token; 0 is white space or an end, and the last is any other.
+_BESIDE = np.full(256, 12, np.int8)
+_BESIDE[[0x20, *range(0x09, 0x0E), 0]] = 0
+for _k, _c in enumerate("./:@#(=\"'&,", 1):
+    _BESIDE[ord(_c)] = _k
+#: Flags of the run between white space that a token is in: a scheme, an @, slashes, a dot, colons, a question mark or ampersand, an equals sign, a number sign.
+_FLAGS = 8
+_WORDS = 128
+_RUNS, _DENSE, _MARKS, _LETTER_RUNS, _DIGIT_RUNS = 7, 6, 5, 6, 6
+#: Sizes of the feature groups: length, make-up, digits' share, switches between kinds of characters, vowels' share, cue before, mark before, quotes, joined to the last, make-up of the word before and after, the file's digits and cues, and pairs: length and make-up, cue and make-up, cue and length, make-up and vowels' share; the longest run of consonants, of letters and of digits, switches a character, marks inside, each with the length; the characters before and after; the flags of the surrounding run, alone, with the make-up and with the cue; the word before, hashed.
+_SIZES = (
+    len(_LENGTHS) + 1, _MAKES, 6, 6, 7, _CUE_STEPS, 3, 4, 3, _MAKES + 1, _MAKES + 1, 4, 3, (len(_LENGTHS) + 1) * _MAKES, _CUE_STEPS * _MAKES, _CUE_STEPS * (len(_LENGTHS) + 1), _MAKES * 7,
+    _RUNS * (len(_LENGTHS) + 1), _LETTER_RUNS * (len(_LENGTHS) + 1), _DIGIT_RUNS * (len(_LENGTHS) + 1), _DENSE * (len(_LENGTHS) + 1), _MARKS * (len(_LENGTHS) + 1), _RUNS * _DENSE, 13, 13, 1 << _FLAGS, (1 << _FLAGS) * _MAKES, (1 << _FLAGS) * _CUE_STEPS, _WORDS + 1,
+)
 _AT = np.cumsum([0, *_SIZES])
 N_FEATURES = int(_AT[-1])
 #: Tokens whose features are held at once, and how far a token's features look.
@@ -93,6 +105,15 @@ class Tokens:
         own = np.diff(offsets)
         share = 1000 * (digits[offsets[1:]] - digits[offsets[:-1]]) // np.maximum(1, own)
         cues = np.concatenate([[0], np.cumsum(self.cue)])
+        begin, stop, _ = word_spans(data, offsets)
+        flags = np.zeros(len(begin), np.int32)
+        scheme = np.zeros(len(data), bool)
+        scheme[:-2] = (data[:-2] == 0x3A) & (data[1:-1] == 0x2F) & (data[2:] == 0x2F)
+        tests = ((scheme, 1), (data == 0x40, 1), (data == 0x2F, 2), (data == 0x2E, 1), (data == 0x3A, 2), ((data == 0x3F) | (data == 0x26), 1), (data == 0x3D, 1), (data == 0x23, 1))
+        for k, (mask, least) in enumerate(tests):
+            sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+            flags |= ((sums[stop] - sums[begin]) >= least).astype(np.int32) << k
+        self.flags = flags[np.searchsorted(begin, self.start, "right") - 1] if len(begin) else np.zeros(0, np.int32)
         self.files = np.stack([np.searchsorted((5, 20, 80), share, "right"), np.minimum(2, cues[self.first[1:]] - cues[self.first[:-1]])], 1)
 
     def features(self, a: int, b: int) -> np.ndarray:
@@ -103,6 +124,14 @@ class Tokens:
         data = self.data[base : base + end[-1] + 1]
         kind, size = _CLASS[data], end - start
 
+        def longest(mask: np.ndarray) -> np.ndarray:
+            """The longest run of the mask in each token."""
+            run = np.cumsum(mask, dtype=np.int32)
+            back = np.where(mask, 0, run)
+            back[start] = np.maximum(back[start], run[start] - mask[start])  # rows may follow each other without a gap
+            run -= np.maximum.accumulate(back)
+            return np.maximum.reduceat(run, start)
+
         def within(mask: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
             sums = np.zeros(len(mask) + 1, np.int32)
             np.cumsum(mask, out=sums[1:])
@@ -132,6 +161,17 @@ class Tokens:
         right = np.where(np.concatenate([same[1][1:], [False]]), np.concatenate([make[1:], [0]]), _MAKES)
         out = [length, make, np.minimum(5, counts[4] * 10 // size), switches, share, near_cue, mark * (1 + (near_cue > 0)), quote + 2 * quoted, joined, left, right, self.files[row, 0], self.files[row, 1]]
         out += [length * _MAKES + make, near_cue * _MAKES + make, near_cue * (len(_LENGTHS) + 1) + length, make * 7 + share]
+        letter = (kind >= 1) & (kind <= 3)
+        steps = len(_LENGTHS) + 1
+        hard = np.searchsorted((2, 3, 4, 5, 6, 8), longest(letter & (_VOWEL[data] == 0)), "right")
+        dense = np.searchsorted((1, 2, 3, 4, 6), 10 * within(change & (sort != 5) & (np.concatenate([[0], sort[:-1]]) != 5), start + 1, end) // size, "right")
+        for most in (hard, np.searchsorted((1, 3, 5, 8, 12), longest(letter), "right"), np.searchsorted((1, 2, 3, 5, 9), longest(kind == 4), "right"), dense, np.minimum(_MARKS - 1, counts[6])):
+            out.append(most * steps + length)
+        out += [hard * _DENSE + dense, _BESIDE[before * (start > last_end)], _BESIDE[np.where(end < len(data), after, 0)]]
+        flags = self.flags[low:high]
+        lower = np.where(kind == 3, data + 32, data).astype(np.uint8)
+        word = (word_hashes(lower, start, end) % np.uint64(_WORDS)).astype(np.int64)
+        out += [flags, flags * _MAKES + make, flags * _CUE_STEPS + near_cue, np.where(same[1], np.concatenate([[0], word[:-1]]), _WORDS)]
         return (np.stack(out, 1) + _AT[:-1])[a - low : b - low]
 
 
@@ -285,32 +325,117 @@ _LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0
 # Made-up secrets' alphabets, least and greatest lengths, and whether they need a cue; the phrases that they stand in for training, with a cue and without.
 _SHAPES = (
     (_DIG + "abcdef", 16, 64, False),
+    (_DIG + "abcdef", 16, 28, False),
     (_UP + _DIG, 12, 32, False),
     (_UP + _LOW + _DIG, 12, 48, False),
     (_UP + _LOW + _DIG + "+/_-", 20, 60, False),
     (_LOW + _DIG, 12, 40, False),
     (_LOW, 14, 32, True),
+    (_LOW, 16, 24, True),
     (_UP + _LOW, 12, 32, True),
     (_UP + _LOW + _DIG, 6, 12, True),
     (_LOW + _DIG, 6, 12, True),
 )
-_CUED = ('token = "{}"', "secret: {}", "password={}", "api_key = '{}'", "Authorization: Bearer {}", "auth {}", "key {} end", "key: {}", "pwd is {}", "pwd={}", "the password is {} for now", "credentials: user {}", '"client_secret": "{}"', "passwd {}")
+_CUED = ('token = "{}"', "secret: {}", "password={}", "api_key = '{}'", "Authorization: Bearer {}", "auth {}", "key {} end", "key: {}", "pwd is {}", "pwd={}", "the password is {} for now", "credentials: user {}", '"client_secret": "{}"', "passwd {}", "https://api.example.org/v1/items?token={}&page=2", "postgres://admin:{}@db.internal:5432/main", "mysql://root:{}@localhost/shop", "secret for prod is {}", "my pwd here: {}", "a key called {}", "bearer follows {}", "with auth set to {}")
 _BARE = ("{}", "({})", '"{}"', "id {} here", "use {}, please", "value={}")
+_PREFIXES = ("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "xoxp-", "glpat-", "npm_", "SG.", "hf_")
+# Words that names in code and addresses are made of, beside made-up ones, and words that ordinary strings stand after.
+_NAME_WORDS = ("user", "get", "set", "list", "file", "name", "index", "count", "value", "data", "page", "item", "order", "account", "service", "handler", "manager", "request", "response", "http", "json", "utf8", "type", "size", "test", "config", "cache", "session", "image", "report", "daily", "load", "update", "parse", "compute", "total", "distance", "model", "view", "form", "key", "auth", "token", "default", "general", "async", "node", "string", "array", "path")
+_TLDS = ("com", "org", "net", "de", "io", "co.uk", "fr")
+_ENDINGS = ("py", "html", "txt", "pdf", "js", "java", "png", "json", "csv", "md", "so", "jpg")
+_ORDINARY = ("{}", "see {}", "({})", "the {} of", "at {}.", "in {},", "`{}`", '"{}"', "name {} and", "for {}:", "key {} is", "the token {} of the grammar")
+
+
+def _drawn(rng: np.random.Generator, alphabet: str, least: int, most: int) -> str:
+    return "".join(rng.choice(list(alphabet), rng.integers(least, most + 1)))
+
+
+def _word(rng: np.random.Generator) -> str:
+    """A word of a list, or one that can be pronounced."""
+    if rng.random() < 0.5:
+        return str(rng.choice(_NAME_WORDS))
+    return "".join(str(rng.choice(["", "r", "l"]) if k and rng.random() < 0.2 else "") + str(rng.choice(list("bcdfghklmnprstvw"))) + str(rng.choice(["a", "e", "i", "o", "u", "ai", "ou"])) + str(rng.choice(["", "", "n", "r", "s", "t", "ck", "ng"])) for k in range(rng.integers(1, 4)))
+
+
+def _name(rng: np.random.Generator) -> str:
+    """Words joined in one of five styles of code."""
+    words = [_word(rng) for _ in range(rng.integers(2, 7))]
+    if rng.random() < 0.3:
+        words[-1] += str(rng.integers(1, 100))
+    big = [w.capitalize() for w in words]
+    return str([words[0] + "".join(big[1:]), "".join(big), "_".join(words), "-".join(words), "_".join(words).upper(), "__" + "_".join(words) + "__"][rng.integers(6)])
+
+
+def _host(rng: np.random.Generator) -> str:
+    return str(rng.choice(["", "www.", "api."])) + "-".join(_word(rng) for _ in range(rng.integers(1, 3))) + "." + str(rng.choice(_TLDS))
+
+
+def ordinary(rng: np.random.Generator, words: list[str]) -> str:
+    """An ordinary string that is no plain word, in a phrase: names in code, addresses, paths, numbers, dates, versions, ids and hashes that say what they are, pictures as text, part numbers, and compounds of the text's own words."""
+    n = lambda least, most: str(rng.integers(least, most))
+    hexa = _DIG + "abcdef"
+    kind = rng.integers(18)
+    if kind == 17:
+        code = "".join(_drawn(rng, _UP if k % 2 == 0 else _DIG, 1, 3) for k in range(rng.integers(2, 6)))
+        return str(rng.choice(["{}", "part {}", "model {},", "seat {}", "({})", "type {} of"])).format(code)
+    if kind > 13:
+        parts = [w for w in rng.choice(words, rng.integers(2, 5)).tolist() if w.isalpha()] if words else []
+        text = "".join(parts).lower() or _word(rng)
+        return str(rng.choice(_ORDINARY)).format(text.capitalize() if rng.random() < 0.3 else text)
+    if kind == 0:
+        text = "-".join(_drawn(rng, hexa, k, k) for k in (8, 4, 4, 4, 12))
+        text = text.upper() if rng.random() < 0.3 else text
+        return str(rng.choice(["{}", "id {}", "request {} failed", "uuid={}", "urn:uuid:{}", "session {}", '"{}"'])).format(text)
+    if kind == 1:
+        return str(rng.choice(["commit {}", "Merge {} into main", "sha256:{}", "rev {}", "checksum {}", "git show {}", "blob {}", "md5 {}"])).format(_drawn(rng, hexa, *[(7, 12), (32, 32), (40, 40)][rng.integers(3)]))
+    if kind in (2, 3):
+        path = "/".join(str(rng.choice([_word(rng), _name(rng), n(1, 100_000), _drawn(rng, _UP + _LOW + _DIG, 5, 11)], p=[0.45, 0.3, 0.15, 0.1])) for _ in range(rng.integers(0, 5)))
+        query = str(rng.choice(["", "", "?page=" + n(1, 50), "?ref=" + _word(rng) + "&id=" + n(1, 10**8), "#" + _word(rng), "?q=" + _word(rng) + "+" + _word(rng)]))
+        return str(rng.choice(["{}", "see {}", "({})", "<{}>", "open {} now", "[link]({})"])).format(str(rng.choice(["https://", "http://", "", "ftp://"])) + _host(rng) + "/" + path + str(rng.choice(["", "." + str(rng.choice(_ENDINGS))])) + query)
+    if kind == 4:
+        parts = [str(rng.choice([_word(rng), _name(rng)])) for _ in range(rng.integers(1, 6))]
+        return str(rng.choice(["/usr/", "/home/", "./", "src/", "../", "C:/", "~/", "lib/"])) + "/".join(parts) + str(rng.choice(["", "/", "." + str(rng.choice(_ENDINGS))]))
+    if kind == 5:
+        return str(rng.choice(["{}", "mail {}", "<{}>", "contact: {}"])).format(str(rng.choice([".", "_", ""])).join(_word(rng) for _ in range(rng.integers(1, 3))) + str(rng.choice(["", n(1, 2000)])) + "@" + _host(rng))
+    if kind == 6:
+        groups = [_drawn(rng, _DIG, 2, 5) for _ in range(rng.integers(2, 5))]
+        return str(rng.choice(["call {}", "tel. {}", "{}", "fax {}", "phone: {}"])).format(str(rng.choice(["", "+" + n(1, 99) + "-", "0", "+" + n(1, 99)])) + str(rng.choice(["-", "", "/", " "])).join(groups))
+    if kind == 7:
+        number = str(rng.choice(["", "A", "INV-", "ORD-", "#", "No. ", "EU"])) + str(rng.choice([n(1, 10**9), "2024-" + n(1, 10**6), n(1, 10**14), n(1, 999) + "-" + n(1, 10**7) + "-" + n(1, 10**7)]))
+        return str(rng.choice(["order {}", "{}", "invoice {}", "case {},", "item {}", "account {}", "total {}"])).format(number)
+    if kind == 8:
+        day = f"{rng.integers(1950, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
+        clock = f"{rng.integers(24):02}:{rng.integers(60):02}:{rng.integers(60):02}"
+        return str(rng.choice([day, day + "T" + clock + "Z", day + "T" + clock + "." + n(100, 1000) + "+02:00", day + " " + clock, clock, day.replace("-", "/"), day.replace("-", "") + "T" + clock.replace(":", "") + "Z"]))
+    if kind == 9:
+        return str(rng.choice(["v{}", "version {}", "{}", "{}-rc1", _word(rng) + "-{}", _word(rng) + "=={}", _word(rng) + "{}"])).format(".".join(n(0, 30) for _ in range(rng.integers(2, 4))))
+    if kind == 10:
+        return str(rng.choice(["data:image/png;base64,{}", "data:font/woff2;base64,{}", 'src="data:image/gif;base64,{}"'])).format(_drawn(rng, _UP + _LOW + _DIG + "+/", 40, 200))
+    if kind == 11:
+        return f"{_name(rng)}({_word(rng)}" + str(rng.choice([")", ", " + _name(rng) + ")", "):"]))
+    return str(rng.choice(_ORDINARY)).format(_name(rng))
 
 
 def made_up(rng: np.random.Generator) -> tuple[str, str, str]:
     """A made-up secret and what stands before and after it."""
     alphabet, least, most, cued = _SHAPES[rng.integers(len(_SHAPES))]
-    secret = "".join(rng.choice(list(alphabet), rng.integers(least, most + 1)))
-    if rng.random() < 0.2:
-        secret = "".join(rng.choice(list(_LOW), rng.integers(2, 5))) + str(rng.choice(["_", "-"])) + secret
+    secret = _drawn(rng, alphabet, least, most)
+    kind = rng.random()
+    if kind < 0.1:
+        secret = _drawn(rng, _LOW, 2, 4) + str(rng.choice(["_", "-"])) + secret
+    elif kind < 0.25 and not cued:
+        secret = str(rng.choice(_PREFIXES)) + secret
+    elif kind < 0.32 and not cued:
+        secret = ".".join(["eyJ" + _drawn(rng, _UP + _LOW + _DIG, 14, 40), "eyJ" + _drawn(rng, _UP + _LOW + _DIG + "_-", 20, 60), _drawn(rng, _UP + _LOW + _DIG + "_-", 24, 43)])
+    elif kind < 0.4:
+        secret, cued = _word(rng).capitalize() + str(rng.integers(10, 10_000)), True
     phrases = _CUED if cued or rng.random() < 0.5 else _BARE
     left, right = phrases[rng.integers(len(phrases))].split("{}")
     return secret, left, right
 
 
-def training_rows(text: str, *, made: int = 3, plain: int = 8, reach: int = 5, seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sequences for training from one text: `made` made-up secrets in common phrases, put anywhere in a copy of it, each with `reach` tokens on either side and the features of the whole file; and `plain` stretches of the text itself, half of them around cues, where the patterns' matches are the secrets. What is drawn hangs on the text alone."""
+def training_rows(text: str, *, made: int = 5, plain: int = 8, usual: int = 6, reach: int = 5, seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences for training from one text: `made` made-up secrets in common phrases, put anywhere in a copy of it, each with `reach` tokens on either side and the features of the whole file; `usual` ordinary strings that look unlike prose, put into another copy, which are outside; and `plain` stretches of the text itself, half of them around cues, where the patterns' matches are the secrets. What is drawn hangs on the text alone."""
     rng = np.random.default_rng((seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))))
     rows: list[np.ndarray] = []
     labels: list[np.ndarray] = []
@@ -341,36 +466,45 @@ def training_rows(text: str, *, made: int = 3, plain: int = 8, reach: int = 5, s
         near = rng.choice(cues, min(len(cues), plain // 2), replace=False) if len(cues) else []
         for centre in [*near, *rng.integers(len(t.start), size=plain - len(near))]:
             add(t, own, int(centre))
-    words, out, spans = text.split(" "), [], []
-    places = np.sort(rng.integers(len(words) + 1, size=made)).tolist()
-    size = 0
+    own_words = [w.strip(".,;:!?|()") for w in text.split()]
+    for n, secret in ((made, True), (usual, False)):
+        # Secrets and ordinary strings go into copies of their own, so that a sequence has one of them.
+        copy, spans = _sprinkled(rng, text, n, made_up if secret else lambda rng: (ordinary(rng, own_words), "", ""))
+        t, placed = encoded([copy]), bytes_at(copy, spans)
+        base = bytes_at(copy, known(copy))
+        both = [*placed, *((s, e) for s, e in base if not any(s < y and x < e for x, y in placed))] if secret else base
+        for s, e in placed:
+            for centre in range(int(np.searchsorted(t.start, s)), max(int(np.searchsorted(t.start, s)) + 1, int(np.searchsorted(t.start, e))), reach + 1):
+                add(t, both, centre)
+    return rows, labels
+
+
+def _sprinkled(rng: np.random.Generator, text: str, n: int, make: Callable[[np.random.Generator], tuple[str, str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text with n made things put between its words, and where they are."""
+    words, out, spans, size = text.split(" "), [], [], 0
+    places = np.sort(rng.integers(len(words) + 1, size=n)).tolist()
     for k in range(len(words) + 1):
         while places and places[0] == k:
             places.pop(0)
-            secret, left, right = made_up(rng)
-            spans.append((size + len(left), size + len(left) + len(secret)))
-            out.append(left + secret + right)
+            thing, left, right = make(rng)
+            spans.append((size + len(left), size + len(left) + len(thing)))
+            out.append(left + thing + right)
             size += len(out[-1]) + 1
         if k < len(words):
             out.append(words[k])
             size += len(words[k]) + 1
-    copy = " ".join(out)
-    t, secrets = encoded([copy]), bytes_at(copy, spans)
-    both = secrets + [(s, e) for s, e in bytes_at(copy, known(copy)) if not any(s < y and x < e for x, y in secrets)]
-    for s, _ in secrets:
-        add(t, both, int(np.searchsorted(t.start, s)))
-    return rows, labels
+    return " ".join(out), spans
 
 
-def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, made: int = 3, plain: int = 8) -> Model:
-    """The field's weights, from a bounded sample: the ids of the `sample` rows with the smallest hash of their id, of each id its least text, whole. Tasks turn each into `made` + `plain` short sequences; only those reach the driver. Null ids are left out; without texts the field knows made-up secrets alone."""
+def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, made: int = 5, plain: int = 8, usual: int = 6) -> Model:
+    """The field's weights, from a bounded sample: the ids of the `sample` rows with the smallest hash of their id, of each id its least text, whole. Tasks turn each into about `made` + `plain` + `usual` short sequences; only those reach the driver. Null ids are left out; without texts the field knows made-up secrets alone."""
     few = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in strings(batch.column("text")):
-                rows, labels = training_rows(text, made=made, plain=plain)
+                rows, labels = training_rows(text, made=made, plain=plain, usual=usual)
                 if rows:
                     yield pa.record_batch([pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([y.astype(np.int8).tobytes() for y in labels], pa.binary())], ["x", "y"])
 

@@ -221,3 +221,93 @@ def test_redacted_documents(make, model):
     rows = {r.doc_id: r for r in without_secrets(make([text, None, "", "plain words"]), model).collect()}
     assert rows[0].text == 'é [SECRET]" end' and rows[0].n_chars == len(rows[0].text)
     assert [rows[k].text for k in (1, 2, 3)] == [None, "", "plain words"]
+
+
+# ---- ordinary strings that look unlike prose -----------------------------------------------------------------------
+_L, _U, _D = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _some(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+#: Kinds that training has strings of, in other words.
+SEEN = {
+    "uuid": lambda r: "-".join(_some(r, _D + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+    "camelCase": lambda r: r.choice(["getUserAccountBalanceFromLedgerService", "onKeyPressHandler", "parseHttpResponse2"]),
+    "snake_case": lambda r: r.choice(["compute_pairwise_distance", "utf8_general_ci", "max_iter_count"]),
+    "url": lambda r: r.choice(["https://example.com/a/b/12345/index2.html?ref=home", "http://news.site.org/2023/05/17/why-cats-purr-98231", "https://doi.org/10.1000/182"]),
+    "time": lambda r: r.choice(["2026-11-28T12:30:45Z", "2019-02-03 04:05:06", "20240131T235959Z"]),
+    "phone": lambda r: r.choice(["+49-30-1234567", "(030) 1234567", "+1-202-555-0143"]),
+    "order": lambda r: r.choice(["#1029384756", "ORD-2024-000123", "A1029384"]),
+    "path": lambda r: r.choice(["/usr/local/lib/python3.11/site-packages/numpy/core.py", "src/main/java/App.java", "./build/output_final.txt"]),
+    "base64 picture": lambda r: "data:image/png;base64," + _some(r, _L + _U + _D + "+/", r.randint(40, 120)),
+}
+#: Kinds that training has none of.
+UNSEEN = {
+    "doi": lambda r: f"10.{r.randrange(1000, 9999)}/j.{_some(r, _L, 5)}.{r.randrange(2000, 2024)}.{_some(r, _D, 5)}",
+    "mac": lambda r: ":".join(_some(r, _D + "abcdef", 2) for _ in range(6)),
+    "ip": lambda r: r.choice(["2001:0db8:85a3::8a2e:0370:7334", f"192.168.{r.randrange(255)}.{r.randrange(255)}"]),
+    "isbn": lambda r: "978-3-16-" + _some(r, _D, 6) + "-0",
+    "place": lambda r: f"52.{_some(r, _D, 6)},13.{_some(r, _D, 6)}",
+    "colour": lambda r: "#" + _some(r, _D + "abcdef", 6),
+    "abbreviated name": lambda r: r.choice(["XMLHttpRequest", "NSURLConnection", "HTMLDivElement"]),
+    "branch": lambda r: f"feature/ABC-{r.randrange(9999)}-fix-login",
+    "iban": lambda r: "DE89 3704 0044 0532 0130 00",
+    "formula": lambda r: r.choice(["C6H12O6", "NaHCO3", "CH3CH2OH"]),
+    "classes": lambda r: "col-md-6 mt-3 btn-primary-outline",
+    "latex": lambda r: r"\frac{a_1}{b_2} \mathbb{R}^n",
+    "long word": lambda r: r.choice(["Rechtsschutzversicherungsgesellschaften", "antidisestablishmentarianism"]),
+    "money": lambda r: "$1,234,567.89",
+    "advisory": lambda r: f"CVE-2021-{r.randrange(10**4, 10**5)}",
+    "markup": lambda r: '<div class="nav-item" id="main2">',
+    "talk of keys": lambda r: r.choice(["the token bucket algorithm", "primary key constraint violated", "authentication failed for user admin", "keyboard layout"]),
+}
+REAL = {
+    "github": lambda r: "ghp_" + _some(r, _L + _U + _D, 36),
+    "jwt": lambda r: "eyJ" + _some(r, _L + _U + _D, 17) + ".eyJ" + _some(r, _L + _U + _D, 40) + "." + _some(r, _L + _U + _D + "_-", 43),
+    "slack": lambda r: "xoxb-" + _some(r, _D, 12) + "-" + _some(r, _L + _U + _D, 24),
+    "connection": lambda r: "postgres://app:" + _some(r, _L + _U + _D, 12) + "@db.host:5432/x",
+    "password": lambda r: "pwd was " + r.choice(["Hunter42!", "Summer2024", "Welcome123"]),
+}
+
+
+def english(rng, n):
+    words = "the of and to in is was for on that with as by at from it an be this which or are not but had their they one all there were more when who will no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people".split()
+    return " ".join(rng.choice(words) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def of_texts(spark, make):
+    rng = random.Random(31)
+    return fit_secret_model(make([english(rng, rng.randint(20, 300)) for _ in range(400)]), sample=400)
+
+
+def flagged(model, kinds, n=60):
+    rng, out = random.Random(32), {}
+    for name, make_one in kinds.items():
+        out[name] = 0
+        for _ in range(n):
+            head, thing = english(rng, rng.randint(5, 120)) + " ", make_one(rng)
+            text = head + thing + " " + english(rng, rng.randint(5, 120))
+            base = secrets.base_spans(text)
+            spans = base + secrets.added(base, secrets.field_spans(pa.array([text]), model).get(0, []))
+            out[name] += any(s < len(head) + len(thing) and e > len(head) for s, _, e in spans)
+    return out
+
+
+def test_ordinary_strings_are_not_secrets(of_texts):
+    """Under one in a hundred, of kinds that training knows and of others."""
+    for kinds in (SEEN, UNSEEN):
+        found = flagged(of_texts, kinds)
+        assert sum(found.values()) < 0.01 * 60 * len(kinds), found
+
+
+def test_real_secrets_are_found(of_texts):
+    found = flagged(of_texts, REAL)
+    assert sum(found.values()) >= 0.9 * 60 * len(REAL) and min(found.values()) >= 0.8 * 60, found
+
+
+def test_ordinary_text_is_not_masked(make, of_texts):
+    text = "Call getUserAccountBalanceFromLedgerService now or +49-30-1234567 today; open https://example.com/a/b/12345/index2.html?ref=home or def compute_pairwise_distance(a, b): of it"
+    assert without_secrets(make([text]), of_texts).first().text == text
