@@ -1,10 +1,12 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from kairospark.llm.packing import WordEncoder, pack
 from kairospark.llm.quality import fit_quality, quality_scores
 from kairospark.llm.substrings import without_repeats
 from kairospark.llm.token_counts import pieces, token_counts
-from kairospark.llm.topk import top_k
+from kairospark.llm.topk import places, top_k
 from kairospark.llm.toxicity import fit_toxicity, toxicity_scores
 from tests.llm.conftest import prose
 
@@ -181,19 +183,33 @@ def test_top_k_against_brute_force(spark):
 
 
 def test_top_k_of_any_numbers(spark):
-    """Blocks of few vectors, few held query blocks, long vectors near the limit of exact doubles, and beyond 64 bits."""
+    """Blocks of few vectors, few held query blocks, components up to and beyond 2**55, scores beyond 64 bits: ranks go by true scores, and only a score that no long holds is cut."""
     rng = np.random.default_rng(17)
-    for dim, size in ((3, 1.0), (300, 2e4), (4, 1e9), (2, 1e30)):
+    for dim, size in ((3, 1.0), (300, 2e4), (4, 1e9), (2, 1e30), (2, 1e306)):
         v = rng.normal(0, size, (120, dim))
+        v[::10] *= rng.choice([1, 1e-3, 1 / size], 12)[:, None]
         df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
-        whole = [[max(-(2**53), min(2**53, int(np.floor(1024 * c)))) for c in x] for x in v]
+        whole = [[math.floor(Fraction(1024) * Fraction(float(c))) for c in x] for x in v]
         clip = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
         got = {}
-        for r in top_k(df, df.where("vec_id % 10 = 0"), block=16, query_block=3, most_held=2).collect():
+        for r in top_k(df, df.where("vec_id % 10 = 0"), block=16, query_block=3, most_held=2, blocks_met=3).collect():
             got.setdefault(r.query_id, {})[r.rank] = (r.score, r.vec_id)
         for q in range(0, 120, 10):
-            best = sorted(((clip(sum(a * b for a, b in zip(whole[q], whole[k]))), k) for k in range(120) if k != q), key=lambda x: (-x[0], x[1]))[:10]
-            assert [got[q][k] for k in range(1, 11)] == best
+            best = sorted(((sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in range(120) if k != q), key=lambda x: (-x[0], x[1]))[:10]
+            assert [got[q][k] for k in range(1, 11)] == [(clip(s), k) for s, k in best]
+
+
+def test_top_k_of_components_beyond_exact_doubles(spark):
+    """Whole numbers beyond 2**53 whose scores fit a long are told apart."""
+    df = spark.createDataFrame([(0, [0.001]), *((k, [2.0**e]) for k, e in ((1, 44), (2, 45), (3, 43), (4, 52)))], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(4, 2**62), (2, 2**55), (1, 2**54), (3, 2**53)]
+
+
+def test_top_k_places_grow_with_both_tables():
+    assert places(1, 1) == (1, 1) and places(40, 1) == (40, 1) and places(500, 20) == (48, 1)
+    rows, columns = places(10_000, 400)
+    assert rows > 48 and 10_000 / rows <= 32 and 400 / columns <= 256 and columns > 1
 
 
 def test_substrings_against_brute_force(make):
