@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kairospark.functions.times import at, to_utc
 from kairospark.operators.joins import grid_by_entities
-from kairospark.operators.panel import unique
+from kairospark.operators.panel import unique, unique_in_plan
 from kairospark.operators.scans import scanned
 from kairospark.sources.catalog import TableSchema
 
@@ -53,22 +53,25 @@ def forward_filled(full: DataFrame, names: Sequence[str], limit: int | None = No
     return scanned(full, points, segment=segment), {f: F.when(F.col("__i") - F.col(f"__last{k}.i") <= limit, F.col(f"__last{k}.x")) for k, f in enumerate(names)}
 
 
-def align_panel(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: AlignSpec = AlignSpec(), *, fields: Sequence[str] | None = None, asof: Any = None, compat: bool = False, check: bool = True) -> DataFrame:
+def align_panel(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: AlignSpec = AlignSpec(), *, fields: Sequence[str] | None = None, asof: Any = None, compat: bool = False, check: bool | str = True) -> DataFrame:
     """For each entity of the panel and each grid row: ts_utc, entity_id, and for each field f its filled value f, f__observed and f__availability.
 
-    Values are looked up by day: the panel's times are floored to it. Observed means that some field had a value on the day. Availability, by the series' cadence: daily or unknown, missing_unknown where all fields are missing, else available; longer, no_update_expected where nothing was observed, else available. compat types the observed days of longer cadences as temporary_outage. One join and one window for all fields. A panel with the schema's release_time_column is aligned by what was released by asof, or, without one, by each grid row's own time: see released(). check: raises on repeated (day, entity), one aggregate job, and on an empty panel; without it an empty panel gives no rows.
+    Values are looked up by day: the panel's times are floored to it. Observed means that some field had a value on the day. Availability, by the series' cadence: daily or unknown, missing_unknown where all fields are missing, else available; longer, no_update_expected where nothing was observed, else available. compat types the observed days of longer cadences as temporary_outage. One join and one window for all fields. A panel with the schema's release_time_column is aligned by what was released by asof, or, without one, by each grid row's own time: see released(). check: raises at once on repeated (day, entity), one aggregate job, and on an empty panel; "plan": repeated ones fail the job that reads the result, and nothing runs before it; in both other cases an empty panel gives no rows.
     """
     if spec.method not in ("none", "ffill", "step_hold", "interp"):
         raise ValueError(f"unknown method {spec.method!r}")
     release = schema.release_time_column if schema.release_time_column in panel.columns else None
     names = [f for f in (fields or panel.columns) if f not in ("ts_utc", "entity_id", "asof_utc", release)]
     days = panel.select(F.col("ts_utc").cast("date").alias("day"), "entity_id", *(F.col(f"`{f}`") for f in names))
-    if check:
+    if check is True:
         if panel.isEmpty():
             raise ValueError("the panel is empty")
         unique(days, ("day", "entity_id"))
+    elif check:
+        days = unique_in_plan(days, ("day", "entity_id"))
     if release:
-        return _channels(*released(panel, grid, schema, spec, names, asof), names, spec)
+        own = unique_in_plan(panel.withColumn("__day", F.col("ts_utc").cast("date")), ("__day", "entity_id")).drop("__day") if check == "plan" else panel
+        return _channels(*released(own, grid, schema, spec, names, asof, entities=panel.select("entity_id").distinct()), names, spec)
     full = grid_by_entities(grid, panel.select("entity_id").distinct()).withColumn("day", F.col("ts_utc").cast("date"))
     if spec.match == "asof":
         full = _latest(full, days, names, spec.segment)
@@ -113,7 +116,7 @@ def _interpolation(full: DataFrame, names: Sequence[str], segment: timedelta | N
     return full, out
 
 
-def released(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: AlignSpec, names: Sequence[str], asof: Any = None) -> tuple[DataFrame, dict[str, Column], Column, Column]:
+def released(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: AlignSpec, names: Sequence[str], asof: Any = None, *, entities: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column], Column, Column]:
     """Alignment of observations that each have a release time: the grid rows, their values, whether they were observed, and their availability, for a moment of knowledge: asof, or each grid row's own time.
 
     Of a grid row whose day has an observation: available if that was released by then, else not_yet_released; temporary_outage if it has no value. Of others: missing_unknown before the first known observation, or where the cadence is daily and the gap within its threshold; no_update_expected between observations of a longer cadence. In a gap beyond the threshold: temporary_outage if an observation after it is known or the gap isn't long enough for discontinued, else that. An observation without a release time was known on its day.
@@ -137,7 +140,7 @@ def released(panel: DataFrame, grid: DataFrame, schema: TableSchema, spec: Align
     def event(df: DataFrame, when: Column, **given: Column) -> DataFrame:
         return df.select(entity, when.alias("at"), F.lit(0).alias("side"), F.lit(None).cast("timestamp_ntz").alias("ts_utc"), *(given.get(n, none[n]).alias(n) for n in kinds))
 
-    index = grid_by_entities(grid, panel.select("entity_id").distinct())
+    index = grid_by_entities(grid, panel.select("entity_id").distinct() if entities is None else entities)
     rows = index.select("entity_id", F.col("ts_utc").alias("at"), F.lit(1).alias("side"), "ts_utc", *(none[n].alias(n) for n in kinds))
     both = rows.unionByName(event(obs, start, __r=shown))
     both = both.unionByName(event(obs, F.greatest(start, "release"), **told) if own_time else event(obs.where(F.col("release") <= at(asof)), start, **told))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairospark.functions.times import at, known, to_utc
@@ -55,3 +55,10 @@ def unique(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     if (found := repeated_keys(panel, keys).limit(1).collect()) :
         raise ValueError(f"repeated key {tuple(found[0])[:-1]}")
     return panel
+
+
+def unique_in_plan(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The panel, whose rows can't be read if a key repeats: the job that reads them fails with that key. No job of its own: keys are counted in a window by them, whose shuffle and order a join on the same keys uses again."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    fault = F.raise_error(F.concat(F.lit("repeated key "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return panel.withColumn("__n", n).where(F.when(F.col("__n") > 1, fault).otherwise(F.lit(True))).drop("__n")

@@ -113,11 +113,12 @@ def snapshot_ref(pit: DataFrame, asof: Any, start_ref: str | RefPeriod | None =
 class PitTable:
     """The table on shared storage: a log of parts, each an upsert's rows with every key once, merged when read. After `most_parts` upserts they are made one part. So an upsert writes its own rows and, over time, each row as often as there are compactions.
 
+    A part's rows are dealt out by ranges of series_key and sorted, with Bloom filters on it and bounds of each file's keys beside it (`bounds`), so a read of one series opens the files whose bounds hold it, one or two a part, and in them the row groups that may have it.
     A manifest names the parts, so readers see an upsert whole or not at all. Parts that neither the current nor the last manifest names are removed. One writer at a time: of two with the same manifest number the later one fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str, most_parts: int = 16):
-        self.spark, self.root, self.most_parts = spark, root.rstrip("/"), most_parts
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = 16, row_group_bytes: int = 8 << 20):
+        self.spark, self.root, self.most_parts, self.row_group_bytes = spark, root.rstrip("/"), most_parts, row_group_bytes
 
     def _manifest(self) -> tuple[int, list[str]]:
         numbers = [int(n.removeprefix("m-")) for n in names(self.spark, f"{self.root}/manifests") if exists(self.spark, f"{self.root}/manifests/{n}/_SUCCESS")]
@@ -131,29 +132,53 @@ class PitTable:
         for name in names(self.spark, f"{self.root}/parts"):
             if name not in (*parts, *before):
                 remove(self.spark, f"{self.root}/parts/{name}")
+                remove(self.spark, f"{self.root}/bounds/{name}")
         if number > 2:
             remove(self.spark, f"{self.root}/manifests/m-{number - 2}")
 
     def _part(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/parts/{name}")
 
-    def read(self) -> DataFrame:
-        parts = [self._part(p) for p in self._manifest()[1]]
+    def _write(self, df: DataFrame, name: str) -> None:
+        path = f"{self.root}/parts/{name}"
+        df.repartitionByRange("series_key").sortWithinPartitions("series_key", "obs_date").write.option("parquet.bloom.filter.enabled#series_key", "true").option("parquet.block.size", self.row_group_bytes).parquet(path)
+        own = self._part(name).groupBy(F.input_file_name().alias("file")).agg(F.min("series_key").alias("low"), F.max("series_key").alias("high"), F.count("*").alias("n_rows"), F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"))
+        own.coalesce(1).write.parquet(f"{self.root}/bounds/{name}")
+
+    def bounds(self) -> DataFrame:
+        """file, low, high, n_rows, no_key, part: the keys that each file of the current parts has."""
+        kinds = "file string, low string, high string, n_rows long, no_key long"
+        parts = [self.spark.read.schema(kinds).parquet(f"{self.root}/bounds/{p}").withColumn("part", F.lit(p)) for p in self._manifest()[1]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], kinds + ", part string")
+
+    def files_with(self, series_key: str) -> list[str]:
+        return [r.file for r in self.bounds().where((F.col("low") <= series_key) & (F.col("high") >= series_key)).collect()]
+
+    def read(self, series_key: str | None = None) -> DataFrame:
+        """All observations, or those of one series from the files that may have it."""
+        names_ = self._manifest()[1]
+        if series_key is None:
+            parts = [self._part(p) for p in names_]
+        else:
+            held = self.bounds().where((F.col("low") <= series_key) & (F.col("high") >= series_key)).groupBy("part").agg(F.collect_list("file")).collect()
+            files = {r[0]: r[1] for r in held}  # one or two a part, and few parts
+            parts = [self.spark.read.schema(SCHEMA).parquet(*files[p]).where(F.col("series_key") == series_key) for p in names_ if p in files]
         return merged(*parts) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, df: DataFrame, *, now: Any = None, last_wins: bool = False) -> None:
         """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc). The batch is evaluated once, written, and checked as written; a refused one is removed."""
         new, name = normalized(df, now), f"p-{uuid.uuid4().hex}"
         number, parts = self._manifest()
-        (merged(new) if last_wins else new).sortWithinPartitions("series_key", "obs_date").write.parquet(f"{self.root}/parts/{name}")
+        self._write(merged(new) if last_wins else new, name)
         own = self._part(name)
         fault = None
-        if not own.where(F.greatest(*(F.col(k).isNull() for k in KEY))).isEmpty():
+        if not self.spark.read.parquet(f"{self.root}/bounds/{name}").where("no_key > 0").isEmpty():
             fault = "a key column is NULL"
         elif not last_wins and not own.groupBy(*KEY).count().where("count > 1").isEmpty():
             fault = "a key repeats within the batch"
         if fault:
             remove(self.spark, f"{self.root}/parts/{name}")
+            remove(self.spark, f"{self.root}/bounds/{name}")
             raise ValueError(fault)
         self._publish(number + 1, [*parts, name])
         if len(parts) + 1 > self.most_parts:
@@ -162,5 +187,5 @@ class PitTable:
     def compact(self) -> None:
         """All parts as one."""
         number, name = self._manifest()[0], f"p-{uuid.uuid4().hex}"
-        self.read().sortWithinPartitions("series_key", "obs_date").write.parquet(f"{self.root}/parts/{name}")
+        self._write(self.read(), name)
         self._publish(number + 1, [name])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kairospark.functions.calendars import EventGrid, TradingCalendar, build_grid
 from kairospark.functions.times import at, interval, known, utc
 from kairospark.operators.joins import grid_by_entities, join_frames, next_in_grid
-from kairospark.operators.panel import KEYS, entity_frame, unique
+from kairospark.operators.panel import KEYS, entity_frame, unique, unique_in_plan
 from kairospark.plans.specs import DatasetArtifact, DatasetSpec, FeatureFrame, FeatureRequest, SliceSpec, TargetFrame, TargetRequest
 
 
@@ -91,13 +91,15 @@ def _target(ctx: Any, request: TargetRequest, base: SliceSpec, calendar: Trading
     y = known(y, KEYS)
     if "entity_id" not in y.columns:
         y = to_closes(y, calendar).crossJoin(entities)
-    return y.select(*KEYS, F.col(f"`{values[0]}`").alias(request.name)), getattr(got, "meta", {})
+    own = dict(got.meta) if isinstance(got, TargetFrame) else {}
+    compat = {} if isinstance(got, TargetFrame) else {"compat": "FeatureFrame" if isinstance(got, FeatureFrame) else "Series"}
+    return y.select(*KEYS, F.col(f"`{values[0]}`").alias(request.name)), own | {"horizon": request.horizon, "name": request.name} | compat
 
 
-def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on_leak: str | None = "warn", check_keys: bool = True) -> DatasetArtifact:
+def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on_leak: str | None = "warn", check_keys: bool | str = True) -> DatasetArtifact:
     """The grid of all times and entities, left-joined with every feature and the target, and the missingness policy.
 
-    Joins are all on (ts_utc, entity_id). With drop_if_any_nan Catalyst turns the outer joins into inner ones. on_leak: warn, raise or drop rows after as-of, or None for no check; check_keys: repeated keys of a frame raise. Those two take a job for each frame; all else is lazy. persist: a path to write the data to and read it back from. meta has the calendar, grid, bounds and number of features; n_rows too once the data are persisted, else DatasetArtifact.described() counts them.
+    Joins are all on (ts_utc, entity_id). With drop_if_any_nan Catalyst turns the outer joins into inner ones. on_leak: warn, raise or drop rows after as-of, or None for no check; check_keys: repeated keys of a frame raise at once; "plan": they fail the job that reads the data. The first two take a job for each frame; all else is lazy. persist: a path to write the data to and read it back from. meta has the calendar, grid, bounds and number of features; n_rows too once the data are persisted, else DatasetArtifact.described() counts them.
     """
     if spec.universe.entities.isEmpty() if isinstance(spec.universe.entities, DataFrame) else not spec.universe.entities:
         raise ValueError("the universe is empty")
@@ -121,7 +123,7 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
         raise ValueError(f"repeated feature names: {sorted({n for n in names if names.count(n) > 1})}")
     parts = [f.x for f in frames] + [y]
     if check_keys:
-        parts = [unique(p) for p in parts]
+        parts = [unique_in_plan(p) if check_keys == "plan" else unique(p) for p in parts]
     data = reduce(lambda a, b: a.join(b, list(KEYS), "left"), parts, index)
     if spec.missingness.final_row_policy == "drop_if_any_nan":
         data = data.dropna(how="any", subset=[f"`{c}`" if "." in c else c for c in (*names, spec.target.name)])
@@ -129,7 +131,7 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
         seen = Observation()
         data.sortWithinPartitions(*KEYS).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(persist)
         data, meta["n_rows"] = ctx.spark.read.parquet(persist), seen.get["n"]
-    meta["n_features"] = len(names)
+    meta["n_features"] = len(names) if meta.get("n_rows", 1) else 0
     catalog = list({row["feature_id"]: row for f in reversed(frames) for row in reversed(f.catalog)}.values())[::-1]
     return DatasetArtifact(data, names, spec.target.name, catalog, meta, {"artifacts": {k: v for f in frames for k, v in f.artifacts.items()}})
 

@@ -49,7 +49,7 @@ class SliceOverride:
         return SliceSpec(base.start - self.lookback if self.lookback else base.start, base.end, base.entities, base.asof if self.asof is None else self.asof, self.grid or base.grid)
 
 
-CATALOG = "feature_id string, group_path string, family string, transform string, source_table string, source_col string, tags map<string,string>, tags_json string"
+CATALOG = "feature_id string, group_path string, family string, transform string, source_table string, source_col string, tags map<string,string>, tags_json string, dow int, one_hot boolean"
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ class FeatureFrame:
         return FeatureFrame(self.x, rows, self.meta, self.artifacts, self.labels)
 
     def catalog_frame(self) -> DataFrame:
-        rows = [tuple({**{k: None for k in ("group_path", "family", "transform", "source_table", "source_col")}, **r, "tags": {k: str(v) for k, v in r.get("tags", {}).items()}, "tags_json": r.get("tags_json", tags_text(r.get("tags", {})))}[n.split(" ")[0]] for n in CATALOG.split(", ")) for r in self.catalog]
+        rows = [tuple({**{k: None for k in ("group_path", "family", "transform", "source_table", "source_col", "dow", "one_hot")}, **r, "tags": {k: str(v) for k, v in r.get("tags", {}).items()}, "tags_json": r.get("tags_json", tags_text(r.get("tags", {})))}[n.split(" ")[0]] for n in CATALOG.split(", ")) for r in self.catalog]
         return self.x.sparkSession.createDataFrame(rows, CATALOG)
 
 

@@ -45,6 +45,7 @@ class CalendarFlags(Template):
         if slice.entities is None or not isinstance(slice.entities, DataFrame) and not slice.entities:
             raise ValueError("the slice needs entities")
         name, flags = self.value(params, "calendar"), self.value(params, "flags")
+        flags = flags if isinstance(flags, (list, tuple)) else (flags,)
         day = F.col("ts_utc").cast("date")
         last = day == F.last_day(day)
         made = {"dow": F.weekday(day).cast("double"), "is_month_end": last.cast("double"), "is_quarter_end": (last & (F.month(day) % 3 == 0)).cast("double"), "is_year_end": (last & (F.month(day) == 12)).cast("double")}
@@ -59,7 +60,8 @@ class CalendarFlags(Template):
         sessions = ctx.calendars[name].sessions(ctx.spark, slice.start, slice.end).withColumnRenamed("session", "ts_utc")
         x = grid_by_entities(sessions, entities).select("ts_utc", "entity_id", *(c.alias(ids[f]) for f, c in columns.items()))
         group = group_path("calendar", "flags", {})
-        return FeatureFrame(x, [entry(ids[f], group, "calendar", f, table, "(derived)") for f in columns], labels="session")
+        extra = {f: {"dow": int(f[4:]), "one_hot": True} if f.startswith("dow_") else {"one_hot": False} if f == "dow" else {} for f in columns}
+        return FeatureFrame(x, [entry(ids[f], group, "calendar", f, table, "(derived)") | extra[f] for f in columns], {"template": self.name, "version": self.version}, labels="session")
 
 
 class LagReturns(Template):

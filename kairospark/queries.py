@@ -23,12 +23,14 @@ from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_
 from kairospark.operators.universe import entities_on, restricted
 from kairospark.plans.dataset import build_dataset, leaked, target_ends
 from kairospark.plans.ids import feature_id, group_path
+from kairospark.plans.snapshots import prints, refreshed
 from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import FetchCache, LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
 from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
 from kairospark.scratch import scratch
 from kairospark.sources.catalog import FrameSource, Query, SeriesSource, TableSchema
 from kairospark.sources.context import DataContext
+from kairospark.sources.series import SeriesData, StoredSeries, put_series
 from kairospark.streaming.pit_ingest import stream_into
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -223,7 +225,7 @@ def nextday_sq_target(spark, sf_dir):
 def _aligned(spark, sf_dir, spec: AlignSpec, freq: str = "B", compat: bool = False) -> DataFrame:
     panel = from_long(daily(spark, sf_dir), "date", "user_id")
     grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
-    return align_panel(panel, grid, TableSchema("daily", native_freq=freq), spec, compat=compat)
+    return align_panel(panel, grid, TableSchema("daily", native_freq=freq), spec, compat=compat, check="plan")
 
 
 GRID = f"{DAILY}, g AS (SELECT d AS ts_utc, entity_id FROM {DAYS.format('2024-01-01', '2024-01-31')}, (SELECT DISTINCT entity_id FROM d) WHERE isodow(d) < 6), a AS (SELECT g.ts_utc, g.entity_id, d.value, row_number() OVER (PARTITION BY g.entity_id ORDER BY g.ts_utc) AS i FROM g LEFT JOIN d ON d.date = g.ts_utc AND d.entity_id = g.entity_id)"
@@ -273,7 +275,7 @@ def align_availability_lowfreq(spark, sf_dir):
 def align_observed(spark, sf_dir):
     sides = daily(spark, sf_dir).select("date", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("high"), F.when(F.col("value") <= 50, F.col("value")).alias("low"))
     grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
-    own = align_panel(from_long(sides, "date", "user_id"), grid, TableSchema("daily", native_freq="B"), AlignSpec("none"))
+    own = align_panel(from_long(sides, "date", "user_id"), grid, TableSchema("daily", native_freq="B"), AlignSpec("none"), check="plan")
     return own.select("ts_utc", "entity_id", "high", "low", F.col("high__observed").alias("high_observed"), F.col("low__observed").alias("low_observed"))
 
 
@@ -462,7 +464,7 @@ def users(spark, sf_dir) -> DataFrame:
 def _dataset(spark, sf_dir, name: str, grid: str, start: str, end: str, policy: str) -> DataFrame:
     params = {"source": "bars", "table": name, "price_col": "value"}
     spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec(start, end, "XNYS", grid), TargetRequest(NextSquaredReturn(), params), [FeatureRequest(LagReturns(), params | {"lags": 2})], missingness=MissingnessPolicy(policy))
-    made = build_dataset(context(spark, sf_dir), spec)
+    made = build_dataset(context(spark, sf_dir), spec, check_keys="plan")
     one, two = made.features
     return made.data.select("ts_utc", "entity_id", F.round(f"`{one}`", 8).alias("lag_1"), F.round(f"`{two}`", 8).alias("lag_2"), F.round("target", 7).alias("target"))
 
@@ -506,7 +508,7 @@ class DailyPeak:
 SELECT {closes('s.d')} AS ts_utc, entity_id, (isodow(s.d) - 1)::DOUBLE AS dow, y AS target FROM {DAYS.format('2024-01-01', '2024-01-31')} s CROSS JOIN (VALUES ('A'), ('B')) e(entity_id) LEFT JOIN y ON y.d = s.d WHERE isodow(s.d) < 6""")
 def dataset_target_broadcast(spark, sf_dir):
     spec = DatasetSpec(UniverseSpec(["A", "B"]), TimeSpec("2024-01-01", "2024-01-31", "XNYS", "B"), TargetRequest(DailyPeak(), {}), [FeatureRequest(CalendarFlags(), {"flags": ("dow",)})], missingness=MissingnessPolicy("keep"))
-    made = build_dataset(context(spark, sf_dir), spec)
+    made = build_dataset(context(spark, sf_dir), spec, check_keys="plan")
     return made.data.select("ts_utc", "entity_id", F.col(f"`{made.features[0]}`").alias("dow"), "target")
 
 
@@ -557,7 +559,7 @@ def dataset_midnight_labels(spark, sf_dir):
     """Times that are all at midnight are taken as session labels."""
     target = TargetRequest(DailyCloses(), {})
     spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-01", "2024-01-31", "XNYS", "B"), target, [FeatureRequest(DailyValue())], missingness=MissingnessPolicy("keep"))
-    return build_dataset(context(spark, sf_dir), spec).data
+    return build_dataset(context(spark, sf_dir), spec, check_keys="plan").data
 
 
 class DailyCloses:
@@ -578,7 +580,7 @@ def dataset_lookback(spark, sf_dir):
     params = {"source": "bars", "table": "daily", "price_col": "value", "lags": 1}
     features = [FeatureRequest(LagReturns(), params, SliceOverride(lookback=timedelta(days=10)))]
     spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-15", "2024-01-31", "XNYS", "B"), TargetRequest(DailyCloses(), {}), features, missingness=MissingnessPolicy("keep"))
-    made = build_dataset(context(spark, sf_dir), spec)
+    made = build_dataset(context(spark, sf_dir), spec, check_keys="plan")
     return made.data.select("ts_utc", "entity_id", F.round(f"`{made.features[0]}`", 8).alias("lag_1"), "target")
 
 
@@ -587,7 +589,7 @@ def dataset_meta(spark, sf_dir):
     """What a dataset says of itself, on an event grid whose times repeat."""
     hours = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts_utc"))
     spec = DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec("2024-01-01", "2024-01-31", "XNYS", EventGrid(hours, "hours")), TargetRequest(DailyCloses(), {}), [FeatureRequest(DailyValue())], missingness=MissingnessPolicy("keep"))
-    m = build_dataset(context(spark, sf_dir), spec).described()
+    m = build_dataset(context(spark, sf_dir), spec, check_keys="plan").described()
     return spark.createDataFrame([(m["calendar"], m["grid"].name, m["start"], m["end"], m["n_features"], m["n_rows"], m["target_horizon"])], "calendar string, grid string, start string, end_ string, n_features long, n_rows long, target_horizon long")
 
 
@@ -908,7 +910,7 @@ def published(spark, sf_dir) -> DataFrame:
 
 def _released(spark, sf_dir, spec: AlignSpec, asof=None) -> DataFrame:
     grid = spark.range(84).select(F.add_months(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).cast("timestamp_ntz").alias("ts_utc"))
-    return align_panel(published(spark, sf_dir), grid, TableSchema("published", native_freq="M", release_time_column="release"), spec, asof=asof)
+    return align_panel(published(spark, sf_dir), grid, TableSchema("published", native_freq="M", release_time_column="release"), spec, asof=asof, check="plan")
 
 
 @query(f"""WITH {PUBLISHED}, a AS (SELECT g.day, g.entity_id, max(o.day) FILTER (WHERE o.day <= g.day) AS p, min(o.day) FILTER (WHERE o.day > g.day) AS q, arg_max(o.value, o.day) FILTER (WHERE o.day <= g.day) AS v
@@ -933,3 +935,113 @@ def align_released_own_time(spark, sf_dir):
 def leakage_audit_released(spark, sf_dir):
     """Values by day alone, whenever they were released: the audit counts those that weren't out at their grid row's time."""
     return diag.leakage_audit(_released(spark, sf_dir, AlignSpec("none", respect_asof=False)))
+
+
+# ---- series stores, keys and fingerprints --------------------------------------------------------------------------
+SERIES = "s AS (SELECT o_custkey::VARCHAR AS series_id, o_orderdate AS date, max(o_totalprice) AS value FROM orders GROUP BY ALL)"
+
+
+def _series_store(spark, sf_dir) -> str:
+    """Orders as series by customer, written as a series store."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("value"))
+    path = scratch(spark)
+    put_series(o.withColumn("asof_utc", F.col("date")), path)
+    return path
+
+
+@query(f"WITH {SERIES} SELECT date AS ts_utc, series_id AS entity_id, value, date AS asof_utc FROM s WHERE date BETWEEN '1996-03-01' AND '1999-10-31'")
+def series_data_source(spark, sf_dir):
+    """A panel through the Python data source; its time bounds reach the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    source = StoredSeries(spark, "rates", "rates", _series_store(spark, sf_dir))
+    return DataContext(spark, {"rates": source}).fetch_panel("rates", Query("rates", start="1996-03-01", end="1999-10-31")).select("ts_utc", "entity_id", "value", "asof_utc")
+
+
+@query(f"WITH {SERIES} SELECT series_id AS series_key, date AS obs_date, date AS asof_utc, value FROM s")
+def series_stream_to_pit(spark, sf_dir):
+    """The same store as a stream by offsets, into a table of vintages."""
+    path, t = _series_store(spark, sf_dir), pit.PitTable(spark, scratch(spark))
+    spark.dataSource.register(SeriesData)
+    stream = spark.readStream.format("kairospark_series").option("path", path).load()
+    stream_into(stream.select(F.col("series_id").alias("series_key"), F.col("date").alias("obs_date"), "asof_utc", "value"), t, scratch(spark)).awaitTermination()
+    return t.read().select("series_key", "obs_date", "asof_utc", "value")
+
+
+@query(f"WITH {ALL} SELECT count(*) AS n_rows, 0::BIGINT AS no_key, 1::BIGINT AS most_files FROM v")
+def pit_key_bounds(spark, sf_dir):
+    """The bounds of a table's files: all its rows, and of each series one file that may have it."""
+    t = pit.PitTable(spark, scratch(spark))
+    t.upsert(vintages(spark, sf_dir))
+    b = t.bounds().persist()
+    series = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("k")).distinct()
+    most = series.join(F.broadcast(b), (F.col("k") >= F.col("low")) & (F.col("k") <= F.col("high"))).groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n").alias("most_files"))
+    return b.agg(F.sum("n_rows").alias("n_rows"), F.sum("no_key").alias("no_key")).crossJoin(most)
+
+
+def _one_changed(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.crossJoin(F.broadcast(o.agg(F.min("o_orderkey").alias("__k")))).withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.col("__k"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("__k")
+
+
+@query("SELECT o_orderpriority, count(*) AS n_rows, true AS same_reshuffled, bool_or(o_orderkey = (SELECT min(o_orderkey) FROM orders)) AS changed FROM orders GROUP BY 1")
+def upstream_fingerprint(spark, sf_dir):
+    """Fingerprints by priority: the same after reshuffling, other ones where one row changed."""
+    o = table(spark, sf_dir, "orders")
+    a, b, c = (prints(d, ["o_orderpriority"]).withColumnRenamed("print", p) for d, p in ((o, "p"), (o.repartition(7, "o_custkey").select(*reversed(o.columns)), "q"), (_one_changed(spark, sf_dir), "r")))
+    return a.join(b.drop("n_rows"), "o_orderpriority").join(c.drop("n_rows"), "o_orderpriority").select("o_orderpriority", "n_rows", (F.col("p") == F.col("q")).alias("same_reshuffled"), (F.col("p") != F.col("r")).alias("changed"))
+
+
+@query("SELECT DISTINCT o_orderpriority, false AS gone FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def refreshed_parts(spark, sf_dir):
+    """After one row changed, only its priority's part is built again."""
+    root = scratch(spark)
+    build = lambda own: own.groupBy("o_orderpriority", "o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    refreshed(spark, root, table(spark, sf_dir, "orders"), "o_orderpriority", build)
+    return refreshed(spark, root, _one_changed(spark, sf_dir), "o_orderpriority", build)
+
+
+@query("SELECT 1::BIGINT AS horizon, 'y' AS name, 'Series' AS compat, 1::BIGINT AS n_features, 0::BIGINT AS n_features_if_empty, (SELECT count(DISTINCT user_id) FROM events) * 23 AS n_rows")
+def dataset_target_meta(spark, sf_dir):
+    """The target's own meta, of a target that is a plain table; and no features are counted where no row is left."""
+    class Plain(NextSquaredReturn):
+        def transform(self, ctx, params, slice, state=None):
+            return super().transform(ctx, params, slice, state).y
+
+    params = {"source": "bars", "table": "daily", "price_col": "value", "lags": 1}
+    of = lambda start, end, policy: DatasetSpec(UniverseSpec(users(spark, sf_dir)), TimeSpec(start, end, "XNYS", "B"), TargetRequest(Plain(), params, 1, "y"), [FeatureRequest(LagReturns(), params)], missingness=MissingnessPolicy(policy))
+    m = build_dataset(context(spark, sf_dir), of("2024-01-01", "2024-01-31", "keep"), persist=scratch(spark)).meta
+    none = build_dataset(context(spark, sf_dir), of("2031-01-01", "2031-01-31", "drop_if_any_nan"), persist=scratch(spark)).meta
+    t = m["target"]
+    return spark.createDataFrame([(t["horizon"], t["name"], t["compat"], m["n_features"], none["n_features"], m["n_rows"])], "horizon long, name string, compat string, n_features long, n_features_if_empty long, n_rows long")
+
+
+# ---- calendars beside tables ---------------------------------------------------------------------------------------
+@query(f"""SELECT event_id, timezone('UTC', timezone('America/New_York', ts::DATE::TIMESTAMP + INTERVAL '9 hours 30 minutes')) AS open_utc, {closes('ts')} AS close_utc,
+ts BETWEEN timezone('UTC', timezone('America/New_York', ts::DATE::TIMESTAMP + INTERVAL '9 hours 30 minutes')) AND {closes('ts')} AND isodow(ts) < 6 AS in_session FROM events""")
+def events_in_session(spark, sf_dir):
+    """Each event with its day's session open and close."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    opened, closed = NY.open(F.col("ts")), NY.close(F.col("ts"))
+    return e.select("event_id", opened.alias("open_utc"), closed.alias("close_utc"), (F.col("ts").between(opened, closed) & (F.weekday("ts") < 5)).alias("in_session"))
+
+
+@query(f"""WITH c AS (SELECT {closes('d')} + INTERVAL 90 SECOND AS g FROM {DAYS.format('2024-01-01', '2024-02-02')} WHERE isodow(d) < 6), t AS (SELECT ts_utc + INTERVAL 5 SECOND AS g FROM ({_ticks('2024-01-01', '2024-02-02', 'INTERVAL 30 MINUTE')}) WHERE ts_utc BETWEEN '2024-01-01' AND '2024-02-02')
+SELECT event_id, (SELECT min(g) FROM c WHERE g > ts) AS next_close, (SELECT min(g) FROM t WHERE g > ts) AS next_tick FROM events""")
+def events_to_delayed(spark, sf_dir):
+    """Each event with the next delayed session close and the next delayed tick."""
+    ctx = context(spark, sf_dir)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("ts_utc"))
+    late = [SessionCloseEvents(delay=timedelta(seconds=90)), FixedIntervalEvents(freq=timedelta(minutes=30), delay=timedelta(seconds=5))]
+    for name, source in zip(("next_close", "next_tick"), late):
+        rows = target_ends(rows, grid=source.events(ctx, "2024-01-01", "2024-02-02")).withColumnRenamed("target_end", name)
+    return rows.select("event_id", "next_close", "next_tick")
+
+
+@query("""SELECT o_orderkey, (isodow(o_orderdate) - 1)::DOUBLE AS dow, (o_orderdate::DATE = last_day(o_orderdate))::INT::DOUBLE AS is_month_end, (o_orderdate::DATE = last_day(o_orderdate) AND month(o_orderdate) % 3 = 0)::INT::DOUBLE AS is_quarter_end,
+(o_orderdate::DATE = last_day(o_orderdate) AND month(o_orderdate) = 12)::INT::DOUBLE AS is_year_end FROM orders WHERE isodow(o_orderdate) < 6 AND o_orderdate BETWEEN '1995-01-01' AND '2001-12-31'""")
+def order_calendar_flags(spark, sf_dir):
+    """Orders on session days with the calendar's flags; the frames of single flags, given as text, side by side."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts_utc"), F.col("o_orderpriority").alias("entity_id"))
+    frames = [CalendarFlags().transform(context(spark, sf_dir), {"flags": f}, SliceSpec("1995-01-01", "2001-12-31", o.select("entity_id").distinct())) for f in ("dow", "is_month_end", "is_quarter_end", "is_year_end")]
+    flags = join_frames([f.x.withColumnsRenamed({r["feature_id"]: r["transform"] for r in f.catalog}) for f in frames])
+    return o.join(flags, ["ts_utc", "entity_id"]).drop("ts_utc", "entity_id")

@@ -223,3 +223,25 @@ def test_folds_purged_by_targets(spark):
     for segment in (None, timedelta(hours=7)):
         assert rows(target_purged_kfold(df, 3, embargo=timedelta(hours=5), segment=segment)) == sorted(want, key=str)
     assert target_purged_kfold(df.limit(0), 3).count() == 0
+
+
+# ---- checks within the plan ----------------------------------------------------------------------------------------
+def test_repeated_keys_fail_the_job_that_reads_them(spark):
+    """Nothing runs before, and the window shares the join's shuffles."""
+    from pyspark.errors import PySparkException
+
+    days = [T0 + timedelta(days=k) for k in range(4)]
+    panel = spark.createDataFrame([(d, "A", 1.0) for d in days], "ts_utc timestamp_ntz, entity_id string, v double")
+    grid = panel.select("ts_utc")
+    released_panel = panel.withColumn("out", F.col("ts_utc"))
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    for own, schema in ((panel, TableSchema()), (released_panel, TableSchema(release_time_column="out"))):
+        for match in ("exact", "asof"):
+            good = align_panel(own, grid, schema, AlignSpec(match=match), check="plan")
+            bad = align_panel(own.union(own.limit(1)), grid, schema, AlignSpec(match=match), check="plan")
+            assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == started
+            assert good.count() == 4
+            with pytest.raises(PySparkException, match="repeated key"):
+                bad.collect()
+            started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert align_panel(panel.limit(0), grid, TableSchema(), check="plan").count() == 0
