@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +39,16 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def contexts(docs: DataFrame, salts: int = 32) -> np.ndarray:
+def contexts(docs: DataFrame, salts: int | None = None) -> np.ndarray:
     """For each of the 2**BITS buckets the sum of its neighbours' index vectors, over every text of docs.
 
-    Each partition sums into one matrix of fixed size; its blocks of rows are shuffled and added up as they stream in, first in `salts` groups of partitions, then over these, so no task holds more than that matrix and the driver receives it once (8 MB).
+    Each partition sums into one matrix of fixed size; its blocks of rows are shuffled and added up as they stream in, first in `salts` groups of partitions (by default as many as the square root of their number, 32 at least, so neither step has a task whose input grows as the table does), then over these. No task holds more than that matrix and the driver receives it once (8 MB).
     """
 
+    own = docs.select("text")
+    if salts is None:
+        salts = max(32, math.isqrt(own.rdd.getNumPartitions()))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = _index_vectors()
         total, tokens, salt = np.zeros((1 << BITS) * WIDTH), 0, TaskContext.get().partitionId() % salts
@@ -82,10 +87,10 @@ def contexts(docs: DataFrame, salts: int = 32) -> np.ndarray:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
 
     blocks = (1 << BITS) // BLOCK
-    parts = docs.select("text").mapInArrow(count, "salt int, block int, sums binary")
+    parts = own.mapInArrow(count, "salt int, block int, sums binary")
     once = parts.repartition(salts, "salt", "block").select("block", "sums").mapInArrow(add, "block int, sums binary")
     out = np.zeros((blocks, BLOCK * WIDTH))
-    for block, raw in once.repartition(blocks // 4, "block").mapInArrow(add, "block int, sums binary").collect():
+    for block, raw in once.repartition(blocks, "block").mapInArrow(add, "block int, sums binary").collect():
         out[block] += np.frombuffer(raw, np.int64)
     return out.reshape(1 << BITS, WIDTH)
 
