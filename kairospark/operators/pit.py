@@ -113,7 +113,7 @@ def snapshot_ref(pit: DataFrame, asof: Any, start_ref: str | RefPeriod | None =
 class PitTable:
     """The table on shared storage: a log of parts, each an upsert's rows with every key once, merged when read. After `most_parts` upserts they are made one part. So an upsert writes its own rows and, over time, each row as often as there are compactions.
 
-    A part's rows are dealt out by ranges of series_key and sorted, with Bloom filters on it and bounds of each file's keys beside it (`bounds`), so a read of one series opens the files whose bounds hold it, one or two a part, and in them the row groups that may have it.
+    A part's rows are dealt out by ranges of series_key and sorted, with bounds of each file's keys beside it (`bounds`) and, in compacted parts, Bloom filters on it, so a read of one series opens the files whose bounds hold it, one or two a part, and in them the row groups that may have it.
     A manifest names the parts, so readers see an upsert whole or not at all. Parts that neither the current nor the last manifest names are removed. One writer at a time: of two with the same manifest number the later one fails.
     """
 
@@ -139,9 +139,9 @@ class PitTable:
     def _part(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/parts/{name}")
 
-    def _write(self, df: DataFrame, name: str) -> None:
+    def _write(self, df: DataFrame, name: str, filters: str = "false") -> None:
         path = f"{self.root}/parts/{name}"
-        df.repartitionByRange("series_key").sortWithinPartitions("series_key", "obs_date").write.option("parquet.bloom.filter.enabled#series_key", "true").option("parquet.block.size", self.row_group_bytes).parquet(path)
+        df.repartitionByRange("series_key").sortWithinPartitions("series_key", "obs_date").write.option("parquet.bloom.filter.enabled#series_key", filters).option("parquet.block.size", self.row_group_bytes).parquet(path)
         own = self._part(name).groupBy(F.input_file_name().alias("file")).agg(F.min("series_key").alias("low"), F.max("series_key").alias("high"), F.count("*").alias("n_rows"), F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"))
         own.coalesce(1).write.parquet(f"{self.root}/bounds/{name}")
 
@@ -187,5 +187,5 @@ class PitTable:
     def compact(self) -> None:
         """All parts as one."""
         number, name = self._manifest()[0], f"p-{uuid.uuid4().hex}"
-        self._write(self.read(), name)
+        self._write(self.read(), name, "true")  # a filter takes up to a megabyte a file, too much for a small upsert
         self._publish(number + 1, [name])
