@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairospark.llm.columns import utf8
+from kairospark.llm.columns import stored, utf8
 from kairospark.llm.hashing import mix, windows, word_hashes, word_spans
 
 _ROWS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -48,13 +48,40 @@ def decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 16 + 2 * n * planes), count=n).astype(bool)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys (each a column of one or two words) and whether each occurs twice or more."""
+def distinct(keys: np.ndarray, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (each a column of one or two words) and whether each occurs twice or more; several: which of the given ones stand for more than one already."""
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     keys = keys[:, order]
     new = np.ones(keys.shape[1] + 1, bool)
     new[1:-1] = (keys[:, 1:] != keys[:, :-1]).any(0)
-    return keys[:, new[:-1]], ~new[1:][new[:-1]]
+    twice = ~new[1:][new[:-1]]
+    if several is not None and several.any():
+        twice |= np.logical_or.reduceat(several[order], np.flatnonzero(new[:-1]))
+    return keys[:, new[:-1]], twice
+
+
+def counted_often(own: DataFrame, most: int) -> tuple[int, bool, DataFrame]:
+    """The bytes of all texts, whether any are counted, and the rows of own (id, text) with `n`, how many rows are equal to each in both.
+
+    Rows of which the equal ones have over `most` bytes together are counted with map-side combining and stand there once, so however many they are, no task gets them all; other rows stay as they are, with n = 1. Hashes of such rows, at most bytes / most of them, are written once; Spark broadcasts them only if they are small.
+    """
+    print_ = F.xxhash64("id", "text")
+    per = own.groupBy(print_.alias("print")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    often = (F.col("rows") > 1) & (F.col("bytes") > most)
+    size, hot = per.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(often)).first()
+    one = F.lit(1).cast("long").alias("n")
+    if not hot:
+        return size, False, own.select("id", "text", one)
+    prints, marked = stored(per.where(often).select("print")), own.withColumn("print", print_)
+    rest = marked.join(prints, "print", "left_anti").select("id", "text", one)
+    return size, True, rest.unionByName(marked.join(prints, "print", "left_semi").groupBy("id", "text").agg(F.count("*").alias("n")))
+
+
+def as_often(rows: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """Each row n times, without n: dealt in steps, so that a row with a great n is repeated by many tasks."""
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {step}"))))
+    left = F.least(F.col("n") - F.col("part") * step, F.lit(step))
+    return parts.withColumn("left", left).repartition("part", "id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left")))).drop("n", "part", "left", "copy")
 
 
 def repeated(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -85,17 +112,17 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
 
     Per row: its id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) and, with keep_text, `kept`. A word is a run of bytes other than ASCII white space.
 
-    Rows are dealt by hash into buckets of about `bucket_bytes`. Each bucket counts its windows into a count-min sketch of `depth` rows and about `spare` cells per window of the whole input, sent sparse and sorted; sketches merge by blocks of cells, and each bucket learns which of its cells reach two. Counts are never too low, so a window that the sketch calls single is single. The others go on with 128-bit hashes and are grouped exactly, again by blocks. Only the gaps between a bucket's cells are sent. A single window passes a row with a chance of about one in `spare`, and so all rows with one in `spare` to the power `depth`: 1 in 64 by default.
+    Rows are dealt by hash of id and text into buckets of about `bucket_bytes`; rows equal in both that together have more than that are counted and dealt once, with their count. Each bucket counts its windows into a count-min sketch of `depth` rows and about `spare` cells per window of the whole input, sent sparse and sorted; sketches merge by blocks of cells, and each bucket learns which of its cells reach two. Counts are never too low, so a window that the sketch calls single is single. The others go on with 128-bit hashes and are grouped exactly, again by blocks. Only the gaps between a bucket's cells are sent. A single window passes a row with a chance of about one in `spare`, and so all rows with one in `spare` to the power `depth`: 1 in 64 by default.
     The texts are shuffled once (the plan uses that exchange three times); nothing passes through the driver, and no task holds more than a bucket or a block, whose number grows with the input.
     Null or empty text: no words. Null or repeated ids and repeated rows: one result for each row, and repeated texts are repeats. Empty table: no rows. Other columns aren't read.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    size, hot, own = counted_often(own, bucket_bytes)
     buckets = max(1, -(-size // bucket_bytes))
     expected = max(1, size // 6)
     blocks = 1 << max(0, (expected // block_windows).bit_length())
     bits = min(60, max(blocks.bit_length(), (expected * spare).bit_length()))
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     # As many partitions as buckets, up to most_tasks, however many the session has for other shuffles; a task holds one of its buckets at a time.
     tasks = -(-buckets // -(-buckets // most_tasks))
     dealt = own.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets))).repartition(tasks, "bucket").groupBy("bucket")
@@ -113,11 +140,16 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     def text_column(table: pa.Table) -> pa.Array:
         return pa.concat_arrays(table["text"].chunks) if table.num_rows else pa.array([], pa.string())
 
+    def often(table: pa.Table, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which windows are of a row that stands for several equal ones."""
+        return np.repeat(table["n"].to_numpy() > 1, np.diff(first))[at]
+
     def sketch(table: pa.Table) -> pa.Table:
         bucket, rows = table["bucket"][0].as_py(), []
-        (one, _), _, _ = window_hashes(text_column(table), window)
+        (one, _), at, first = window_hashes(text_column(table), window)
+        several = often(table, at, first)
         for row in range(depth):
-            keys, twice = distinct(cells(one, row)[None])
+            keys, twice = distinct(cells(one, row)[None], several)
             for block, part in by_block(keys, twice, bits - blocks.bit_length() + 1):
                 rows.append((row * blocks + block, bucket, coded(keys[0][part], twice[part])))
         return _table(rows)
@@ -149,9 +181,9 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
 
     def exact(table: pa.Table, told: pa.Table) -> pa.Table:
         bucket, rows = table["bucket"][0].as_py(), []
-        hashes, _, _ = window_hashes(text_column(table), window)
+        hashes, at, first = window_hashes(text_column(table), window)
         maybe = suspects(hashes, answers(told, 0, depth * blocks))
-        keys, twice = distinct(hashes[:, maybe])
+        keys, twice = distinct(hashes[:, maybe], often(table, at, first)[maybe])
         for block, part in by_block(keys, twice, 64 - blocks.bit_length() + 1 if blocks > 1 else 63):
             rows.append((block, bucket, np.array([part.stop - part.start]).tobytes() + keys[:, part].tobytes() + np.packbits(twice[part]).tobytes()))
         rows.append((-1 - bucket, bucket, np.packbits(maybe[np.argsort(hashes[0], kind="stable")]).tobytes()))
@@ -187,11 +219,12 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
             kept = b" ".join(compress(words, (~part).tolist()) if removed[-1] else words)
             hashed.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept.decode() if keep_text else None)
-        return pa.table({"id": table["id"], "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashed, pa.string()), "kept": pa.array(texts, pa.string())})
+        return pa.table({"id": table["id"], "n": table["n"], "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashed, pa.string()), "kept": pa.array(texts, pa.string())})
 
     counted = dealt.applyInArrow(sketch, schema).groupBy("block").applyInArrow(merged(read_cells), schema)
     grouped = dealt.cogroup(counted.groupBy("bucket")).applyInArrow(exact, schema).groupBy("block").applyInArrow(merged(read_exact), schema)
-    out = dealt.cogroup(grouped.groupBy("bucket")).applyInArrow(final, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = dealt.cogroup(grouped.groupBy("bucket")).applyInArrow(final, f"id {kind}, n long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = as_often(out) if hot else out.drop("n")
     return (out if keep_text else out.drop("kept")).withColumnRenamed("id", id_col)
 
 

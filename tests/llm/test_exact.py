@@ -11,6 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kairospark.llm import secrets
@@ -20,7 +21,7 @@ from kairospark.llm.decontaminate import bits, contaminated, myers
 from kairospark.llm.near_dup import bag_minhash, near_duplicates
 from kairospark.llm.packing import WordEncoder, pack
 from kairospark.llm.quality import fit_quality, quality_scores
-from kairospark.llm.substrings import without_repeats
+from kairospark.llm.substrings import as_often, counted_often, without_repeats
 from kairospark.llm.token_counts import pieces, token_counts
 from kairospark.llm.topk import places, top_k
 from kairospark.llm.toxicity import fit_toxicity, toxicity_scores
@@ -228,6 +229,26 @@ def test_substrings_against_brute_force(make):
             assert got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_substrings_of_many_equal_rows(make):
+    """Rows equal in id and text are counted once they have more than a bucket's bytes, with the same results as one by one; a word of theirs is gone if a window covers it."""
+    rng = random.Random(12)
+    hot, brief, other = prose(rng, 90), prose(rng, 12), prose(rng, 60)
+    texts, ids = [hot] * 300 + [brief] * 400 + [other, f"{other} {hot}", None, None, ""], [None] * 300 + [7] * 400 + [1, 2, 3, 3, 3]
+    count = lambda **how: Counter(tuple(r) for r in without_repeats(make(texts, ids), **how).collect())
+    plain = count(bucket_bytes=1 << 23)
+    assert count(bucket_bytes=4000) == plain and sum(plain.values()) == len(texts)
+    assert {(r[0], r[1], r[2]): n for r, n in plain.items()} == {(None, 90, 90): 300, (7, 12, 0): 400, (1, 60, 60): 1, (2, 150, 150): 1, (3, 0, 0): 3}
+
+
+def test_equal_rows_are_dealt_once(make, spark):
+    docs = make(["a b c"] * 500 + ["d"] * 3, [None] * 500 + [1, 1, 2]).select(F.col("doc_id").alias("id"), "text")
+    size, hot, rows = counted_often(docs, 1000)
+    assert (size, hot, sorted(rows.select("text", "n").collect())) == (2503, True, [("a b c", 500), ("d", 1), ("d", 1), ("d", 1)])
+    assert counted_often(docs, 10_000)[1] is False and counted_often(docs.limit(0), 10)[:2] == (0, False)
+    told = as_often(spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 9)], "id long, n long"), step=4)
+    assert told.columns == ["id"] and {r.id: r["count"] for r in told.groupBy("id").count().collect()} == {1: 1, 2: 7, 3: 8, 4: 9}
+
+
 def test_word_encoder_is_the_tokenizer():
     rng = random.Random(9)
     letters = "aZ.,'\"é×»0 \nsıİΣ́ <|中"
