@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kairospark.functions.calendars import EventGrid, TradingCalendar, build_grid
 from kairospark.functions.times import at, interval, known, utc
 from kairospark.operators.joins import grid_by_entities, join_frames, next_in_grid
-from kairospark.operators.panel import KEYS, entity_frame, unique, unique_in_plan
+from kairospark.operators.panel import KEYS, entity_frame, ordered, unique, unique_in_plan
 from kairospark.plans.specs import DatasetArtifact, DatasetSpec, FeatureFrame, FeatureRequest, SliceSpec, TargetFrame, TargetRequest
 
 
@@ -127,12 +127,16 @@ def build_dataset(ctx: Any, spec: DatasetSpec, *, persist: str | None = None, on
     data = reduce(lambda a, b: a.join(b, list(KEYS), "left"), parts, index)
     if spec.missingness.final_row_policy == "drop_if_any_nan":
         data = data.dropna(how="any", subset=[f"`{c}`" if "." in c else c for c in (*names, spec.target.name)])
+    if spec.join_policy.sort_index:
+        data = ordered(data)
     if persist:
         seen = Observation()
-        data.sortWithinPartitions(*KEYS).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(persist)
+        (data if spec.join_policy.sort_index else data.sortWithinPartitions(*KEYS)).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(persist)
         data, meta["n_rows"] = ctx.spark.read.parquet(persist), seen.get["n"]
     meta["n_features"] = len(names) if meta.get("n_rows", 1) else 0
     catalog = list({row["feature_id"]: row for f in reversed(frames) for row in reversed(f.catalog)}.values())[::-1]
+    if spec.join_policy.sort_index:
+        data, catalog = ordered(data) if persist else data, sorted(catalog, key=lambda row: row["feature_id"])
     return DatasetArtifact(data, names, spec.target.name, catalog, meta, {"artifacts": {k: v for f in frames for k, v in f.artifacts.items()}})
 
 

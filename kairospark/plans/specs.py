@@ -156,8 +156,10 @@ class TimeSpec:
 
 @dataclass(frozen=True)
 class JoinPolicy:
+    """sort_index: the data in the order of their keys, by ranges over all tasks, and the catalog by feature. Off unless asked for, since it is one more shuffle and joins and tables keep no order."""
+
     how: str = "inner"
-    sort_index: bool = True
+    sort_index: bool = False
 
 
 @dataclass(frozen=True)

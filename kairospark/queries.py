@@ -22,9 +22,9 @@ from kairospark.operators.returns import lagged, log_returns, next_squared_retur
 from kairospark.operators.splits import expanding_splits, purged_kfold, rolling_splits, target_purged_kfold
 from kairospark.operators.universe import entities_on, restricted
 from kairospark.plans.dataset import build_dataset, leaked, target_ends
-from kairospark.plans.ids import feature_id, group_path
+from kairospark.plans.ids import feature_id_column, group_path
 from kairospark.plans.snapshots import prints, refreshed
-from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, MissingnessPolicy, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
+from kairospark.plans.specs import Artifact, DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, FitState, MissingnessPolicy, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import FetchCache, LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
 from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
 from kairospark.scratch import scratch
@@ -91,13 +91,14 @@ def daily_labels_to_closes(spark, sf_dir):
     return context(spark, sf_dir).fetch_panel("bars", Query("daily", ["value"], "2024-01-05", "2024-01-19"))
 
 
-@query("SELECT TIMESTAMP '2024-01-01' + to_days(k::INT) AS date, (k * s)::DOUBLE AS value, 's' || s AS series_id, TIMESTAMP '2024-01-15' AS asof_utc FROM range(31) a(k), range(1, 6) b(s)")
+@query("SELECT TIMESTAMP '2024-01-01' + to_days(k::INT) AS date, (k * (1 + s % 7))::DOUBLE AS value, s::VARCHAR AS series_id, TIMESTAMP '2024-01-15' AS asof_utc FROM range(31) a(k), (SELECT DISTINCT user_id AS s FROM events)")
 def series_source(spark, sf_dir):
+    """One request for each user of the events."""
     def reader(series, start, end, day):
-        return [(start + timedelta(days=k), float(k * int(series[1:]))) for k in range((end - start).days + 1)]
+        return [(start + timedelta(days=k), float(k * (1 + int(series) % 7))) for k in range((end - start).days + 1)]
 
     source = SeriesSource(spark, "rates", "rates", reader)
-    return source.fetch(Query("rates", start="2024-01-01", end="2024-01-31", entities=[f"s{k}" for k in range(1, 6)], asof="2024-01-15 08:00:00"))
+    return source.fetch(Query("rates", start="2024-01-01", end="2024-01-31", entities=users(spark, sf_dir), asof="2024-01-15 08:00:00"))
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,16 +158,20 @@ def repeated_day_keys(spark, sf_dir):
 
 
 # ---- calendars -----------------------------------------------------------------------------------------------------
-@query(f"SELECT {closes('d')} AS ts_utc FROM {DAYS.format('2021-01-01', '2024-12-31')} WHERE isodow(d) < 6")
+@query(f"SELECT {closes('d')} AS ts_utc, count(o_orderkey) AS n_orders FROM {DAYS.format('1995-01-01', '2001-12-31')} LEFT JOIN orders ON o_orderdate = d WHERE isodow(d) < 6 GROUP BY 1")
 def session_grid(spark, sf_dir):
-    return build_grid(spark, NY, "2021-01-01", "2024-12-31", "sessions")
+    """Every session's close with the number of orders of its day."""
+    held = table(spark, sf_dir, "orders").groupBy(NY.close(F.col("o_orderdate")).alias("ts_utc")).agg(F.count("*").alias("n"))
+    return build_grid(spark, NY, "1995-01-01", "2001-12-31", "sessions").join(held, "ts_utc", "left").select("ts_utc", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query(f"""SELECT d AS label, timezone('UTC', timezone('America/New_York', d + INTERVAL '9 hours 30 minutes')) AS open_utc, {closes('d')} AS close_utc,
-timezone('UTC', timezone('America/New_York', d - INTERVAL 1 DAY)) + INTERVAL 16 HOUR AS compat_close_utc FROM {DAYS.format('2021-01-01', '2022-12-31')} WHERE isodow(d) < 6""")
+@query(f"""SELECT o_orderkey, o_orderdate::TIMESTAMP AS label, timezone('UTC', timezone('America/New_York', o_orderdate::TIMESTAMP + INTERVAL '9 hours 30 minutes')) AS open_utc, {closes('o_orderdate')} AS close_utc,
+timezone('UTC', timezone('America/New_York', o_orderdate::TIMESTAMP - INTERVAL 1 DAY)) + INTERVAL 16 HOUR AS compat_close_utc FROM orders""")
 def session_close_ny(spark, sf_dir):
-    label = F.col("session")
-    return NY.sessions(spark, "2021-01-01", "2022-12-31").select(label.alias("label"), NY.open(label).alias("open_utc"), NY.close(label).alias("close_utc"), TradingCalendar(compat=True).close(label).alias("compat_close_utc"))
+    """Each order with its day's open and close, and the close by the other arithmetic."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("label"))
+    label = F.col("label")
+    return o.select("*", NY.open(label).alias("open_utc"), NY.close(label).alias("close_utc"), TradingCalendar(compat=True).close(label).alias("compat_close_utc"))
 
 
 def _ticks(first: str, last: str, step: str) -> str:
@@ -174,18 +179,28 @@ def _ticks(first: str, last: str, step: str) -> str:
 FROM {DAYS.format(first, last)} WHERE isodow(d) < 6"""
 
 
-@query(f"SELECT ts_utc FROM ({_ticks('2021-03-08', '2021-03-19', 'INTERVAL 5 MINUTE')}) WHERE ts_utc BETWEEN '2021-03-08 15:00:00' AND '2021-03-19 18:00:00'")
+@query(f"""SELECT ts_utc, count(event_id) AS n_events FROM ({_ticks('2024-01-01', '2024-01-31', 'INTERVAL 5 MINUTE')}) LEFT JOIN events ON time_bucket(INTERVAL 5 MINUTE, ts) = ts_utc
+WHERE ts_utc BETWEEN '2024-01-01 15:00:00' AND '2024-01-31 18:00:00' GROUP BY 1""")
 def intraday_grid(spark, sf_dir):
-    return build_grid(spark, NY, "2021-03-08 15:00:00", "2021-03-19 18:00:00", "5min")
+    """Every tick of the month with the number of events in the five minutes from it on."""
+    five = F.date_trunc("minute", "ts").cast("timestamp_ntz") - F.make_dt_interval(mins=F.minute("ts") % 5)
+    held = table(spark, sf_dir, "events").groupBy(five.alias("ts_utc")).agg(F.count("*").alias("n"))
+    grid = build_grid(spark, NY, "2024-01-01 15:00:00", "2024-01-31 18:00:00", "5min")
+    return grid.join(held, "ts_utc", "left").select("ts_utc", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
-@query(f"""SELECT 'close' AS kind, {closes('d')} + INTERVAL 90 SECOND AS ts_utc FROM {DAYS.format('2021-11-01', '2021-11-12')} WHERE isodow(d) < 6
-UNION ALL SELECT 'tick', ts_utc + INTERVAL 10 SECOND FROM ({_ticks('2021-11-01', '2021-11-12', 'INTERVAL 30 MINUTE')}) WHERE ts_utc BETWEEN '2021-11-01' AND '2021-11-12'""")
+@query(f"""WITH g AS (SELECT *, lag(ts_utc) OVER (PARTITION BY kind ORDER BY ts_utc) AS prev FROM (SELECT 'close' AS kind, {closes('d')} + INTERVAL 90 SECOND AS ts_utc FROM {DAYS.format('2024-01-01', '2024-02-02')} WHERE isodow(d) < 6
+UNION ALL SELECT 'tick', ts_utc + INTERVAL 10 SECOND FROM ({_ticks('2024-01-01', '2024-02-02', 'INTERVAL 30 MINUTE')}) WHERE ts_utc BETWEEN '2024-01-01' AND '2024-02-02'))
+SELECT kind, ts_utc, count(event_id) AS n_events FROM g LEFT JOIN events ON ts < ts_utc AND ts >= coalesce(prev, TIMESTAMP '1900-01-01') GROUP BY 1, 2""")
 def events_delayed(spark, sf_dir):
+    """Delayed closes and ticks, with the number of events of which each is the next."""
     ctx = DataContext(spark)
-    late = SessionCloseEvents("XNYS", timedelta(seconds=90)).events(ctx, "2021-11-01", "2021-11-12")
-    ticks = FixedIntervalEvents("XNYS", timedelta(minutes=30), timedelta(seconds=10)).events(ctx, "2021-11-01", "2021-11-12")
-    return late.select(F.lit("close").alias("kind"), "ts_utc").unionByName(ticks.select(F.lit("tick").alias("kind"), "ts_utc"))
+    own, out = table(spark, sf_dir, "events").select(F.col("ts").alias("ts_utc")), []
+    for kind, source in (("close", SessionCloseEvents("XNYS", timedelta(seconds=90))), ("tick", FixedIntervalEvents("XNYS", timedelta(minutes=30), timedelta(seconds=10)))):
+        grid = source.events(ctx, "2024-01-01", "2024-02-02")
+        held = target_ends(own, grid=grid).groupBy(F.col("target_end").alias("ts_utc")).agg(F.count("*").alias("n"))
+        out.append(grid.join(held, "ts_utc", "left").select(F.lit(kind).alias("kind"), "ts_utc", F.coalesce("n", F.lit(0)).alias("n_events")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("""SELECT o_orderkey, o_orderdate + INTERVAL 10 HOUR AS ts,
@@ -259,6 +274,22 @@ def align_asof(spark, sf_dir):
     return _aligned(spark, sf_dir, AlignSpec("none", match="asof")).select("ts_utc", "entity_id", "value")
 
 
+@query("""WITH n AS (SELECT coalesce(max(k) > 1, false) AS again FROM (SELECT count(*) AS k FROM events GROUP BY user_id, ts::DATE))
+SELECT 'events' AS panel, 'none' AS method, (SELECT again FROM n) AS refused UNION ALL SELECT 'daily', 'none', false UNION ALL SELECT 'no rows', 'none', true UNION ALL SELECT 'daily', 'spline', true""")
+def align_faults(spark, sf_dir):
+    """Which panels and methods alignment refuses: those whose (day, entity) repeats, empty ones, unknown methods."""
+    events, days = event_panel(spark, sf_dir), from_long(daily(spark, sf_dir), "date", "user_id")
+    grid = NY.sessions(spark, "2024-01-01", "2024-01-31").withColumnRenamed("session", "ts_utc")
+    out = []
+    for name, panel, method in (("events", events, "none"), ("daily", days, "none"), ("no rows", days.where("false"), "none"), ("daily", days, "spline")):
+        try:
+            align_panel(panel, grid, TableSchema("daily", native_freq="B"), AlignSpec(method))
+            out.append((name, method, False))
+        except ValueError:
+            out.append((name, method, True))
+    return spark.createDataFrame(out, "panel string, method string, refused boolean")
+
+
 @query(f"WITH {GRID} SELECT ts_utc, entity_id, value IS NOT NULL AS observed, CASE WHEN value IS NULL THEN 'missing_unknown' ELSE 'available' END AS availability FROM a")
 def align_availability_daily(spark, sf_dir):
     return _aligned(spark, sf_dir, AlignSpec("ffill")).select("ts_utc", "entity_id", F.col("value__observed").alias("observed"), F.col("value__availability").alias("availability"))
@@ -295,22 +326,22 @@ def _macro(spark, sf_dir) -> FeatureFrame:
 
 
 # ---- calendar flags ------------------------------------------------------------------------------------------------
-def _flags(spark, params: dict) -> DataFrame:
-    frame = CalendarFlags().transform(DataContext(spark), params, SliceSpec("2023-12-01", "2024-12-31", ["A", "B", "C"]))
+def _flags(spark, sf_dir, params: dict) -> DataFrame:
+    frame = CalendarFlags().transform(DataContext(spark), params, SliceSpec("2023-12-01", "2024-12-31", users(spark, sf_dir)))
     return frame.x.select("ts_utc", "entity_id", *(F.col(f"`{row['feature_id']}`").alias(row["transform"]) for row in frame.catalog))
 
 
-SESSIONS = f"SELECT d AS ts_utc, entity_id, {{0}} FROM {DAYS.format('2023-12-01', '2024-12-31')}, (VALUES ('A'), ('B'), ('C')) e(entity_id) WHERE isodow(d) < 6"
+SESSIONS = f"SELECT d AS ts_utc, entity_id, {{0}} FROM {DAYS.format('2023-12-01', '2024-12-31')}, (SELECT DISTINCT user_id::VARCHAR AS entity_id FROM events) WHERE isodow(d) < 6"
 
 
 @query(SESSIONS.format("(isodow(d) - 1)::DOUBLE AS dow, (d::DATE = last_day(d))::INT::DOUBLE AS is_month_end, (d::DATE = last_day(d) AND month(d) % 3 = 0)::INT::DOUBLE AS is_quarter_end, (d::DATE = last_day(d) AND month(d) = 12)::INT::DOUBLE AS is_year_end"))
 def calendar_flags(spark, sf_dir):
-    return _flags(spark, {"flags": ("dow", "is_month_end", "is_quarter_end", "is_year_end")})
+    return _flags(spark, sf_dir, {"flags": ("dow", "is_month_end", "is_quarter_end", "is_year_end")})
 
 
 @query(SESSIONS.format(", ".join(f"(isodow(d) = {k + 1})::INT::DOUBLE AS dow_{k}" for k in range(7))))
 def calendar_flags_onehot(spark, sf_dir):
-    return _flags(spark, {"flags": ("dow",), "one_hot_dow": True})
+    return _flags(spark, sf_dir, {"flags": ("dow",), "one_hot_dow": True})
 
 
 # ---- bitemporal observations ---------------------------------------------------------------------------------------
@@ -349,11 +380,13 @@ def pit_last_wins(spark, sf_dir):
 @query(f"WITH {ALL} SELECT series_key, obs_date, asof_utc, value FROM v")
 def pit_compacted(spark, sf_dir):
     """Upserts by priority, one part each, made one part on the way and at the end."""
-    t = pit.PitTable(spark, scratch(spark), most_parts=3)
+    t, path = pit.PitTable(spark, scratch(spark), most_parts=3), scratch(spark)
+    vintages(spark, sf_dir).write.parquet(path)
+    every = spark.read.parquet(path)
     for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
         # A later priority's order of the same day is no revision of an earlier one's: the whole day's last order is sent.
         days = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == p).select("o_custkey", "o_orderdate").distinct()
-        own = vintages(spark, sf_dir).join(days.select(F.col("o_custkey").cast("string").alias("series_key"), F.col("o_orderdate").alias("asof_utc")), ["series_key", "asof_utc"], "left_semi")
+        own = every.join(days.select(F.col("o_custkey").cast("string").alias("series_key"), F.col("o_orderdate").alias("asof_utc")), ["series_key", "asof_utc"], "left_semi")
         t.upsert(own)
     t.compact()
     return t.read().select("series_key", "obs_date", "asof_utc", "value")
@@ -367,6 +400,12 @@ def pit_stream_ingest(spark, sf_dir):
     return t.read().select("series_key", "obs_date", "asof_utc", "value")
 
 
+@query(f"WITH {ALL} {LATEST.format(chr(39).join(('asof_utc <= ', '1990-01-01', '')))}")
+def pit_snapshot_empty(spark, sf_dir):
+    """As known before the first vintage: no rows, the same columns."""
+    return pit.snapshot(vintages(spark, sf_dir), "1990-01-01")
+
+
 @query(f"WITH {ALL} {LATEST.format(chr(39).join(('asof_utc <= ', '1998-06-15', '')))}")
 def pit_snapshot(spark, sf_dir):
     return pit.snapshot(vintages(spark, sf_dir), "1998-06-15")
@@ -512,9 +551,11 @@ def dataset_target_broadcast(spark, sf_dir):
     return made.data.select("ts_utc", "entity_id", F.col(f"`{made.features[0]}`").alias("dow"), "target")
 
 
-@query("""SELECT k::INT AS k, 'lag.logret.' || left(sha256('{"coord":null,"family":"lag","params":{"k":' || k || '},"source_key":"*","source_table":"market.ohlcv","transform":"logret"}'), 12) AS feature_id, 'lag/logret/k=' || k AS group_path FROM range(1, 21) r(k)""")
+@query("""SELECT c_custkey, 'lag.logret.' || left(sha256('{"coord":null,"family":"lag","params":{"k":3},"source_key":"' || c_name || '","source_table":"market.ohlcv","transform":"logret"}'), 12) AS feature_id, 'lag/logret/k=3' AS group_path FROM customer""")
 def feature_ids(spark, sf_dir):
-    return spark.createDataFrame([(k, feature_id("market.ohlcv", "*", "lag", "logret", {"k": k}), group_path("lag", "logret", {"k": k})) for k in range(1, 21)], "k int, feature_id string, group_path string")
+    """The id and group of one feature of each customer's series."""
+    ids = feature_id_column("market.ohlcv", F.col("c_name"), "lag", "logret", {"k": 3})
+    return table(spark, sf_dir, "customer").select("c_custkey", ids.alias("feature_id"), F.lit(group_path("lag", "logret", {"k": 3})).alias("group_path"))
 
 
 @query("""SELECT n_name AS feature_id, '{"desk": "rates", "region": "' || r_name || '"}' AS tags_json FROM nation JOIN region ON r_regionkey = n_regionkey""")
@@ -525,10 +566,12 @@ def catalog_tags(spark, sf_dir):
     return reduce(DataFrame.unionByName, (f.catalog_frame().select("feature_id", "tags_json") for f in frames))
 
 
-@query("""SELECT k::INT AS k, 'lag_returns:1.0:' || left(sha256('{"params":{"lags":' || k || ',"source":"bars"},"slice":{"asof":null,"end":"2024-02-01","entities":["0","1"],"grid":"sessions:XNYS","start":"2024-01-01"},"template":"lag_returns","upstream_snapshot":null,"version":"1.0"}'), 16) AS realization_id FROM range(1, 21) r(k)""")
+@query("""SELECT o_orderpriority AS part, 'lag_returns:1.0:' || left(sha256('{"params":{"lags":2,"source":"bars"},"slice":{"asof":null,"end":"2024-02-01","entities":["' || o_orderpriority || '"],"grid":"sessions:XNYS","start":"2024-01-01"},"template":"lag_returns","upstream_snapshot":"' || count(*) || ':' || max(o_orderkey) || '","version":"1.0"}'), 16) AS realization_id FROM orders GROUP BY o_orderpriority""")
 def realization_ids(spark, sf_dir):
-    s = SliceSpec("2024-01-01", "2024-02-01", ["0", "1"], None, "sessions:XNYS")
-    return spark.createDataFrame([(k, FeatureRealization("lag_returns", "1.0", {"source": "bars", "lags": k}, s).id()) for k in range(1, 21)], "k int, realization_id string")
+    """A realization of each priority's orders, whose id changes with their number and their last key."""
+    parts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.concat_ws(":", F.count("*"), F.max("o_orderkey"))).collect()  # five priorities
+    of = lambda part, said: FeatureRealization("lag_returns", "1.0", {"source": "bars", "lags": 2}, SliceSpec("2024-01-01", "2024-02-01", [part], None, "sessions:XNYS"), said).id()
+    return spark.createDataFrame([(part, of(part, said)) for part, said in parts], "part string, realization_id string")
 
 
 @query(f"""WITH m AS (SELECT last_day(o_orderdate)::TIMESTAMP AS date, o_orderpriority AS entity_id, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
@@ -811,6 +854,46 @@ def _scaled(name: str = "scaled") -> FeatureRealization:
 _SCALED_ID = """'scaled:1.0:' || left(sha256('{"params":{},"slice":{"asof":null,"end":"2024-02-01","entities":null,"grid":null,"start":"2024-01-01"},"template":"scaled","upstream_snapshot":null,"version":"1.0"}'), 16)"""
 
 
+class PartedStore:
+    """A user's own store: frames by entity, states in memory."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.frames, self.states = spark, {}, {}
+
+    def exists_frame(self, rid: str) -> bool:
+        return rid in self.frames
+
+    def get_frame(self, rid: str) -> FeatureFrame | None:
+        if rid not in self.frames:
+            return None
+        path, frame = self.frames[rid]
+        return FeatureFrame(self.spark.read.schema(frame.x.schema).parquet(path), frame.catalog, frame.meta, frame.artifacts, frame.labels)
+
+    def put_frame(self, rid: str, frame: FeatureFrame) -> Artifact:
+        path = scratch(self.spark)
+        frame.x.repartitionByRange("entity_id").sortWithinPartitions("entity_id", "ts_utc").write.parquet(path)
+        self.frames[rid] = path, frame
+        return Artifact(rid, "frame", path)
+
+    def put_state(self, state: FitState, payload: bytes) -> Artifact:
+        self.states[state.state_id] = payload
+        return Artifact(state.state_id, "state", "memory", state.meta)
+
+    def get_state(self, state_id: str) -> bytes:
+        return self.states[state_id]
+
+
+@query(f"WITH {_BARS} SELECT ts_utc, entity_id, round(value - (SELECT avg(value) FROM p), 6) + 0.0 AS v, (SELECT count(value) FROM p) AS n_fitted FROM p")
+def own_store(spark, sf_dir):
+    """A frame and its state from a store of the user's own, put by materialize and found there the second time."""
+    ctx = context(spark, sf_dir)
+    ctx.store = PartedStore(spark)
+    materialize(ctx, Scaled(), _scaled(), MaterializationPolicy("always"))
+    again = materialize(ctx, None, _scaled())
+    state = pickle.loads(ctx.store.get_state(f"state:{_scaled().id()}"))
+    return again.x.select("ts_utc", "entity_id", (F.round("v", 6) + 0.0).alias("v"), F.lit(state["n"]).cast("long").alias("n_fitted"))
+
+
 @query(f"WITH {_BARS} SELECT 'state:' || {_SCALED_ID} AS name, round(avg(value), 6) AS mean, count(value) AS n, 'state' AS kind FROM p")
 def state_roundtrip(spark, sf_dir):
     """A fitted state, put by materialize and read back as it was."""

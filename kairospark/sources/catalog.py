@@ -95,10 +95,10 @@ class FrameSource:
 
 
 class SeriesSource:
-    """A service with one request a series: reader(series, start, end, vintage day) gives (date, value) rows; each series is read in a task of its own, and rows carry the vintage day as asof_utc. No network code is included: the reader is the caller's."""
+    """A service with one request a series: reader(series, start, end, vintage day) gives (date, value) rows; series are dealt over `most_tasks` tasks at most, each of which asks for its own one after the other, and rows carry the vintage day as asof_utc. No network code is included: the reader is the caller's."""
 
-    def __init__(self, spark: SparkSession, name: str, table: str, reader: Any):
-        self.spark, self.name, self.table, self.reader = spark, name, table, reader
+    def __init__(self, spark: SparkSession, name: str, table: str, reader: Any, most_tasks: int = 200):
+        self.spark, self.name, self.table, self.reader, self.most_tasks = spark, name, table, reader, most_tasks
 
     def schemas(self) -> dict[str, TableSchema]:
         return {self.table: TableSchema(self.table, entity_column="series_id", time_column="date")}
@@ -121,5 +121,6 @@ class SeriesSource:
                     yield got.assign(date=pd.to_datetime(got["date"]), value=got["value"].astype(float), series_id=series, asof_utc=pd.Timestamp(day))
 
         names = entity_frame(self.spark, q.entities).withColumnRenamed("entity_id", "series_id")
-        names = names.repartition(max(1, names.count() if isinstance(q.entities, DataFrame) else len(q.entities)))
+        n = names.count() if isinstance(q.entities, DataFrame) else len(q.entities)
+        names = names.repartition(min(self.most_tasks, max(1, n)))
         return names.mapInPandas(read, "date timestamp_ntz, value double, series_id string, asof_utc timestamp_ntz")

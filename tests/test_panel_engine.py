@@ -22,8 +22,8 @@ from kairospark.operators.panel import from_long, sliced, unique
 from kairospark.operators.splits import _moved, expanding_splits, purged_kfold, rolling_splits
 from kairospark.operators.universe import entities_on, from_wide, restricted, spells
 from kairospark.plans.dataset import build_dataset, join_feature_frames
-from kairospark.plans.ids import feature_id, group_path
-from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, FeatureTemplate, MissingnessPolicy, ParamSpec, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
+from kairospark.plans.ids import feature_id, feature_id_column, group_path
+from kairospark.plans.specs import DatasetSpec, FeatureFrame, FeatureRealization, FeatureRequest, FeatureTemplate, JoinPolicy, MissingnessPolicy, ParamSpec, SliceOverride, SliceSpec, TargetFrame, TargetRequest, TimeSpec, UniverseSpec
 from kairospark.plans.store import LineageGraph, MaterializationPolicy, ParquetStore, RawCache, materialize
 from kairospark.plans.templates import CalendarFlags, LagReturns, MacroCarry, NextSquaredReturn
 from kairospark.queries import ORACLES, QUERIES
@@ -278,6 +278,32 @@ def test_protocols_and_tags_with_dots(spark):
 
 
 # ---- identities, datasets, stores ----------------------------------------------------------------------------------
+def test_feature_ids_as_expressions(spark):
+    """The same ids as one by one, for keys of any printable ASCII."""
+    keys = ["AAA", "", "a b", 'q"uo\\te/', "tab\tline\n", "".join(map(chr, range(32, 127)))]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "key string")
+    got = {r.key: r.id for r in df.select("key", feature_id_column("t", F.col("key"), "lag", "logret", {"k": 3, "a": [1, None]}).alias("id")).collect()}
+    assert got == {k: feature_id("t", k, "lag", "logret", {"k": 3, "a": [1, None]}) for k in keys} | {None: None}
+    for bad in ("é", "a\x0b"):
+        with pytest.raises(Exception, match="not a printable ASCII key"):
+            spark.createDataFrame([(bad,)], "key string").select(feature_id_column("t", F.col("key"), "lag", "logret", {})).collect()
+
+
+def test_sorted_dataset(ctx, tmp_path):
+    lag = {"source": "src", "table": "market.ohlcv", "price_col": "close"}
+    for persist in (None, str(tmp_path / "d")):
+        spec = DatasetSpec(UniverseSpec(["BBB", "AAA"]), TimeSpec("2020-01-06", "2020-02-28"), TargetRequest(NextSquaredReturn(), lag), [FeatureRequest(LagReturns(), lag | {"lags": 3})], join_policy=JoinPolicy(sort_index=True))
+        made = build_dataset(ctx, spec, persist=persist)
+        keys = [(r.ts_utc, r.entity_id) for r in made.data.collect()]
+        assert keys and keys == sorted(keys) and [r["feature_id"] for r in made.catalog] == sorted(made.features)
+
+
+def test_series_are_dealt_over_bounded_tasks(spark):
+    s = SeriesSource(spark, "web", "t", lambda name, start, end, asof: [("2020-01-01", float(name))], most_tasks=3)
+    got = s.fetch(Query("t", entities=[str(k) for k in range(20)], asof="2020-03-01"))
+    assert got.rdd.getNumPartitions() == 3 and sorted(r.value for r in got.collect()) == list(range(20))
+
+
 def test_identities():
     assert feature_id("market.ohlcv", "*", "lag", "logret", {"k": 1}) == "lag.logret.bf32f5a1d1f0"
     assert feature_id("calendar.XNYS", "*", "calendar", "dow", {}) == "calendar.dow.df92d9cbea10"
