@@ -7,7 +7,7 @@ from datetime import timedelta
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairospark.files import exists, names, remove
@@ -139,11 +139,16 @@ class PitTable:
     def _part(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/parts/{name}")
 
-    def _write(self, df: DataFrame, name: str, filters: str = "false") -> None:
-        path = f"{self.root}/parts/{name}"
-        df.repartitionByRange("series_key").sortWithinPartitions("series_key", "obs_date").write.option("parquet.bloom.filter.enabled#series_key", filters).option("parquet.block.size", self.row_group_bytes).parquet(path)
+    def _write(self, df: DataFrame, name: str, filters: str = "false") -> tuple[int, int]:
+        """Writes a part and its bounds, and gives the rows with a NULL key and those with the key of the row before, counted on the way: ranges of series are sorted by key anyway, so the window takes neither a shuffle nor a sort of its own."""
+        path, seen = f"{self.root}/parts/{name}", Observation()
+        before = F.lag("asof_utc").over(Window.partitionBy("series_key", "obs_date").orderBy("asof_utc"))
+        dealt = df.repartitionByRange("series_key").withColumn("__again", before == F.col("asof_utc"))
+        counted = dealt.observe(seen, F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"), F.count_if("__again").alias("again"))
+        counted.drop("__again").write.option("parquet.bloom.filter.enabled#series_key", filters).option("parquet.block.size", self.row_group_bytes).parquet(path)
         own = self._part(name).groupBy(F.input_file_name().alias("file")).agg(F.min("series_key").alias("low"), F.max("series_key").alias("high"), F.count("*").alias("n_rows"), F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"))
         own.coalesce(1).write.parquet(f"{self.root}/bounds/{name}")
+        return seen.get["no_key"], seen.get["again"]
 
     def bounds(self) -> DataFrame:
         """file, low, high, n_rows, no_key, part: the keys that each file of the current parts has."""
@@ -166,16 +171,11 @@ class PitTable:
         return merged(*parts) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, df: DataFrame, *, now: Any = None, last_wins: bool = False) -> None:
-        """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc). The batch is evaluated once, written, and checked as written; a refused one is removed."""
+        """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc). The batch is evaluated once, written, and checked while it is written; a refused one is removed."""
         new, name = normalized(df, now), f"p-{uuid.uuid4().hex}"
         number, parts = self._manifest()
-        self._write(merged(new) if last_wins else new, name)
-        own = self._part(name)
-        fault = None
-        if not self.spark.read.parquet(f"{self.root}/bounds/{name}").where("no_key > 0").isEmpty():
-            fault = "a key column is NULL"
-        elif not last_wins and not own.groupBy(*KEY).count().where("count > 1").isEmpty():
-            fault = "a key repeats within the batch"
+        no_key, again = self._write(merged(new) if last_wins else new, name)
+        fault = "a key column is NULL" if no_key else "a key repeats within the batch" if again else None
         if fault:
             remove(self.spark, f"{self.root}/parts/{name}")
             remove(self.spark, f"{self.root}/bounds/{name}")

@@ -95,10 +95,10 @@ class FrameSource:
 
 
 class SeriesSource:
-    """A service with one request a series: reader(series, start, end, vintage day) gives (date, value) rows; series are dealt over `most_tasks` tasks at most, each of which asks for its own one after the other, and rows carry the vintage day as asof_utc. No network code is included: the reader is the caller's."""
+    """A service with one request a series: reader(series, start, end, vintage day) gives (date, value) rows; series are dealt over `most_tasks` tasks at most (as many as the session has cores, by default), each of which asks for its own one after the other, and rows carry the vintage day as asof_utc. No network code is included: the reader is the caller's."""
 
-    def __init__(self, spark: SparkSession, name: str, table: str, reader: Any, most_tasks: int = 200):
-        self.spark, self.name, self.table, self.reader, self.most_tasks = spark, name, table, reader, most_tasks
+    def __init__(self, spark: SparkSession, name: str, table: str, reader: Any, most_tasks: int | None = None):
+        self.spark, self.name, self.table, self.reader, self.most_tasks = spark, name, table, reader, most_tasks or spark.sparkContext.defaultParallelism
 
     def schemas(self) -> dict[str, TableSchema]:
         return {self.table: TableSchema(self.table, entity_column="series_id", time_column="date")}
