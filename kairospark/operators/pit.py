@@ -36,12 +36,13 @@ def normalized(df: DataFrame, now: Any = None) -> DataFrame:
     return known(df.select(*out))
 
 
-def merged(*parts: DataFrame) -> DataFrame:
-    """Upserts one after the other: of rows with the same key that of the last part stays, of one part's the latest ingested. Partial aggregation by key, no sort."""
+def merged(*parts: DataFrame, by_range: bool = False) -> DataFrame:
+    """Upserts one after the other: of rows with the same key that of the last part stays, of one part's the latest ingested. Partial aggregation by key before the shuffle. by_range: rows are dealt out by ranges of series_key first, which serves the aggregation too, so that one shuffle and one sort do for parts that have each key once."""
     every = [p.withColumn("__part", F.lit(k)) for k, p in enumerate(parts)]
     rest = [c.split(" ")[0] for c in SCHEMA.split(", ") if c.split(" ")[0] not in KEY]
     order = F.struct("__part", F.col("ingested_utc").isNotNull(), "ingested_utc")
-    last = reduce(DataFrame.unionByName, every).groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("v"))
+    rows = reduce(DataFrame.unionByName, every)
+    last = (rows.repartitionByRange("series_key") if by_range else rows).groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("v"))
     return last.select(*KEY, "v.*")
 
 
@@ -128,7 +129,7 @@ class PitTable:
 
     def _publish(self, number: int, parts: list[str]) -> None:
         before = self._manifest()[1]
-        self.spark.createDataFrame([(parts,)], "parts array<string>").coalesce(1).write.json(f"{self.root}/manifests/m-{number}")
+        self.spark.range(0, 1, 1, 1).select(F.array(*map(F.lit, parts)).alias("parts")).write.json(f"{self.root}/manifests/m-{number}")
         for name in names(self.spark, f"{self.root}/parts"):
             if name not in (*parts, *before):
                 remove(self.spark, f"{self.root}/parts/{name}")
@@ -139,14 +140,15 @@ class PitTable:
     def _part(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/parts/{name}")
 
-    def _write(self, df: DataFrame, name: str, filters: str = "false") -> tuple[int, int]:
-        """Writes a part and its bounds, and gives the rows with a NULL key and those with the key of the row before, counted on the way: ranges of series are sorted by key anyway, so the window takes neither a shuffle nor a sort of its own."""
+    def _write(self, dealt: DataFrame, name: str, filters: str = "false") -> tuple[int, int]:
+        """Writes a part, which is dealt out by ranges of series_key, and its bounds, and gives the rows with a NULL key and those with the key of the row before, counted on the way: ranges of series are sorted by key anyway, so the window takes neither a shuffle nor a sort of its own."""
         path, seen = f"{self.root}/parts/{name}", Observation()
         before = F.lag("asof_utc").over(Window.partitionBy("series_key", "obs_date").orderBy("asof_utc"))
-        dealt = df.repartitionByRange("series_key").withColumn("__again", before == F.col("asof_utc"))
-        counted = dealt.observe(seen, F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"), F.count_if("__again").alias("again"))
+        counted = dealt.withColumn("__again", before == F.col("asof_utc")).observe(seen, F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"), F.count_if("__again").alias("again"))
         counted.drop("__again").write.option("parquet.bloom.filter.enabled#series_key", filters).option("parquet.block.size", self.row_group_bytes).parquet(path)
-        own = self._part(name).groupBy(F.input_file_name().alias("file")).agg(F.min("series_key").alias("low"), F.max("series_key").alias("high"), F.count("*").alias("n_rows"), F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("no_key"))
+        # Where no row lacks a key, no file has one, and series_key alone is read again.
+        lacking = F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))) if seen.get["no_key"] else F.lit(0).cast("long")
+        own = self._part(name).groupBy(F.input_file_name().alias("file")).agg(F.min("series_key").alias("low"), F.max("series_key").alias("high"), F.count("*").alias("n_rows"), lacking.alias("no_key"))
         own.coalesce(1).write.parquet(f"{self.root}/bounds/{name}")
         return seen.get["no_key"], seen.get["again"]
 
@@ -174,7 +176,7 @@ class PitTable:
         """Inserts or replaces by key. NULL keys raise, and so do repeated keys within the batch unless last_wins (the latest ingested_utc). The batch is evaluated once, written, and checked while it is written; a refused one is removed."""
         new, name = normalized(df, now), f"p-{uuid.uuid4().hex}"
         number, parts = self._manifest()
-        no_key, again = self._write(merged(new) if last_wins else new, name)
+        no_key, again = self._write((merged(new) if last_wins else new).repartitionByRange("series_key"), name)
         fault = "a key column is NULL" if no_key else "a key repeats within the batch" if again else None
         if fault:
             remove(self.spark, f"{self.root}/parts/{name}")
@@ -186,6 +188,7 @@ class PitTable:
 
     def compact(self) -> None:
         """All parts as one."""
-        number, name = self._manifest()[0], f"p-{uuid.uuid4().hex}"
-        self._write(self.read(), name, "true")  # a filter takes up to a megabyte a file, too much for a small upsert
+        (number, held), name = self._manifest(), f"p-{uuid.uuid4().hex}"
+        every = merged(*map(self._part, held), by_range=True) if len(held) > 1 else self.read().repartitionByRange("series_key")
+        self._write(every, name, "true")  # a filter takes up to a megabyte a file, too much for a small upsert
         self._publish(number + 1, [name])
