@@ -1,11 +1,14 @@
 """Scans by ranges of time, positions, as-of values, overlaps and availability against plain code, and how a hot key's rows are spread."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kairospark.functions.times import log
 from kairospark.operators import pit
 from kairospark.operators.align import AlignSpec, align_panel
 from kairospark.operators.diagnostics import grid_faults, leakage_audit
@@ -13,6 +16,7 @@ from kairospark.operators.returns import lagged, log_returns, next_squared_retur
 from kairospark.operators.scans import neighbours, numbered, scanned, shifted
 from kairospark.operators.splits import expanding_splits, overlapping, purged_kfold, rolling_splits, target_purged_kfold
 from kairospark.operators.universe import restricted
+from kairospark.queries import rounded
 from kairospark.sources.catalog import TableSchema
 
 T0 = datetime(2024, 1, 1)
@@ -245,3 +249,22 @@ def test_repeated_keys_fail_the_job_that_reads_them(spark):
                 bad.collect()
             started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     assert align_panel(panel.limit(0), grid, TableSchema(), check="plan").count() == 0
+
+
+def test_logs_are_those_of_the_c_library(spark):
+    """To the last bit, so that rounded returns equal SQL's: with the JVM's ln the return from 187.31 to 169.04 rounds otherwise, and so does the square of that from 1e-300."""
+    n = 20_000
+    got = [r[0] for r in spark.range(1, n + 1).select(log(F.col("id") / 100)).collect()]
+    assert got == [math.log(k / 100) for k in range(1, n + 1)]
+    odd = spark.createDataFrame([(0.0,), (-0.0,), (-1.5,), (None,), (float("inf"),)], "x double")
+    assert [r[0] for r in odd.select(log(F.col("x"))).collect()] == [float("-inf"), float("-inf"), None, None, float("inf")]
+    panel = spark.createDataFrame([(1, "a", 187.31), (2, "a", 169.04)], "ts_utc long, entity_id string, x double").withColumn("ts_utc", F.timestamp_seconds("ts_utc").cast("timestamp_ntz"))
+    sql = duckdb.execute("SELECT round(ln(169.04::DOUBLE) - ln(187.31::DOUBLE), 8)").fetchall()[0][0]
+    assert [r[0] for r in log_returns(panel, "x").orderBy("ts_utc").select(F.round("logret", 8)).collect()] == [None, sql]
+
+
+def test_rounded_as_sql_rounds(spark):
+    """Squares of large returns, of which F.round takes some the other way; signs and infinities stay."""
+    own = [(math.log(k / 100) + 690.7755278982137) ** 2 for k in range(1, 20_000)] + [0.0, -1e-9, -0.5e-7, 1.5e-7, float("inf"), float("-inf")]
+    got = [str(r[0]) for r in spark.createDataFrame([(x,) for x in own], "x double").select(rounded("x", 7)).collect()]
+    assert got == [str(duckdb_row[0]) for duckdb_row in duckdb.connect().execute("SELECT round(x, 7) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [own]).fetchall()]
