@@ -259,23 +259,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row of docs: its id, class_id, the least id of its class, and copies, the number of rows with the same words. A class holds equal texts, texts that share at least `least` of their word shingles (multisets of `size` whitespace-separated words, unchanged), and what such links join.
 
     Copies fall together by a fingerprint of their words before anything else, so a text that occurs a million times is signed, compared and linked once. With 24 bands of 5 a pair at 0.8 shares no band, and is missed, with probability 7e-5, and less above. A lower `least` needs shorter bands: 40 of 3 miss a pair at 0.6 with probability 6e-5.
-    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original; a leader's text is sent once for `chunk` comparisons. Then, where those that a leader leads still have several components, with each other: up to `block` texts of `elements` shingles together by a matrix product, a row a text; more by _refined(), whose rows grow in proportion to the texts. No link is given up. Components come from star contractions. What is written on the way is removed, but for the two tables that the result reads. Band keys and fingerprints that hold over a thousandth of all rows are joined by broadcast of ids, under a thousand of them; see skew.joined(). Later joins of links with what is known of each leader, group, node or root spread its links over tasks; see skew.with_facts().
+    Texts that share a band are compared in two steps. First each with the band's leader, its member with the most band mates, which for a family of copies is the common original; a leader's text is sent once for `chunk` comparisons. Then, where those that a leader leads still have several components, with each other: up to `block` texts of `elements` shingles together by a matrix product, a row a text; more by _refined(), whose rows grow in proportion to the texts. No link is given up. Components come from star contractions. What is read more than once is written first, so that no plan makes it again and all plans stay small, as the driver holds them. What is written on the way is removed, but for the two tables that the result reads. Band keys and fingerprints that hold over a thousandth of all rows are joined by broadcast of ids, under a thousand of them; see skew.joined(). Later joins of links with what is known of each leader, group, node or root spread its links over tasks; see skew.with_facts().
     Null or empty text: all texts without words are copies of each other. Texts of fewer words than a shingle match only their equals. Null ids: the class takes the least other id, null if there is none. Repeated rows: one result each. Empty table: no rows. Other columns aren't read.
     """
     with tidied(docs.sparkSession) as kept:
         known = stored(prints(docs, id_col, text_col, size, bands, per_band))
-        nodes = known.groupBy("print").agg(F.first("bands").alias("bands"), F.min("id").alias("least"), F.count("*").alias("copies"))
+        nodes = stored(known.groupBy("print").agg(F.first("bands").alias("bands"), F.min("id").alias("least"), F.count("*").alias("copies")))
         total = known.count()
         each = nodes.select("print", F.explode("bands").alias("key"))
         shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         members = stored(joined(each, shared, "key", "n", total * bands))
-        mates = members.groupBy("print").agg(F.sum("n").alias("mates"))
+        mates = stored(members.groupBy("print").agg(F.sum("n").alias("mates")))
         texts = stored(printed_texts(docs, text_col).join(mates.select("print"), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text")))
-        leaders = members.join(mates, "print").groupBy("key").agg(F.max(F.struct("mates", "print"))["print"].alias("a"), F.count("*").alias("held"))
+        leaders = stored(members.join(mates, "print").groupBy("key").agg(F.max(F.struct("mates", "print"))["print"].alias("a"), F.count("*").alias("held")))
         pairs = stored(joined(members, leaders, "key", "held", total * bands).where("print != a").select("a", F.col("print").alias("b")).distinct())
         held = pairs.groupBy("a").agg(F.count("*").alias("held"))
         parts = F.ceil(F.col("held") / chunk).cast("int")
-        salted = with_facts(pairs, "a", "b", F.count("*").alias("held")).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+        salted = stored(with_facts(pairs, "a", "b", F.count("*").alias("held")).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")))
         heads = texts.withColumnRenamed("print", "a").join(held, "a").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("text").alias("text_a"))
         judged = stored(_judged(salted.join(texts.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b").join(heads, ["a", "salt"]), size, least))
         links = judged.where("alike").select("a", "b")
@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         roots = components(links)
 
         firsts = nodes.select("print", "least", "copies")
-        linked = roots.withColumnRenamed("node", "print").join(firsts, "print")
-        classes = with_facts(linked, "root", "print", F.min("least").alias("class_id")).select("print", "class_id")
+        linked = stored(roots.withColumnRenamed("node", "print").join(firsts.drop("copies"), "print"))
+        classes = stored(with_facts(linked, "root", "print", F.min("least").alias("class_id")).select("print", "class_id"))
         named = stored(firsts.join(classes, "print", "left").select("print", F.coalesce("class_id", "least").alias("class_id"), "copies"))
         kept += [known, named]
     return joined(known.select("id", "print"), named, "print", "copies", total).select(F.col("id").alias(id_col), "class_id", "copies")

@@ -299,10 +299,10 @@ def crf_gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.nda
 
 
 def fit_crf(rows: list[np.ndarray], labels: list[np.ndarray], *, steps: int = 400, batch: int = 1024, rate: float = 0.1, decay: float = 1e-6, seed: int = 11) -> Model:
-    """Weights (features, 3) and transitions (3, 3) by the conditional log-likelihood of sequences drawn `batch` at a time, with Adam at a falling rate."""
+    """Weights (features, 3) and transitions (3, 3) by the conditional log-likelihood of sequences drawn `batch` at a time, with Adam at a falling rate. All sequences are held by the driver, so in the smallest types that hold features and labels."""
     longest = max(map(len, rows))
-    x = np.zeros((len(rows), longest, len(_SIZES)), np.int64)
-    y, mask = np.zeros((len(rows), longest), np.int64), np.zeros((len(rows), longest), bool)
+    x = np.zeros((len(rows), longest, len(_SIZES)), np.min_scalar_type(N_FEATURES))
+    y, mask = np.zeros((len(rows), longest), np.int8), np.zeros((len(rows), longest), bool)
     for i, (r, own) in enumerate(zip(rows, labels, strict=True)):
         x[i, : len(r)], y[i, : len(r)], mask[i, : len(r)] = r, own, True
     rng = np.random.default_rng(seed)
@@ -508,13 +508,15 @@ def fit_secret_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if rows:
                     yield pa.record_batch([pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([y.astype(np.int8).tobytes() for y in labels], pa.binary())], ["x", "y"])
 
-    got = own.select("text").mapInArrow(run, "x binary, y binary").toArrow()
-    pairs = sorted(zip(got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
-    rows = [np.frombuffer(x, np.int16).reshape(-1, len(_SIZES)).astype(np.int64) for x, _ in pairs]
-    labels = [np.frombuffer(y, np.int8).astype(np.int64) for _, y in pairs]
+    got = own.select("text").mapInArrow(run, "x binary, y binary").toArrow().sort_by([("x", "ascending"), ("y", "ascending")])
+    rows = [np.frombuffer(x.as_buffer(), np.int16).reshape(-1, len(_SIZES)) for x in got["x"]]  # views of the table
+    labels = [np.frombuffer(y.as_buffer(), np.int8) for y in got["y"]]
     if not rows:
         rows, labels = training_rows("a b c")
-    return fit_crf(rows, labels)
+    model = fit_crf(rows, labels)
+    del got, rows, labels
+    pa.default_memory_pool().release_unused()  # the driver goes on
+    return model
 
 
 def added(base: list[tuple[int, int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int, int]]:

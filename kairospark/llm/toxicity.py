@@ -79,10 +79,13 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, most_terms: int = 2048
     row_of = np.full(1 << BITS, -1, np.int64)
     share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
     bias = np.array([np.log(share / (1 - share))])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    a = np.bincount(flat, np.repeat(y, lengths), 1 << BITS) if len(flat) else np.zeros(1 << BITS)
-    b = np.bincount(flat, minlength=1 << BITS) - a
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for k in range(0, len(rows), 512):  # whole numbers, so the same sums as of all rows at once
+        some = rows[k : k + 512]
+        flat, own = np.concatenate(some).astype(np.int64), np.repeat(y[k : k + 512], [len(r) for r in some])
+        a += np.bincount(flat, own, 1 << BITS)
+        b += np.bincount(flat, minlength=1 << BITS)
+    b -= a
     pos, neg = y.sum(), len(y) - y.sum()
     odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (neg - b + 0.5))
@@ -123,7 +126,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", s
 
     own = labelled(docs, labels, target, sample).select("id", F.col("label").cast("int").alias("label"), "text")
     got = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()},  label int, terms array<int>").toArrow().sort_by("id")
-    return fit_machine([np.array(x, np.int64) for x in (r.values.to_numpy() for r in got["terms"])], got["label"].to_numpy().astype(float), most_terms=most_terms, common_terms=common_terms)
+    rows, y = [r.values.to_numpy() for r in got["terms"]], got["label"].to_numpy().astype(float)  # rows are views of the table
+    machine = fit_machine(rows, y, most_terms=most_terms, common_terms=common_terms)
+    del got, rows
+    pa.default_memory_pool().release_unused()  # the driver goes on
+    return machine
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, *, threshold: float = 0.5) -> DataFrame:
